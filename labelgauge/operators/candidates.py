@@ -49,9 +49,8 @@ def candidate_requests(rows, candidates):
 
     The output is that large by meaning. Bodies are broadcast while they are small.
     """
-    last = candidates.agg(F.coalesce(F.max("candidate_id"), F.lit(-1)).cast("int")).scalar()
-    places = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: i <= last)
-    repeated = rows.withColumn("candidate_id", F.explode(places))
+    last = candidates.agg(F.max("candidate_id").cast("int")).scalar()
+    repeated = rows.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), last)))
     return repeated.join(broadcast_when_small(candidates), "candidate_id")
 
 

@@ -73,7 +73,7 @@ def candidate_run(rows, candidates, replies):
     scores = mean_score(scored, by=["candidate_id"])
     valid = passing_or_all(candidates, is_valid(F.col("body")))
     best = best_by_score(
-        valid.join(scores, "candidate_id"), F.coalesce(F.col("mean_score"), F.lit(0.0))
+        valid.join(scores, "candidate_id", "left"), F.coalesce(F.col("mean_score"), F.lit(0.0))
     )
     chosen = best.select("candidate_id").scalar()
     counted = tallies(decoded.where(F.col("candidate_id") == chosen))
