@@ -1,8 +1,5 @@
 """Reply decoding: from what a model answered to label columns."""
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import functions as F
 
 from labelgauge.functions.text import LINE_SPACE, SPACE, strip
@@ -29,56 +26,56 @@ def decode_six_lines(df, raw_col, display_names=DISPLAY_NAMES, prefix="pred_"):
     A label no form yields stays null.
     """
     raw, names = F.col(raw_col), list(display_names)
-    named = {
-        name: F.regexp_extract(
+    named = [
+        F.regexp_extract(
             raw, f"(?iu)\\Q{display_names[name]}\\E{SPACE}*[:=\\-]{SPACE}*([01])", 1
-        )
+        ).alias(name)
         for name in names
-    }
-    df = df.withColumn("_named", F.struct(*[named[n].alias(n) for n in names]))
-    incomplete = reduce(or_, [F.col("_named")[n] == "" for n in names])
-    df = df.withColumn(
-        "_lines", F.when(incomplete, F.regexp_extract_all(raw, F.lit(_BIT_LINE), F.lit(1)))
-    )
-    in_lines = F.size("_lines") == len(names)
-    df = df.withColumn(
-        "_digits",
-        F.when(
-            incomplete & ~in_lines, F.regexp_extract_all(raw, F.lit(_BARE_BIT), F.lit(1))
-        ),
-    )
-    in_digits = F.size("_digits") >= len(names)
+    ]
+    k = len(names)
+    incomplete = F.expr(" OR ".join(f"_named.`{n}` = ''" for n in names))
+    lines = F.regexp_extract_all(raw, F.lit(_BIT_LINE), F.lit(1))
+    digits = F.regexp_extract_all(raw, F.lit(_BARE_BIT), F.lit(1))
+    df = df.withColumn("_named", F.struct(*named))
+    df = df.withColumn("_lines", F.when(incomplete, lines))
+    df = df.withColumn("_digits", F.when(incomplete & (F.size("_lines") != k), digits))
     picked = {
-        prefix + n: F.when(in_lines, F.get("_lines", F.lit(i)))
-        .when(in_digits, F.get("_digits", F.lit(i)))
-        .otherwise(F.nullif(F.col("_named")[n], F.lit("")))
-        .cast("int")
+        prefix + n: F.expr(
+            f"""int(CASE WHEN size(_lines) = {k} THEN get(_lines, {i})
+                WHEN size(_digits) >= {k} THEN get(_digits, {i})
+                ELSE nullif(_named.`{n}`, '') END)"""
+        )
         for i, n in enumerate(names)
     }
     return df.withColumns(picked).drop("_named", "_lines", "_digits")
 
 
 def _decode_object(df, body, labels, prefix, to_bit):
-    """Read ``body`` as exactly one strict JSON object; the last of equal keys counts."""
+    """Read ``body`` as exactly one strict JSON object; the last of equal keys counts.
+
+    ``to_bit`` is the SQL condition under which ``value``, the JSON text of a label, means 1.
+    """
     fields = ", ".join(f"`{name}` variant" for name in labels)
     schema = f"array<struct<{fields}, `{_TAIL}`: int>>"
     listed = F.concat(F.lit("["), F.col("_body"), F.lit(f',{{"{_TAIL}":1}}]'))
-    parsed = F.from_json(listed, schema, {"allowSingleQuotes": "false"})
-    whole = (
-        F.col("_body").startswith("{")
-        & F.col("_body").endswith("}")
-        & (F.size("_json") == 2)
-        & (F.get("_json", F.lit(1))[_TAIL] == 1)
-    )
-    df = df.withColumn("_body", body).withColumn("_json", parsed)
-    df = df.withColumn("parse_ok", F.coalesce(whole, F.lit(False)))
-    values = F.get("_json", F.lit(0))
+    whole = f"""startswith(_body, '{{') AND endswith(_body, '}}') AND size(_json) = 2
+        AND get(_json, 1).`{_TAIL}` = 1"""
+    df = df.withColumn("_body", body)
+    df = df.withColumn("_json", F.from_json(listed, schema, {"allowSingleQuotes": "false"}))
+    df = df.withColumn("parse_ok", F.expr(f"coalesce({whole}, false)"))
     bits = {
-        prefix + n: (F.col("parse_ok") & to_bit(F.to_json(values[n]))).cast("int") for n in labels
+        prefix + n: F.expr(
+            f"int(parse_ok AND coalesce({to_bit.format(value=f'to_json(get(_json, 0).`{n}`)')}, false))"
+        )
+        for n in labels
     }
     return df.withColumns(bits).drop("_body", "_json")
 
 
+def _quoted(values):
+    return ", ".join(f"'{v}'" for v in values)
+
+
 def decode_fenced_json(df, raw_col, labels=LABELS, prefix="pred_"):
     """The JSON object in the first fence (or the whole reply); 1 for 1, "1", true, "true".
 
@@ -93,17 +90,15 @@ def decode_fenced_json(df, raw_col, labels=LABELS, prefix="pred_"):
         .when(raw.contains(_FENCE), F.split_part(raw, F.lit(_FENCE), F.lit(2)))
         .otherwise(raw)
     )
-    return _decode_object(
-        df, strip(body), labels, prefix, lambda v: F.coalesce(v.isin(*ONE_VALUES), F.lit(False))
-    )
+    is_one = f"{{value}} IN ({_quoted(ONE_VALUES)})"
+    return _decode_object(df, strip(body), labels, prefix, is_one)
 
 
 def decode_braced_json(df, raw_col, labels=LABELS, prefix="pred_"):
     """The text from the first ``{`` to the last ``}``; any value that is not false-like is 1."""
     body = F.regexp_extract(F.col(raw_col), r"(?s)(\{.*\})", 1)
-    return _decode_object(
-        df, body, labels, prefix, lambda v: F.coalesce(~v.isin(*FALSE_VALUES), F.lit(False))
-    )
+    not_false = f"{{value}} NOT IN ({_quoted(FALSE_VALUES).replace('{}', '{{}}')})"
+    return _decode_object(df, body, labels, prefix, not_false)
 
 
 def yes_no(raw):
@@ -149,6 +144,6 @@ def kept_reply(raw, sentinel="API_ERROR"):
 
 def with_defaults(df, columns):
     """Null predictions to 0, with the number of such cells in ``failed_cells``."""
-    failed = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
-    df = df.withColumn("failed_cells", failed)
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in columns})
+    failed = " + ".join(f"int(`{c}` IS NULL)" for c in columns)
+    df = df.withColumn("failed_cells", F.expr(failed))
+    return df.withColumns({c: F.expr(f"coalesce(`{c}`, 0)") for c in columns})

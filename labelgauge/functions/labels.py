@@ -1,8 +1,5 @@
 """Label columns: coercion, encoding, formatting."""
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import functions as F
 
 from labelgauge.functions.text import strip
@@ -35,11 +32,10 @@ def yes_value(col, trim=True):
 
 
 def label_sum(columns):
-    return reduce(add, [F.col(c) for c in columns])
+    return F.expr(" + ".join(f"`{c}`" for c in columns))
 
 
 def answer_string(columns):
-    """``{label: column}`` to ``label=value, label=value, ...``."""
-    return F.concat_ws(
-        ", ", *[F.concat(F.lit(f"{name}="), col.cast("string")) for name, col in columns.items()]
-    )
+    """``{label: column name}`` to ``label=value, label=value, ...``."""
+    parts = ", ".join(f"concat('{name}=', `{c}`)" for name, c in columns.items())
+    return F.expr(f"concat_ws(', ', {parts})")

@@ -9,15 +9,15 @@ FULL_LENGTH = 8000
 
 
 def row_accuracy(pairs):
-    """Share of equal labels; ``pairs`` holds (truth, prediction) columns."""
-    hits = sum(((t == p).cast("int") for t, p in pairs), F.lit(0))
-    return hits / len(pairs)
+    """Share of equal labels; ``pairs`` holds (truth, prediction) column names."""
+    hits = " + ".join(f"int(`{t}` = `{p}`)" for t, p in pairs)
+    return F.expr(f"({hits}) / {len(pairs)}")
 
 
 def row_macro_f1(pairs):
     """Macro F1 of one row: over a single row only a label with both at 1 scores."""
-    hits = sum((((t == 1) & (p == 1)).cast("int") for t, p in pairs), F.lit(0))
-    return hits / len(pairs)
+    hits = " + ".join(f"int(`{t}` = 1 AND `{p}` = 1)" for t, p in pairs)
+    return F.expr(f"({hits}) / {len(pairs)}")
 
 
 def composite(accuracy, text_length):
@@ -35,25 +35,25 @@ def feedback(answer, reply):
 
 
 def ratio(a, b):
-    """``a / b``, 0 where b is 0."""
-    return F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
+    """SQL for ``a / b``, 0 where b is 0."""
+    return f"coalesce(try_divide(double({a}), {b}), 0D)"
 
 
-def cell_metrics(c):
-    """Quality metrics of a struct with the cells tp, fp, tn, fn."""
-    tp, fp, tn, fn = c["tp"], c["fp"], c["tn"], c["fn"]
-    n = tp + fp + tn + fn
-    f1 = ratio(2 * tp, 2 * tp + fp + fn)
-    f1_negative = ratio(2 * tn, 2 * tn + fp + fn)
+def cell_metrics(at=""):
+    """SQL per quality metric over the cells tp, fp, tn, fn, each named after the prefix ``at``."""
+    tp, fp, tn, fn = (at + cell for cell in ("tp", "fp", "tn", "fn"))
+    f1 = ratio(f"2 * {tp}", f"2 * {tp} + {fp} + {fn}")
+    f1_negative = ratio(f"2 * {tn}", f"2 * {tn} + {fp} + {fn}")
+    n = f"{tp} + {fp} + {tn} + {fn}"
     return {
-        "accuracy": ratio(tp + tn, n),
-        "precision": ratio(tp, tp + fp),
-        "recall": ratio(tp, tp + fn),
+        "accuracy": ratio(f"{tp} + {tn}", n),
+        "precision": ratio(tp, f"{tp} + {fp}"),
+        "recall": ratio(tp, f"{tp} + {fn}"),
         "f1": f1,
-        "weighted_f1": ratio(f1 * (tp + fn) + f1_negative * (tn + fp), n),
+        "weighted_f1": ratio(f"{f1} * ({tp} + {fn}) + {f1_negative} * ({tn} + {fp})", n),
     }
 
 
-def round4(col):
+def round4(sql):
     """To four decimals, ties to the even neighbour."""
-    return F.rint(col * 10000) / 10000
+    return f"rint({sql} * 10000) / 10000"

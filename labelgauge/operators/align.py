@@ -17,7 +17,7 @@ def align(truth, predictions, id_col="id", missing="default", columns=None):
     if missing == "null":
         return df
     columns = columns or [f"pred_{name}" for name in LABELS]
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in columns})
+    return df.withColumns({c: F.expr(f"coalesce(`{c}`, 0)") for c in columns})
 
 
 def score_stored_replies(truth, replies, decode, id_col="id", raw_col="raw_response"):

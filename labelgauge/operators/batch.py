@@ -34,12 +34,12 @@ def score_batch(df, predictor, prompt_col="prompt", raw_col="raw_response"):
 
 
 def label_struct(prefix, labels=LABELS):
-    return F.struct(*[F.col(prefix + name).alias(name) for name in labels])
+    return F.expr(f"struct({', '.join(f'`{prefix}{name}` AS `{name}`' for name in labels)})")
 
 
 def evaluation(df, labels=LABELS, truth="", pred="pred_", traces=False):
     """Per row the prediction and its score; with ``traces`` also input, reply and truth."""
-    pairs = [(F.col(truth + name), F.col(pred + name)) for name in labels]
+    pairs = [(truth + name, pred + name) for name in labels]
     columns = [label_struct(pred, labels).alias("prediction"), row_accuracy(pairs).alias("score")]
     if traces:
         columns += [

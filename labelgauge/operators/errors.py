@@ -29,27 +29,24 @@ def trajectories(df, labels=LABELS, truth="", pred="pred_"):
 
 def error_list(labels=LABELS, truth="", pred="pred_"):
     """The labels a row got wrong, each as missed or false alarm, as an array of strings."""
-    wrong = [
-        F.when(
-            F.col(truth + name) != F.col(pred + name),
-            F.when(F.col(truth + name) == 1, f"{name}: {MISSED}").otherwise(
-                f"{name}: {FALSE_ALARM}"
-            ),
-        )
+    wrong = ", ".join(
+        f"""CASE WHEN `{truth}{name}` = `{pred}{name}` THEN NULL
+            WHEN `{truth}{name}` = 1 THEN '{name}: {MISSED}' ELSE '{name}: {FALSE_ALARM}' END"""
         for name in labels
-    ]
-    joined = F.nullif(F.concat_ws("\n", *wrong), F.lit(""))
+    )
+    joined = F.expr(f"nullif(concat_ws('\n', {wrong}), '')")
     return F.split(F.coalesce(joined, F.lit(ALL_CORRECT)), "\n")
 
 
 def error_pairs(df, id_col="id", labels=LABELS, truth="", pred="pred_"):
     """Every pair of labels wrong in the same row, one row per pair; pairs never leave their row."""
-    wrong = {name: F.col(truth + name) != F.col(pred + name) for name in labels}
-    pairs = [
-        F.when(wrong[a] & wrong[b], F.struct(F.lit(a).alias("label_a"), F.lit(b).alias("label_b")))
+    wrong = {name: f"`{truth}{name}` <> `{pred}{name}`" for name in labels}
+    pairs = ", ".join(
+        f"""CASE WHEN {wrong[a]} AND {wrong[b]}
+            THEN named_struct('label_a', '{a}', 'label_b', '{b}') END"""
         for a, b in combinations(sorted(labels), 2)
-    ]
-    return df.select(id_col, F.inline(F.array_compact(F.array(*pairs))))
+    )
+    return df.selectExpr(id_col, f"inline(array_compact(array({pairs})))")
 
 
 def pair_counts(counted):
@@ -57,123 +54,80 @@ def pair_counts(counted):
     return counted.select(F.inline("joint")).where("n_both > 0").drop("ord")
 
 
-def _error_entries(labels):
-    """Wrong predictions by label and kind, the most frequent first.
-
-    Equal counts keep label order, misses before false alarms.
-    """
-    entries = []
-    for i in range(len(labels)):
-        cell = F.get("cells", F.lit(i))
-        for k, (kind, n) in enumerate((("FN", cell["fn"]), ("FP", cell["fp"]))):
-            entries.append(
-                F.when(
-                    n > 0,
-                    F.struct(
-                        (-n).alias("minus"),
-                        F.lit(i).alias("ord"),
-                        F.lit(k).alias("kind_ord"),
-                        cell["label"].alias("label"),
-                        F.lit(kind).alias("kind"),
-                        n.alias("n_errors"),
-                    ),
-                )
-            )
-    return F.array_sort(F.array_compact(F.array(*entries)))
+# Wrong predictions by label and kind, the most frequent first. Equal counts keep label order,
+# misses before false alarms.
+ERROR_ENTRIES = """array_sort(filter(flatten(transform(cells, c -> array(
+    named_struct('minus', -c.fn, 'ord', c.ord, 'kind_ord', 0, 'label', c.label, 'kind', 'FN', 'n_errors', c.fn),
+    named_struct('minus', -c.fp, 'ord', c.ord, 'kind_ord', 1, 'label', c.label, 'kind', 'FP', 'n_errors', c.fp)
+))), e -> e.n_errors > 0))"""
 
 
-def error_counts(counted, labels=LABELS):
+def error_counts(counted):
     """Wrong predictions by label and kind (FN or FP), without zeros."""
-    df = counted.select(F.inline(_error_entries(labels)))
-    return df.select("label", "kind", "n_errors")
+    return counted.selectExpr(f"inline({ERROR_ENTRIES})").select("label", "kind", "n_errors")
 
 
-def most_frequent_errors(counted, k, labels=LABELS):
-    df = counted.select(F.posexplode(F.slice(_error_entries(labels), 1, k)).alias("pos", "e"))
+def most_frequent_errors(counted, k):
+    df = counted.selectExpr(f"posexplode(slice({ERROR_ENTRIES}, 1, {k})) AS (pos, e)")
     return df.select((F.col("pos") + 1).alias("rank"), "e.label", "e.kind", "e.n_errors")
 
 
-def _underspecified(labels, line="Section 5: %s (FP=%d, FN=%d)"):
-    lines = []
-    for i in range(len(labels)):
-        c = F.get("cells", F.lit(i))
-        lines.append(
-            F.when(c["fp"] + c["fn"] > 0, F.format_string(line, c["label"], c["fp"], c["fn"]))
-        )
-    return F.array_compact(F.array(*lines))
-
-
-def underspecified(counted, labels=LABELS, line="Section 5: %s (FP=%d, FN=%d)"):
-    """A line per label with errors, in label order."""
-    lines = _underspecified(labels, line)
-    return counted.select(F.posexplode(lines).alias("ord", "line"))
+# A line per label with errors, in label order.
+UNDERSPECIFIED = """transform(filter(cells, c -> c.fp + c.fn > 0),
+    c -> format_string('Section 5: %s (FP=%d, FN=%d)', c.label, c.fp, c.fn))"""
 
 
-def _worst_pair():
-    first = F.array_sort(
-        F.filter(
-            F.transform(
-                "joint",
-                lambda p: F.struct(
-                    (-p["n_both"]).alias("minus"), p["ord"], p["label_a"], p["label_b"]
-                ),
-            ),
-            lambda p: p["minus"] < 0,
-        )
-    )
-    return F.get(first, F.lit(0))
+def underspecified(counted):
+    return counted.selectExpr(f"posexplode({UNDERSPECIFIED}) AS (ord, line)")
 
 
-def expansion_plan(counted, labels=LABELS, k=4):
+def expansion_plan(counted, k=4):
     """Lines saying what to expand: the k most frequent errors, the worst pair, more examples."""
-    sections = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])
-    entries = F.transform(
-        F.slice(_error_entries(labels), 1, k),
-        lambda e: F.format_string(
-            "Section %s (%s): expand definition + markers — %d errors",
-            sections[e["label"]],
-            e["label"],
-            e["n_errors"],
-        ),
+    sections = ", ".join(f"'{label}', '{section}'" for label, section in SECTIONS.items())
+    df = counted.selectExpr(
+        f"slice({ERROR_ENTRIES}, 1, {k}) AS entries",
+        """get(array_sort(transform(filter(joint, p -> p.n_both > 0),
+            p -> named_struct('minus', -p.n_both, 'ord', p.ord, 'a', p.label_a, 'b', p.label_b))), 0)
+            AS pair""",
     )
-    pair = _worst_pair()
-    rest = F.array_compact(
-        F.array(
-            F.when(
-                pair.isNotNull(),
-                F.format_string(
-                    "Section 9: add rule distinguishing %s vs %s", pair["label_a"], pair["label_b"]
-                ),
-            ),
-            F.when(F.size(entries) > 0, F.lit("Section 11: add examples for labels with errors")),
-        )
+    return df.selectExpr(
+        f"""posexplode(array_compact(concat(
+            transform(entries, e -> format_string(
+                'Section %s (%s): expand definition + markers — %d errors',
+                map({sections})[e.label], e.label, e.n_errors)),
+            array(
+                CASE WHEN pair IS NOT NULL THEN format_string(
+                    'Section 9: add rule distinguishing %s vs %s', pair.a, pair.b) END,
+                CASE WHEN size(entries) > 0
+                    THEN 'Section 11: add examples for labels with errors' END)))) AS (ord, line)"""
     )
-    return counted.select(F.posexplode(F.concat(entries, rest)).alias("ord", "line"))
 
 
-def confusion_signal(labels=LABELS, k=2):
-    """The k most frequent errors as one line, a column on tallies."""
-    shown = F.transform(
-        F.slice(_error_entries(labels), 1, k),
-        lambda e: F.format_string("(('%s', '%s'), %d)", e["label"], e["kind"], e["n_errors"]),
-    )
-    return F.concat(F.lit("Most confused: ["), F.array_join(shown, ", "), F.lit("]"))
+def confusion_signal(k=2):
+    """SQL on tallies: the k most frequent errors as one line."""
+    shown = f"""transform(slice({ERROR_ENTRIES}, 1, {k}),
+        e -> format_string("(('%s', '%s'), %d)", e.label, e.kind, e.n_errors))"""
+    return f"concat('Most confused: [', array_join({shown}, ', '), ']')"
 
 
-def reflective_records(df, candidate, components, k=10, labels=LABELS, truth="", pred="pred_",
-                       traces=True, worst=False, extra=None):
+def reflective_records(
+    df, candidate, components, k=10, labels=LABELS, truth="", pred="pred_",
+    traces=True, worst=False, extra=None,
+):
     """Per component the first (or worst) k rows with their errors and the batch's summary.
 
     ``candidate`` maps component to text; ``extra`` holds further constant fields of the caller.
     Without traces there is nothing to reflect on and the table is empty.
     """
-    summary = tallies(df, labels, truth, pred).select(
-        F.struct(
-            confusion_signal(labels).alias("confusion_signal"),
-            _underspecified(labels).alias("underspecified_sections"),
+    summary = (
+        tallies(df, labels, truth, pred)
+        .selectExpr(
+            f"""named_struct('confusion_signal', {confusion_signal()},
+                'underspecified_sections', {UNDERSPECIFIED})"""
         )
-    ).scalar()
-    pairs = [(F.col(truth + name), F.col(pred + name)) for name in labels]
+        .scalar()
+    )
+    pairs = [(truth + name, pred + name) for name in labels]
     score = row_accuracy(pairs)
     picked = lowest_k(df, k, score) if worst else first_k(df, k)
     parts = F.array(

@@ -5,16 +5,21 @@ aggregate, so rows are neither multiplied per label nor shuffled. All else is ar
 one row (or the one row per group) it gives; counts nobody asks for are pruned from the plan.
 """
 
-from functools import reduce
 from itertools import combinations
-from operator import and_
 
 from pyspark.sql import functions as F
 
 from labelgauge.functions.scores import cell_metrics, ratio, round4
 from labelgauge.schema import LABELS
 
+CELLS = ("tp", "fp", "tn", "fn")
 AVERAGED = ("precision", "recall", "f1", "accuracy")
+_CELL = {
+    "tp": "`{t}` = 1 AND `{p}` = 1",
+    "fp": "`{t}` = 0 AND `{p}` = 1",
+    "tn": "`{t}` = 0 AND `{p}` = 0",
+    "fn": "`{t}` = 1 AND `{p}` = 0",
+}
 
 
 def tallies(df, labels=LABELS, truth="", pred="pred_", by=()):
@@ -22,44 +27,29 @@ def tallies(df, labels=LABELS, truth="", pred="pred_", by=()):
 
     ``truth`` and ``pred`` are the column prefixes. A null prediction counts in no cell.
     """
-    pairs = {name: (F.col(truth + name), F.col(pred + name)) for name in labels}
-    counts = [
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(reduce(and_, [t == p for t, p in pairs.values()])).alias("exact"),
-    ]
-    for i, (t, p) in enumerate(pairs.values()):
-        counts += [
-            F.count_if((t == 1) & (p == 1)).alias(f"tp{i}"),
-            F.count_if((t == 0) & (p == 1)).alias(f"fp{i}"),
-            F.count_if((t == 0) & (p == 0)).alias(f"tn{i}"),
-            F.count_if((t == 1) & (p == 0)).alias(f"fn{i}"),
-        ]
-    ordered = sorted(labels)
-    couples = list(combinations(ordered, 2))
+    couples = list(combinations(sorted(labels), 2))
+    right = {name: f"`{truth}{name}` = `{pred}{name}`" for name in labels}
+    counts = {"n": "true", "exact": " AND ".join(right.values())}
+    for i, name in enumerate(labels):
+        for cell, condition in _CELL.items():
+            counts[f"{cell}{i}"] = condition.format(t=truth + name, p=pred + name)
     for j, (a, b) in enumerate(couples):
-        wrong = (pairs[a][0] != pairs[a][1]) & (pairs[b][0] != pairs[b][1])
-        counts.append(F.count_if(wrong).alias(f"both{j}"))
-    cells = [
-        F.struct(
-            F.lit(i).alias("ord"),
-            F.lit(name).alias("label"),
-            *[F.col(f"{cell}{i}").alias(cell) for cell in ("tp", "fp", "tn", "fn")],
-        )
+        counts[f"both{j}"] = f"NOT ({right[a]}) AND NOT ({right[b]})"
+    cells = ", ".join(
+        f"named_struct('ord', {i}, 'label', '{name}', "
+        + ", ".join(f"'{cell}', {cell}{i}" for cell in CELLS)
+        + ")"
         for i, name in enumerate(labels)
-    ]
-    joint = [
-        F.struct(
-            F.lit(j).alias("ord"),
-            F.lit(a).alias("label_a"),
-            F.lit(b).alias("label_b"),
-            F.col(f"both{j}").alias("n_both"),
-        )
+    )
+    joint = ", ".join(
+        f"named_struct('ord', {j}, 'label_a', '{a}', 'label_b', '{b}', 'n_both', both{j})"
         for j, (a, b) in enumerate(couples)
-    ]
-    columns = [F.array(*cells).alias("cells")]
-    if joint:
-        columns.append(F.array(*joint).alias("joint"))
-    return df.groupBy(*by).agg(*counts).select(*by, "n", "exact", *columns)
+    )
+    return (
+        df.groupBy(*by)
+        .agg(*[F.expr(f"count_if({condition})").alias(c) for c, condition in counts.items()])
+        .selectExpr(*by, "n", "exact", f"array({cells}) AS cells", f"array({joint}) AS joint")
+    )
 
 
 def confusion(counted, by=()):
@@ -69,111 +59,96 @@ def confusion(counted, by=()):
 
 def label_metrics(counted, by=(), rounded=False):
     """Metrics per label, with support and predicted positives."""
-    df = confusion(counted, by)
-    c = {cell: F.col(cell) for cell in ("tp", "fp", "tn", "fn")}
-    metrics = cell_metrics(c)
-    return df.withColumns(
-        {
-            **{m: round4(v) if rounded else v for m, v in metrics.items()},
-            "support": c["tp"] + c["fn"],
-            "predicted": c["tp"] + c["fp"],
-        }
-    )
-
-
-def _cells(labels):
-    return [F.get("cells", F.lit(i)) for i in range(len(labels))]
+    final = round4 if rounded else str
+    metrics = [f"{final(v)} AS {m}" for m, v in cell_metrics().items()]
+    sizes = ["tp + fn AS support", "tp + fp AS predicted"]
+    return confusion(counted, by).selectExpr("*", *metrics, *sizes)
 
 
-def macro_columns(labels=LABELS, round_first=False):
-    """Unweighted means over the labels, as columns on tallies."""
-    per_label = [cell_metrics(c) for c in _cells(labels)]
-    final = round4 if round_first else (lambda v: v)
+def macro_sql(round_first=False):
+    """SQL per metric for the unweighted mean over the labels of a tallies row."""
+    final = round4 if round_first else str
     return {
-        m: sum((final(x[m]) for x in per_label), F.lit(0.0)) / len(per_label)
-        for m in per_label[0]
+        m: f"aggregate(cells, 0D, (a, c) -> a + {final(v)}) / size(cells)"
+        for m, v in cell_metrics("c.").items()
     }
 
 
-def micro_columns(labels=LABELS):
-    """Metrics over all cells of all labels, as columns on tallies."""
-    cells = _cells(labels)
-    total = {k: sum((c[k] for c in cells), F.lit(0)) for k in ("tp", "fp", "tn", "fn")}
-    return {**total, **cell_metrics(total)}
+def pooled(counted):
+    """Tallies with the cells of all labels added up, as the columns tp, fp, tn, fn."""
+    return counted.selectExpr(
+        "*", *[f"aggregate(cells, 0L, (a, c) -> a + c.{cell}) AS {cell}" for cell in CELLS]
+    )
+
+
+SUBSET_ACCURACY = ratio("exact", "n")
 
 
-def subset_accuracy(n="n", exact="exact"):
-    return ratio(F.col(exact), F.col(n))
+def macro(counted, by=(), round_first=False):
+    return counted.selectExpr(*by, *[f"{v} AS {m}" for m, v in macro_sql(round_first).items()])
 
 
-def macro(counted, labels=LABELS, by=(), round_first=False):
-    columns = macro_columns(labels, round_first)
-    return counted.select(*by, *[v.alias(k) for k, v in columns.items()])
+def micro(counted, by=()):
+    """Metrics over all cells of all labels."""
+    metrics = [f"{v} AS {m}" for m, v in cell_metrics().items()]
+    return pooled(counted).selectExpr(*by, *CELLS, *metrics)
 
 
-def micro(counted, labels=LABELS, by=()):
-    return counted.select(*by, *[v.alias(k) for k, v in micro_columns(labels).items()])
+def subset_accuracy(counted, by=()):
+    """The share of rows with every label right."""
+    return counted.selectExpr(*by, "n", "exact", f"{SUBSET_ACCURACY} AS subset_accuracy")
 
 
-def metrics_long(counted, labels=LABELS, by=()):
+def metrics_long(counted, by=()):
     """Every metric as ``scope, label, metric, value``."""
-    rows = []
-
-    def add(scope, label, values):
-        rows.extend(
-            F.struct(
-                F.lit(scope).alias("scope"),
-                F.lit(label).alias("label"),
-                F.lit(m).alias("metric"),
-                v.cast("double").alias("value"),
-            )
+
+    def rows(scope, label, values):
+        return [
+            f"named_struct('scope', '{scope}', 'label', {label}, 'metric', '{m}', 'value', double({v}))"
             for m, v in values.items()
-        )
+        ]
 
-    for name, c in zip(labels, _cells(labels)):
-        per = cell_metrics(c)
-        add("label", name, {**{m: per[m] for m in AVERAGED}, "support": c["tp"] + c["fn"]})
-    averages, pooled = macro_columns(labels), micro_columns(labels)
-    add("macro", "", {m: averages[m] for m in AVERAGED})
-    add("micro", "", {m: pooled[m] for m in AVERAGED})
-    add("overall", "", {"subset_accuracy": subset_accuracy()})
-    return counted.select(*by, F.inline(F.array(*rows)))
+    per_label = {m: cell_metrics("c.")[m] for m in AVERAGED} | {"support": "c.tp + c.fn"}
+    overall = rows("macro", "''", {m: macro_sql()[m] for m in AVERAGED})
+    overall += rows("micro", "''", {m: cell_metrics()[m] for m in AVERAGED})
+    overall += rows("overall", "''", {"subset_accuracy": SUBSET_ACCURACY})
+    return pooled(counted).selectExpr(
+        *by,
+        f"""inline(concat(
+            flatten(transform(cells, c -> array({", ".join(rows("label", "c.label", per_label))}))),
+            array({", ".join(overall)})))""",
+    )
 
 
-def evaluator_report(counted, labels=LABELS):
+def evaluator_report(counted):
     """Per label accuracy, F1 and error counts, and an 'overall' row.
 
     Overall accuracy is taken over all cells, overall F1 is the macro F1.
     """
-    rows = []
-    for i, (name, c) in enumerate(zip(labels, _cells(labels))):
-        per = cell_metrics(c)
-        rows.append((i, name, per["accuracy"], per["f1"], c["fp"], c["fn"]))
-    pooled = micro_columns(labels)
-    overall = (pooled["accuracy"], macro_columns(labels)["f1"], pooled["fp"], pooled["fn"])
-    rows.append((len(rows), "overall", *overall))
-    names = ("ord", "label", "accuracy", "f1", "false_positives", "false_negatives")
-    structs = [
-        F.struct(*[(v if hasattr(v, "alias") else F.lit(v)).alias(n) for n, v in zip(names, row)])
-        for row in rows
-    ]
-    return counted.select(F.inline(F.array(*structs)))
+
+    def row(ord, label, accuracy, f1, at):
+        return f"""named_struct('ord', {ord}, 'label', {label}, 'accuracy', {accuracy}, 'f1', {f1},
+            'false_positives', {at}fp, 'false_negatives', {at}fn)"""
+
+    each = cell_metrics("c.")
+    per_label = row("c.ord", "c.label", each["accuracy"], each["f1"], "c.")
+    overall = row("size(cells)", "'overall'", cell_metrics()["accuracy"], macro_sql()["f1"], "")
+    return pooled(counted).selectExpr(
+        f"inline(concat(transform(cells, c -> {per_label}), array({overall})))"
+    )
 
 
 def label_totals(df, labels=LABELS):
     """Positives per label and their share of the rows in percent, in label order."""
-    n = F.count(F.lit(1))
-    totals = df.agg(n.alias("n"), *[F.count_if(F.col(c) == 1).alias(c) for c in labels])
-    rows = [
-        F.struct(
-            F.lit(i).alias("ord"),
-            F.lit(c).alias("label"),
-            F.col(c).alias("positives"),
-            ratio(F.col(c) * 100, F.col("n")).alias("percent"),
-        )
+    totals = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.expr(f"count_if(`{c}` = 1)").alias(f"t{i}") for i, c in enumerate(labels)],
+    )
+    rows = ", ".join(
+        f"named_struct('ord', {i}, 'label', '{c}', 'positives', t{i}, 'percent', {ratio(f't{i} * 100', 'n')})"
         for i, c in enumerate(labels)
-    ]
-    return totals.select(F.inline(F.array(*rows)))
+    )
+    return totals.selectExpr(f"inline(array({rows}))")
 
 
 def class_counts(df, label_col="label"):
@@ -187,19 +162,16 @@ def class_counts(df, label_col="label"):
 
 def detection_rate(df, pred_col="predicted"):
     """How many rows of an all-positive set were found."""
-    detected, missed = F.col("detected"), F.col("missed")
-    total = F.col("total")
     counted = df.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col(pred_col) == 1).alias("detected"),
         F.count_if(F.col(pred_col) == 0).alias("missed"),
     )
-    return counted.withColumns(
-        {
-            "detected_pct": ratio(detected * 100, total),
-            "missed_pct": ratio(missed * 100, total),
-            "detection_rate": round4(ratio(detected, total)),
-        }
+    return counted.selectExpr(
+        "*",
+        f"{ratio('detected * 100', 'total')} AS detected_pct",
+        f"{ratio('missed * 100', 'total')} AS missed_pct",
+        f"{round4(ratio('detected', 'total'))} AS detection_rate",
     )
 
 
@@ -218,39 +190,43 @@ def mean_score(df, score="score", by=()):
 
 def answered_accuracy(counted):
     """Accuracy per label over the rows that have a prediction, 0 when none has."""
-    df = confusion(counted)
-    hits, total = F.col("tp") + F.col("tn"), F.expr("tp + fp + tn + fn")
-    return df.select("ord", "label", hits.alias("correct"), total.alias("total"), ratio(hits, total).alias("accuracy"))
+    return confusion(counted).selectExpr(
+        "ord",
+        "label",
+        "tp + tn AS correct",
+        "tp + fp + tn + fn AS total",
+        f"{cell_metrics()['accuracy']} AS accuracy",
+    )
 
 
 def binary_report(counted):
     """Metrics, cells and the per-class report of one label (tallies with a single label)."""
-    c = F.get("cells", F.lit(0))
-    flipped = {"tp": c["tn"], "fp": c["fn"], "tn": c["tp"], "fn": c["fp"]}
     names = ("precision", "recall", "f1")
-    one, zero = cell_metrics(c), cell_metrics(flipped)
-    support = {1: c["tp"] + c["fn"], 0: c["tn"] + c["fp"]}
-    n = support[0] + support[1]
+    one = cell_metrics()
+    zero = {m: f"{m}0" for m in names}
+    both = confusion(counted).selectExpr(
+        *CELLS,
+        "tp + fn AS n1",
+        "tn + fp AS n0",
+        *[f"{one[m]} AS {m}1" for m in ("accuracy", *names)],
+        # The negative class swaps the roles of the cells.
+        f"{ratio('tn', 'tn + fn')} AS precision0",
+        f"{ratio('tn', 'tn + fp')} AS recall0",
+        f"{ratio('2 * tn', '2 * tn + fn + fp')} AS f10",
+    )
 
     def row(i, name, values, support):
-        return F.struct(
-            F.lit(i).alias("ord"),
-            F.lit(name).alias("class"),
-            *[values[m].alias(m) for m in names],
-            one["accuracy"].alias("accuracy"),
-            support.alias("support"),
-            *[c[cell].alias(cell) for cell in ("tp", "fp", "tn", "fn")],
-        )
+        shown = ", ".join(f"'{m}', {values[m]}" for m in names)
+        cells = ", ".join(f"'{cell}', {cell}" for cell in CELLS)
+        return f"""named_struct('ord', {i}, 'class', '{name}', {shown}, 'accuracy', accuracy1,
+            'support', {support}, {cells})"""
 
+    mean = {m: f"({m}0 + {m}1) / 2" for m in names}
+    weighted = {m: ratio(f"{m}0 * n0 + {m}1 * n1", "n0 + n1") for m in names}
     rows = [
-        row(0, "0", zero, support[0]),
-        row(1, "1", one, support[1]),
-        row(2, "macro avg", {m: (zero[m] + one[m]) / 2 for m in names}, n),
-        row(
-            3,
-            "weighted avg",
-            {m: ratio(zero[m] * support[0] + one[m] * support[1], n) for m in names},
-            n,
-        ),
+        row(0, "0", zero, "n0"),
+        row(1, "1", {m: f"{m}1" for m in names}, "n1"),
+        row(2, "macro avg", mean, "n0 + n1"),
+        row(3, "weighted avg", weighted, "n0 + n1"),
     ]
-    return counted.select(F.inline(F.array(*rows)))
+    return both.selectExpr(f"inline(array({', '.join(rows)}))")

@@ -7,11 +7,11 @@ from labelgauge.functions.text import preview
 from labelgauge.operators.errors import missed_rows
 from labelgauge.operators.metrics import (
     AVERAGED,
+    SUBSET_ACCURACY,
     category_counts,
     detection_rate,
-    macro_columns,
-    micro_columns,
-    subset_accuracy,
+    macro_sql,
+    pooled,
 )
 from labelgauge.schema import LABELS
 
@@ -36,26 +36,19 @@ VERDICT_LINE = "     → TRUE LABEL: 1 (Stereotype)  |  PREDICTED: 0 (Missed)"
 
 def run_summary(counted, config, labels=LABELS):
     """One row: the run's constants and a nested ``metrics`` struct."""
-    averages, pooled = macro_columns(labels), micro_columns(labels)
-    per_label = []
-    for i, name in enumerate(labels):
-        c = F.get("cells", F.lit(i))
-        values = cell_metrics(c)
-        per_label.append(
-            F.struct(
-                *[values[m].alias(m) for m in AVERAGED], (c["tp"] + c["fn"]).alias("support")
-            ).alias(name)
-        )
-    metrics = F.struct(
-        averages["f1"].alias("macro_f1"),
-        averages["precision"].alias("macro_precision"),
-        averages["recall"].alias("macro_recall"),
-        pooled["f1"].alias("micro_f1"),
-        subset_accuracy().alias("subset_accuracy"),
-        F.struct(*per_label).alias("per_label"),
+    means = macro_sql()
+    per_label = ", ".join(
+        f"'{name}', named_struct("
+        + ", ".join(f"'{m}', {v}" for m, v in cell_metrics(f"cells[{i}].").items() if m in AVERAGED)
+        + f", 'support', cells[{i}].tp + cells[{i}].fn)"
+        for i, name in enumerate(labels)
     )
+    metrics = f"""named_struct(
+        'macro_f1', {means["f1"]}, 'macro_precision', {means["precision"]},
+        'macro_recall', {means["recall"]}, 'micro_f1', {cell_metrics()["f1"]},
+        'subset_accuracy', {SUBSET_ACCURACY}, 'per_label', named_struct({per_label}))"""
     constants = [F.lit(v).alias(k) for k, v in config.items()]
-    return counted.select(*constants, metrics.alias("metrics"))
+    return pooled(counted).select(*constants, F.expr(metrics).alias("metrics"))
 
 
 def _line(section, line, ord=None, tie=None, part=0):

@@ -26,7 +26,7 @@ MATCHES = " + ".join(f"CASE WHEN t_{c} = p_{c} THEN 1 ELSE 0 END" for c in LABEL
 
 
 def score():
-    return row_accuracy([(F.col(c), F.col(f"pred_{c}")) for c in LABELS])
+    return row_accuracy([(c, f"pred_{c}") for c in LABELS])
 
 
 def counted(spark, sf):
@@ -308,9 +308,7 @@ base AS (SELECT coalesce(max(macro_f1), 0) AS b FROM macro WHERE approach = 'en'
   round(CASE WHEN b > 0 THEN (macro_f1 - b) * 100 / b ELSE 0 END, 6) AS gain_pct FROM macro, base""")
 def approach_comparison(spark, sf):
     groups = metrics.tallies(tables.six(spark, sf), by=["lang"])
-    approaches = groups.select(
-        F.col("lang").alias("approach"), metrics.macro_columns()["f1"].alias("macro_f1")
-    )
+    approaches = metrics.macro(groups, by=["lang"]).selectExpr("lang AS approach", "f1 AS macro_f1")
     df = cand.compare(approaches, "en")
     return rounded(df, "macro_f1", "baseline_score", "gain_pct")
 

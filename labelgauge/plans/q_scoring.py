@@ -25,7 +25,7 @@ from labelgauge.schema import LABELS
 
 
 def pairs():
-    return [(F.col(c), F.col(f"pred_{c}")) for c in LABELS]
+    return [(c, f"pred_{c}") for c in LABELS]
 
 
 # --- reply decoding: the oracle states the bits the replies were made from ---------------------
@@ -216,7 +216,7 @@ SELECT id, CASE WHEN contains(reply, answer) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE E
 def contained_answer_score(spark, sf):
     replies = tables.answer_replies(spark, sf).select("id", "raw_response")
     df = tables.truth_only(spark, sf).join(replies, "id")
-    answer, reply = answer_string({c: F.col(c) for c in LABELS}), F.col("raw_response")
+    answer, reply = answer_string({c: c for c in LABELS}), F.col("raw_response")
     return df.select(
         "id",
         scores.answer_contained(answer, reply).alias("score"),
@@ -313,7 +313,7 @@ EXACT = " AND ".join(f"t_{c} = p_{c}" for c in LABELS)
 @query(f"""WITH {SIX} SELECT count(*) AS n, count(*) FILTER ({EXACT}) AS exact,
   round(count(*) FILTER ({EXACT})::DOUBLE / count(*), 6) AS subset_accuracy FROM six""")
 def subset_accuracy(spark, sf):
-    df = counted(spark, sf).select("n", "exact", metrics.subset_accuracy().alias("subset_accuracy"))
+    df = metrics.subset_accuracy(counted(spark, sf))
     return rounded(df, "subset_accuracy")
 
 

@@ -267,7 +267,7 @@ ANSWER = " || ', ' || ".join(f"'{c}=' || t_{c}" for c in LABELS)
 
 @query(f"WITH {SIX} SELECT id, {ANSWER} AS answer FROM six")
 def answer_strings(spark, sf):
-    answer = answer_string({c: F.col(c) for c in LABELS})
+    answer = answer_string({c: c for c in LABELS})
     return tables.truth_only(spark, sf).select("id", answer.alias("answer"))
 
 
@@ -420,6 +420,6 @@ WHERE ({MATCHES}) >= 5 ORDER BY id LIMIT 8""")
 def demonstration_choice(spark, sf):
     from labelgauge.functions.scores import row_accuracy
 
-    score = row_accuracy([(F.col(c), F.col(f"pred_{c}")) for c in LABELS])
+    score = row_accuracy([(c, f"pred_{c}") for c in LABELS])
     df = split.demonstrations(tables.six(spark, sf), 8, score, 5 / 6 - 1e-9)
     return rounded(df.select("id", score.alias("score"), "text"), "score")

@@ -68,7 +68,7 @@ def candidate_run(rows, candidates, replies):
     already in it, so scoring is an equi-join by row id.
     """
     decoded = decode_fenced_json(replies.join(rows, "id"), "raw_response")
-    pairs = [(F.col(name), F.col(f"pred_{name}")) for name in LABELS]
+    pairs = [(name, f"pred_{name}") for name in LABELS]
     scored = decoded.withColumn("score", row_accuracy(pairs))
     scores = mean_score(scored, by=["candidate_id"])
     valid = passing_or_all(candidates, is_valid(F.col("body")))

@@ -10,6 +10,7 @@ from labelgauge.functions.labels import answer_string
 from labelgauge.schema import DISPLAY_NAMES, LABELS
 
 BITS = [f"p_{name}" for name in LABELS]
+KEPT = ["id", "text", "lang", "source", "n_chars"]
 
 
 def table(spark, sf, name):
@@ -28,24 +29,26 @@ def labelled(spark, sf):
 
 def six(spark, sf, truth="", pred="pred_"):
     """Six truth and six prediction columns per labelled document."""
-    i, n = F.col("id"), F.col("n_chars")
     truths = [
-        F.col("toxic"),
-        1 - F.col("quality"),
-        (i % 11 == 0).cast("int"),
-        (n % 3 == 0).cast("int"),
-        (n % 5 == 1).cast("int"),
-        (i % 6 == 2).cast("int"),
+        "toxic",
+        "1 - quality",
+        "int(id % 11 = 0)",
+        "int(n_chars % 3 = 0)",
+        "int(n_chars % 5 = 1)",
+        "int(id % 6 = 2)",
     ]
-    preds = [n % 4 == 0, n % 7 < 2, i % 22 == 0, n % 6 == 0, n % 5 < 2, i % 4 == 2]
-    return labelled(spark, sf).select(
-        "id",
-        "text",
-        "lang",
-        "source",
-        "n_chars",
-        *[t.alias(truth + name) for name, t in zip(LABELS, truths)],
-        *[p.cast("int").alias(pred + name) for name, p in zip(LABELS, preds)],
+    preds = [
+        "n_chars % 4 = 0",
+        "n_chars % 7 < 2",
+        "id % 22 = 0",
+        "n_chars % 6 = 0",
+        "n_chars % 5 < 2",
+        "id % 4 = 2",
+    ]
+    return labelled(spark, sf).selectExpr(
+        *KEPT,
+        *[f"{t} AS {truth}{name}" for name, t in zip(LABELS, truths)],
+        *[f"int({p}) AS {pred}{name}" for name, p in zip(LABELS, preds)],
     )
 
 
@@ -55,32 +58,38 @@ def truth_only(spark, sf):
 
 def bits_only(spark, sf):
     """The prediction bits under the names ``p_<label>``, as a separate table."""
-    keep = ["id", "text", "lang", "source", "n_chars"]
-    return six(spark, sf, pred="p_").select(*keep, *BITS)
+    return six(spark, sf, pred="p_").select(*KEPT, *BITS)
 
 
 def _pick(index, values):
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
-def _json_object(one_forms, zero_forms, note=None):
-    """The bits as a JSON object; their spelling changes from row to row, a text may follow."""
+def _with_json(df, one_forms, zero_forms, note=None):
+    """``body``: the bits as a JSON object, spelt differently from row to row; a text may follow."""
     style = F.col("n_chars") % len(one_forms)
-    one, zero = _pick(style, one_forms), _pick(style, zero_forms)
-    parts = [
-        F.concat(F.lit(f'"{name}": '), F.when(F.col(f"p_{name}") == 1, one).otherwise(zero))
-        for name in LABELS
-    ]
+    df = df.withColumns({"_one": _pick(style, one_forms), "_zero": _pick(style, zero_forms)})
+    parts = F.expr(
+        "concat_ws(', ', "
+        + ", ".join(f"""concat('"{c}": ', if(p_{c} = 1, _one, _zero))""" for c in LABELS)
+        + ")"
+    )
+    end = F.lit("}")
     if note is not None:
-        parts.append(F.regexp_extract(F.to_json(F.struct(note.alias("note"))), r"(?s)^\{(.*)\}$", 1))
-    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+        # {"note": "..."} without its opening brace closes the object.
+        end = F.concat(F.lit(", "), F.substr(F.to_json(F.struct(note.alias("note"))), F.lit(2)))
+    return df.withColumn("body", F.concat(F.lit("{"), parts, end)).drop("_one", "_zero")
 
 
 def fenced_replies(spark, sf):
     """Replies of the fenced-JSON kind; form by ``id % 6``, the last two of them unreadable."""
-    body = _json_object(
-        ("1", '"1"', "true", '"true"', "1.0"), ("0", '"0"', "false", '"no"', '"1.0"'), F.col("text")
+    df = _with_json(
+        bits_only(spark, sf),
+        ("1", '"1"', "true", '"true"', "1.0"),
+        ("0", '"0"', "false", '"no"', '"1.0"'),
+        F.col("text"),
     )
+    body = F.col("body")
     form = F.col("id") % 6
     reply = (
         F.when(form == 0, body)
@@ -90,14 +99,18 @@ def fenced_replies(spark, sf):
         .when(form == 4, F.concat(F.lit("No JSON: "), F.col("text")))
         .otherwise(F.concat(body, F.lit(" as asked")))
     )
-    return bits_only(spark, sf).withColumn("raw_response", reply)
+    return df.withColumn("raw_response", reply).drop("body")
 
 
 def braced_replies(spark, sf):
     """Replies with one object within prose; form by ``id % 6``, the last one unreadable."""
-    body = _json_object(
-        ("1", '"0"', "true", "2", "[0]"), ("0", '""', "false", "null", "{}"), F.col("text")
+    df = _with_json(
+        bits_only(spark, sf),
+        ("1", '"0"', "true", "2", "[0]"),
+        ("0", '""', "false", "null", "{}"),
+        F.col("text"),
     )
+    body = F.col("body")
     form = F.col("id") % 6
     reply = (
         F.when(form < 2, body)
@@ -105,28 +118,27 @@ def braced_replies(spark, sf):
         .when(form == 4, F.concat(F.lit("Sure. "), body, F.lit("\nAnything else?")))
         .otherwise(F.concat(F.lit("none {"), F.col("text")))
     )
-    return bits_only(spark, sf).withColumn("raw_response", reply)
+    return df.withColumn("raw_response", reply).drop("body")
 
 
 def six_line_replies(spark, sf):
     """Replies of six lines; form by ``id % 6``: named thrice, bare lines, bare digits, partial."""
-    bits = {name: F.col(f"p_{name}").cast("string") for name in LABELS}
+    def joined(between, parts):
+        return F.expr(f"concat_ws('{between}', {', '.join(parts)})")
 
-    def named(mark, names, change=F.concat):
-        lines = [
-            F.concat(change(F.lit(DISPLAY_NAMES[n])), F.lit(mark), bits[n]) for n in names
-        ]
-        return F.concat_ws("\n", *lines)
+    def named(mark, names=LABELS, change="{}"):
+        shown = {n: change.format(f"'{DISPLAY_NAMES[n]}'") for n in names}
+        return joined("\\n", [f"concat({shown[n]}, '{mark}', p_{n})" for n in names])
 
+    bits = [f"string({b})" for b in BITS]
     form = F.col("id") % 6
     after = F.concat(F.lit("\n\n"), F.col("text"))
-    bare = F.concat_ws(" \n ", *bits.values())
     reply = (
-        F.when(form == 0, F.concat(named(": ", LABELS), after))
-        .when(form == 1, F.concat(named(" = ", LABELS, F.lower), after))
-        .when(form == 2, F.concat(named(" -\n", LABELS, F.upper), after))
-        .when(form == 3, F.concat(F.lit("Stereotype: 1\n"), bare))
-        .when(form == 4, F.concat_ws(", ", *bits.values()))
+        F.when(form == 0, F.concat(named(": "), after))
+        .when(form == 1, F.concat(named(" = ", change="lower({})"), after))
+        .when(form == 2, F.concat(named(" -\\n", change="upper({})"), after))
+        .when(form == 3, F.concat(F.lit("Stereotype: 1\n"), joined(" \\n ", bits)))
+        .when(form == 4, joined(", ", bits))
         .otherwise(named(": ", LABELS[:3]))
     )
     return bits_only(spark, sf).withColumn("raw_response", reply)
@@ -134,8 +146,7 @@ def six_line_replies(spark, sf):
 
 def answer_replies(spark, sf):
     """Replies that hold the answer string of the prediction bits."""
-    bits = {name: F.col(f"p_{name}") for name in LABELS}
-    reply = F.concat(F.lit("So: "), answer_string(bits), F.lit("\n"), F.col("text"))
+    reply = F.concat(F.lit("So: "), answer_string(dict(zip(LABELS, BITS))), F.lit("\n"), F.col("text"))
     return bits_only(spark, sf).withColumn("raw_response", reply)
 
 
@@ -227,11 +238,9 @@ def candidate_replies(spark, sf):
     """
     df = truth_only(spark, sf).withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(2))))
     flipped = {
-        f"p_{name}": F.when(
-            (F.col("id") + k) % (F.col("candidate_id") + 2) == 0, 1 - F.col(name)
-        ).otherwise(F.col(name))
-        for k, name in enumerate(LABELS)
+        f"p_{c}": F.expr(f"if((id + {k}) % (candidate_id + 2) = 0, 1 - {c}, {c})")
+        for k, c in enumerate(LABELS)
     }
-    df = df.withColumns(flipped)
-    reply = F.concat(F.lit("```json\n"), _json_object(("1",), ("0",)), F.lit("\n```"))
+    df = _with_json(df.withColumns(flipped), ("1",), ("0",))
+    reply = F.concat(F.lit("```json\n"), "body", F.lit("\n```"))
     return df.select("candidate_id", "id", reply.alias("raw_response"))
