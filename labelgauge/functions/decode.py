@@ -2,13 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from labelgauge.functions.text import LINE_SPACE, SPACE, strip
+from labelgauge.functions.text import LINE_SPACE, SPACE, TOKEN, strip
 from labelgauge.schema import DISPLAY_NAMES, LABELS
 
 # An extra list entry behind the reply; where it does not come out again, the reply held more
 # or less than one JSON object.
 _TAIL = "#tail"
-_FENCE = "```"
 
 # The JSON values that count as 1, and those that count as false.
 ONE_VALUES = ("1", "1.0", '"1"', "true", '"true"')
@@ -81,17 +80,15 @@ def decode_fenced_json(df, raw_col, labels=LABELS, prefix="pred_"):
 
     Missing keys and unreadable replies give 0; ``parse_ok`` tells the latter apart.
     """
-    raw = strip(F.col(raw_col))
-    tagged = F.split_part(
-        F.split_part(raw, F.lit(_FENCE + "json"), F.lit(2)), F.lit(_FENCE), F.lit(1)
-    )
-    body = (
-        F.when(raw.contains(_FENCE + "json"), tagged)
-        .when(raw.contains(_FENCE), F.split_part(raw, F.lit(_FENCE), F.lit(2)))
-        .otherwise(raw)
+    df = df.withColumn("_raw", strip(F.col(raw_col)))
+    body = F.expr(
+        """CASE WHEN contains(_raw, '```json')
+                THEN split_part(split_part(_raw, '```json', 2), '```', 1)
+            WHEN contains(_raw, '```') THEN split_part(_raw, '```', 2)
+            ELSE _raw END"""
     )
     is_one = f"{{value}} IN ({_quoted(ONE_VALUES)})"
-    return _decode_object(df, strip(body), labels, prefix, is_one)
+    return _decode_object(df, strip(body), labels, prefix, is_one).drop("_raw")
 
 
 def decode_braced_json(df, raw_col, labels=LABELS, prefix="pred_"):
@@ -118,9 +115,7 @@ def field_value(raw, field):
 
 def first_word_yes_no(raw):
     """1 or 0 by the first word of the reply, null for any other word or an empty reply."""
-    word = F.split_part(
-        F.regexp_replace(strip(F.lower(raw)), f"{SPACE}+", " "), F.lit(" "), F.lit(1)
-    )
+    word = F.lower(F.regexp_extract(raw, f"^{SPACE}*({TOKEN})", 1))
     return F.when(word == "yes", 1).when(word == "no", 0)
 
 

@@ -58,12 +58,14 @@ def first_nonzero_score(*columns):
 
 def best_by_score(candidates, score):
     """The candidate with the highest score, the first in the list on ties."""
-    return candidates.orderBy(score.desc(), F.asc("candidate_id")).limit(1)
+    scored = candidates.withColumn("_score", score)
+    return scored.orderBy(F.desc("_score"), F.asc("candidate_id")).limit(1).drop("_score")
 
 
 def best_by_length(candidates, body="body"):
     """The candidate with the longest text, the first in the list on ties."""
-    return candidates.orderBy(F.length(body).desc(), F.asc("candidate_id")).limit(1)
+    sized = candidates.withColumn("_size", F.length(body))
+    return sized.orderBy(F.desc("_size"), F.asc("candidate_id")).limit(1).drop("_size")
 
 
 def best_score(scores, score="score"):

@@ -151,13 +151,10 @@ def label_totals(df, labels=LABELS):
     return totals.selectExpr(f"inline(array({rows}))")
 
 
-def class_counts(df, label_col="label"):
+def class_counts(df, label_col="label", ordered=True):
     """Rows per class, largest first."""
-    return (
-        df.groupBy(label_col)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), F.asc(label_col))
-    )
+    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), F.asc(label_col)) if ordered else counts
 
 
 def detection_rate(df, pred_col="predicted"):
@@ -175,9 +172,9 @@ def detection_rate(df, pred_col="predicted"):
     )
 
 
-def category_counts(df, category="trigger", pred_col="predicted"):
+def category_counts(df, category="trigger", pred_col="predicted", ordered=True):
     """Detected rows per category, the raw texts as they are, largest first."""
-    return class_counts(df.where(F.col(pred_col) == 1), category)
+    return class_counts(df.where(F.col(pred_col) == 1), category, ordered)
 
 
 def mean_score(df, score="score", by=()):

@@ -89,7 +89,7 @@ def probe_report(results, notes="", id_col="id"):
             _line(3, F.when(any_missed, THIN_BAR), part=4),
         )
     )
-    categories = category_counts(results).select(
+    categories = category_counts(results, ordered=False).select(
         _present(
             _line(
                 2,

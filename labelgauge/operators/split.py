@@ -21,7 +21,8 @@ def shuffle_key(id_col, seed=42):
 
 def shuffled(df, id_col="id", seed=42):
     """The whole table in seeded order."""
-    return df.orderBy(shuffle_key(id_col, seed), id_col)
+    keyed = df.withColumn("_key", shuffle_key(id_col, seed))
+    return keyed.orderBy("_key", id_col).drop("_key")
 
 
 def _position(id_col, seed):

@@ -13,8 +13,14 @@ BITS = [f"p_{name}" for name in LABELS]
 KEPT = ["id", "text", "lang", "source", "n_chars"]
 
 
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def documents(spark, sf):
