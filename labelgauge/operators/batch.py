@@ -11,8 +11,9 @@ from labelgauge.schema import LABELS
 def score_batch(df, predictor, prompt_col="prompt", raw_col="raw_response"):
     """Each row with the predictor's reply to its prompt, in Arrow batches within the partitions.
 
-    ``predictor`` is any picklable function from text to text. An exception stays with its row:
-    the reply is then ``<ERROR: ...>`` and ``failed`` is true.
+    ``predictor`` is any function from text to text that pickles: a closure travels with the job,
+    a module's function needs its module on the executors. An exception stays with its row: the
+    reply is then ``<ERROR: ...>`` and ``failed`` is true.
     """
     schema = T.StructType(df.schema.fields + [])
     schema = schema.add(raw_col, T.StringType()).add("failed", T.BooleanType())

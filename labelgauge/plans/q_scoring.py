@@ -124,14 +124,19 @@ def failure_counts(spark, sf):
 # --- batch scoring ------------------------------------------------------------------------------
 
 
-def length_model(prompt):
+def length_model(labels):
     """A stand-in model: labels by the length of the text, and no answer for some lengths."""
-    n = len(prompt) - len("Classify:\n")
-    if n % 10 == 0:
-        raise ValueError("no answer")
-    values = (n % 4 == 0, n % 7 < 2, n % 3 == 1, n % 6 == 0, n % 5 < 2, n % 2 == 0)
-    shown = ", ".join(f'"{c}": {int(v)}' for c, v in zip(LABELS, values))
-    return "```json\n{" + shown + "}\n```"
+    start = len("Classify:\n")
+
+    def model(prompt):
+        n = len(prompt) - start
+        if n % 10 == 0:
+            raise ValueError("no answer")
+        values = (n % 4 == 0, n % 7 < 2, n % 3 == 1, n % 6 == 0, n % 5 < 2, n % 2 == 0)
+        shown = ", ".join(f'"{c}": {int(v)}' for c, v in zip(labels, values))
+        return "```json\n{" + shown + "}\n```"
+
+    return model
 
 
 @query(f"""WITH {LABELLED} SELECT id, n_chars % 10 = 0 AS failed,
@@ -145,7 +150,7 @@ def length_model(prompt):
 FROM labelled""")
 def model_batch(spark, sf):
     rows = tables.labelled(spark, sf).select("id", user_prompt(F.col("text")).alias("prompt"))
-    answered = batch.score_batch(rows, length_model)
+    answered = batch.score_batch(rows, length_model(LABELS))
     df = decode.decode_fenced_json(answered, "raw_response")
     error = F.when(F.col("failed"), F.col("raw_response")).alias("error")
     return df.select("id", "failed", error, *PREDICTED)
