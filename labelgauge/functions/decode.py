@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from labelgauge.functions.text import LINE_SPACE, SPACE, TOKEN, strip
+from labelgauge.functions.text import LINE_SPACE, NOT_SPACE, SPACE, strip
 from labelgauge.schema import DISPLAY_NAMES, LABELS
 
 # An extra list entry behind the reply; where it does not come out again, the reply held more
@@ -115,7 +115,7 @@ def field_value(raw, field):
 
 def first_word_yes_no(raw):
     """1 or 0 by the first word of the reply, null for any other word or an empty reply."""
-    word = F.lower(F.regexp_extract(raw, f"^{SPACE}*({TOKEN})", 1))
+    word = F.lower(F.regexp_extract(raw, f"^{SPACE}*({NOT_SPACE}+)", 1))
     return F.when(word == "yes", 1).when(word == "no", 0)
 
 

@@ -29,48 +29,55 @@ def _position(id_col, seed):
     return F.struct(shuffle_key(id_col, seed).alias("h"), F.col(id_col).alias("i"))
 
 
-def _cutoffs(df, id_col, seed, targets):
-    """A scalar struct with, per name in ``targets``, the position of that many-th row.
+def _edges(keys, targets, by=()):
+    """The position of row k per target, as rows ``*by, mark, at``.
 
-    ``targets`` gives ``{name: f(n)}``, f taking the number of rows and giving a count column.
-    A count of zero has no position (null), one beyond n has the last row's.
+    ``keys`` has the columns ``*by, at``. ``targets`` gives ``{mark: f(n, least)}``, f taking the
+    number of rows (of the group) and that of the smallest group and giving a count column. A
+    count of zero has no position, one beyond n has that of the last row.
     """
-    keys = df.select(_position(id_col, seed).alias("at"))
     keys = keys.withColumn("bucket", F.substring("at.h", 1, BUCKET_DIGITS))
-    counts = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    counts = counts.withColumn("high", F.sum("c").over(running)).withColumn(
-        "n", F.sum("c").over(whole)
-    )
+    counts = keys.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("c"))
+    group = Window.partitionBy(*by)
+    running = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.select(
+        "*", F.sum("c").over(running).alias("high"), F.sum("c").over(group).alias("n")
+    ).withColumn("least", F.min("n").over(Window.partitionBy()))
     n = F.col("n")
     marks = F.array(
         *[
-            F.struct(F.lit(name).alias("mark"), F.least(n, f(n)).cast("long").alias("k"))
-            for name, f in targets.items()
+            F.struct(
+                F.lit(mark).alias("mark"),
+                F.least(n, f(n, F.col("least"))).cast("long").alias("k"),
+            )
+            for mark, f in targets.items()
         ]
     )
-    marks = counts.select("bucket", "c", "high", F.inline(marks)).where(
-        (F.col("k") <= F.col("high")) & (F.col("k") > F.col("high") - F.col("c"))
+    marks = (
+        counts.select(*by, "bucket", "c", "high", F.inline(marks))
+        .where((F.col("k") <= F.col("high")) & (F.col("k") > F.col("high") - F.col("c")))
+        .select(*by, "bucket", "mark", (F.col("k") - F.col("high") + F.col("c")).alias("nth"))
     )
-    marks = marks.select("bucket", "mark", (F.col("k") - F.col("high") + F.col("c")).alias("nth"))
-    # At most one row per target, so the broadcast does not grow with the data.
-    within = Window.partitionBy("mark", "bucket").orderBy("at")
-    edges = (
-        keys.join(F.broadcast(marks), "bucket")
+    # One row per target and group at most, so the broadcast does not grow with the data.
+    within = Window.partitionBy(*by, "mark", "bucket").orderBy("at")
+    return (
+        keys.join(F.broadcast(marks), [*by, "bucket"])
         .withColumn("rank", F.row_number().over(within))
         .where("rank = nth")
+        .select(*by, "mark", "at")
     )
-    return edges.agg(
-        F.struct(
-            *[F.max(F.when(F.col("mark") == m, F.col("at"))).alias(m) for m in targets]
-        ).alias("cut")
-    ).scalar()
+
+
+def _cutoffs(df, id_col, seed, targets):
+    """A scalar struct with the position of row k per target."""
+    edges = _edges(df.select(_position(id_col, seed).alias("at")), targets)
+    at = [F.max(F.when(F.col("mark") == m, F.col("at"))).alias(m) for m in targets]
+    return edges.agg(F.struct(*at)).scalar()
 
 
 def sample_n(df, n, id_col="id", seed=42):
     """A seeded sample of n rows, the whole table when it has no more."""
-    cut = _cutoffs(df, id_col, seed, {"end": lambda total: F.lit(n)})
+    cut = _cutoffs(df, id_col, seed, {"end": lambda total, _: F.lit(n)})
     return df.where(_position(id_col, seed) <= cut["end"])
 
 
@@ -88,10 +95,10 @@ def train_val_split(df, train, val, id_col="id", seed=42, fallback=False):
         id_col,
         seed,
         {
-            "train": lambda total: F.when(short(total), F.floor(total * F.lit(0.7))).otherwise(
-                train
-            ),
-            "val": lambda total: F.when(short(total), total).otherwise(train + val),
+            "train": lambda total, _: F.when(
+                short(total), F.floor(total * F.lit(0.7))
+            ).otherwise(train),
+            "val": lambda total, _: F.when(short(total), total).otherwise(train + val),
         },
     )
     at = _position(id_col, seed)
@@ -101,7 +108,7 @@ def train_val_split(df, train, val, id_col="id", seed=42, fallback=False):
 
 def holdout_split(df, test_size, id_col="id", seed=42):
     """``test_size`` seeded rows as 'test', all others as 'train'."""
-    cut = _cutoffs(df, id_col, seed, {"test": lambda total: F.lit(test_size)})
+    cut = _cutoffs(df, id_col, seed, {"test": lambda total, _: F.lit(test_size)})
     is_test = F.coalesce(_position(id_col, seed) <= cut["test"], F.lit(False))
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
@@ -109,17 +116,20 @@ def holdout_split(df, test_size, id_col="id", seed=42):
 def balanced(df, label_col="label", id_col="id", classes=(0, 1), seed=42):
     """Every class cut down to the size of the smallest, by seeded choice.
 
-    ``classes`` are the label's values, each at hand as a count and a cutoff: no join on the
-    label, so a class holding most rows stays spread over all tasks.
+    ``classes`` are the label's values; each has its cutoff at hand as a constant. There is no
+    join on the label, so a class holding most rows stays spread over all tasks.
     """
-    sizes = df.agg(*[F.count_if(F.col(label_col) == c).alias(f"n{i}") for i, c in enumerate(classes)])
-    present = [F.nullif(F.col(f"n{i}"), F.lit(0)) for i in range(len(classes))]
-    smallest = sizes.select(F.least(*present)).scalar()
+    label = F.col(label_col)
+    keys = df.where(label.isin(*classes)).select(
+        label.alias("class"), _position(id_col, seed).alias("at")
+    )
+    edges = _edges(keys, {"end": lambda _, least: least}, by=["class"])
+    names = {c: f"c{i}" for i, c in enumerate(classes)}
+    at = [F.max(F.when(F.col("class") == c, F.col("at"))).alias(x) for c, x in names.items()]
+    cut = edges.agg(F.struct(*at)).scalar()
     keep = F.lit(False)
-    for c in classes:
-        members = df.where(F.col(label_col) == c)
-        cut = _cutoffs(members, id_col, seed, {"end": lambda total: smallest})
-        keep = keep | ((F.col(label_col) == c) & (_position(id_col, seed) <= cut["end"]))
+    for c, x in names.items():
+        keep = keep | ((label == c) & (_position(id_col, seed) <= cut[x]))
     return df.where(keep)
 
 
