@@ -81,26 +81,28 @@ def underspecified(counted):
     return counted.selectExpr(f"posexplode({UNDERSPECIFIED}) AS (ord, line)")
 
 
-def expansion_plan(counted, k=4):
-    """Lines saying what to expand: the k most frequent errors, the worst pair, more examples."""
+def expansion_lines(k=4):
+    """SQL on tallies: what to expand, as an array of lines.
+
+    The k most frequent errors, then the worst pair, then a call for more examples.
+    """
     sections = ", ".join(f"'{label}', '{section}'" for label, section in SECTIONS.items())
-    df = counted.selectExpr(
-        f"slice({ERROR_ENTRIES}, 1, {k}) AS entries",
-        """get(array_sort(transform(filter(joint, p -> p.n_both > 0),
-            p -> named_struct('minus', -p.n_both, 'ord', p.ord, 'a', p.label_a, 'b', p.label_b))), 0)
-            AS pair""",
-    )
-    return df.selectExpr(
-        f"""posexplode(array_compact(concat(
-            transform(entries, e -> format_string(
-                'Section %s (%s): expand definition + markers — %d errors',
-                map({sections})[e.label], e.label, e.n_errors)),
-            array(
-                CASE WHEN pair IS NOT NULL THEN format_string(
-                    'Section 9: add rule distinguishing %s vs %s', pair.a, pair.b) END,
-                CASE WHEN size(entries) > 0
-                    THEN 'Section 11: add examples for labels with errors' END)))) AS (ord, line)"""
-    )
+    entries = f"slice({ERROR_ENTRIES}, 1, {k})"
+    worst_pair = """slice(array_sort(transform(filter(joint, p -> p.n_both > 0),
+        p -> named_struct('minus', -p.n_both, 'ord', p.ord, 'a', p.label_a, 'b', p.label_b))), 1, 1)"""
+    return f"""concat(
+        transform({entries}, e -> format_string(
+            'Section %s (%s): expand definition + markers — %d errors',
+            map({sections})[e.label], e.label, e.n_errors)),
+        transform({worst_pair}, p -> format_string(
+            'Section 9: add rule distinguishing %s vs %s', p.a, p.b)),
+        transform(slice({ERROR_ENTRIES}, 1, 1),
+            e -> 'Section 11: add examples for labels with errors'))"""
+
+
+def expansion_plan(counted, k=4):
+    """The lines of ``expansion_lines`` as rows."""
+    return counted.selectExpr(f"posexplode({expansion_lines(k)}) AS (ord, line)")
 
 
 def confusion_signal(k=2):
@@ -123,7 +125,7 @@ def reflective_records(
         tallies(df, labels, truth, pred)
         .selectExpr(
             f"""named_struct('confusion_signal', {confusion_signal()},
-                'underspecified_sections', {UNDERSPECIFIED})"""
+                'underspecified_sections', {UNDERSPECIFIED}, 'expansion_sections', {expansion_lines()})"""
         )
         .scalar()
     )

@@ -45,10 +45,10 @@ def tallies(df, labels=LABELS, truth="", pred="pred_", by=()):
         f"named_struct('ord', {j}, 'label_a', '{a}', 'label_b', '{b}', 'n_both', both{j})"
         for j, (a, b) in enumerate(couples)
     )
-    return (
-        df.groupBy(*by)
-        .agg(*[F.expr(f"count_if({condition})").alias(c) for c, condition in counts.items()])
-        .selectExpr(*by, "n", "exact", f"array({cells}) AS cells", f"array({joint}) AS joint")
+    counts = [f"count_if({condition}) AS {c}" for c, condition in counts.items()]
+    counted = df.groupBy(*by).agg(*map(F.expr, counts)) if by else df.selectExpr(*counts)
+    return counted.selectExpr(
+        *by, "n", "exact", f"array({cells}) AS cells", f"array({joint}) AS joint"
     )
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from labelgauge.functions.scores import cell_metrics
-from labelgauge.functions.text import preview
+from labelgauge.functions.text import preview, text_stats
 from labelgauge.operators.errors import missed_rows
 from labelgauge.operators.metrics import (
     AVERAGED,
@@ -34,8 +34,8 @@ FIELD_LINES = {
 VERDICT_LINE = "     → TRUE LABEL: 1 (Stereotype)  |  PREDICTED: 0 (Missed)"
 
 
-def run_summary(counted, config, labels=LABELS):
-    """One row: the run's constants and a nested ``metrics`` struct."""
+def run_summary(counted, config, labels=LABELS, by=()):
+    """The run's constants and a nested ``metrics`` struct, one row (per approach in ``by``)."""
     means = macro_sql()
     per_label = ", ".join(
         f"'{name}', named_struct("
@@ -48,7 +48,30 @@ def run_summary(counted, config, labels=LABELS):
         'macro_recall', {means["recall"]}, 'micro_f1', {cell_metrics()["f1"]},
         'subset_accuracy', {SUBSET_ACCURACY}, 'per_label', named_struct({per_label}))"""
     constants = [F.lit(v).alias(k) for k, v in config.items()]
-    return pooled(counted).select(*constants, F.expr(metrics).alias("metrics"))
+    return pooled(counted).select(*by, *constants, F.expr(metrics).alias("metrics"))
+
+
+def candidate_summary(best, scores, seed, config):
+    """One row on a choice of candidates: constants, the best text against its seed, the scores.
+
+    ``best`` is the chosen candidate's row, ``scores`` the table of mean scores, ``seed`` the text
+    the candidates grew from.
+    """
+    counted = scores.agg(
+        F.count(F.lit(1)).alias("num_candidates"),
+        F.coalesce(F.max("mean_score"), F.lit(0.0)).alias("best_score"),
+    )
+    scored = counted.select(F.struct("*")).scalar()
+    stats = text_stats(F.col("body"), F.lit(seed))
+    df = best.select("body", scored.alias("scored"))
+    return df.select(
+        *[F.lit(v).alias(k) for k, v in config.items()],
+        F.lit(len(seed)).alias("seed_prompt_length"),
+        stats["n_chars"].alias("optimized_prompt_length"),
+        stats["expansion_ratio"].alias("expansion_ratio"),
+        stats["markers_removed"].alias("expand_markers_removed"),
+        "scored.*",
+    )
 
 
 def _line(section, line, ord=None, tie=None, part=0):

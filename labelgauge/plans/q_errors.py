@@ -6,6 +6,7 @@ from labelgauge.functions.scores import row_accuracy
 from labelgauge.functions.text import system_prompt
 from labelgauge.operators import batch, errors, metrics
 from labelgauge.operators import candidates as cand
+from labelgauge.operators.report import candidate_summary as summary_of_candidates
 from labelgauge.operators.report import run_summary
 from labelgauge.operators.split import first_k, lowest_k
 from labelgauge.plans import runs, tables
@@ -121,12 +122,15 @@ PAIR_COUNTS = """pair_counts AS (
 worst AS (SELECT * FROM pair_counts ORDER BY n DESC, label_a, label_b LIMIT 1)"""
 
 
-@query(f"""{METRICS}, {KINDS}, {PAIR_COUNTS}, lines AS (
+PLAN_LINES = """lines AS (
   SELECT rank AS o, 'Section 5' || substring('abcdef', ord + 1, 1) || ' (' || label ||
     '): expand definition + markers — ' || n_errors || ' errors' AS line FROM ranked WHERE rank <= 4
   UNION ALL SELECT 5, 'Section 9: add rule distinguishing ' || label_a || ' vs ' || label_b FROM worst
   UNION ALL SELECT 6, 'Section 11: add examples for labels with errors'
-    WHERE EXISTS (SELECT * FROM kinds))
+    WHERE EXISTS (SELECT * FROM kinds))"""
+
+
+@query(f"""{METRICS}, {KINDS}, {PAIR_COUNTS}, {PLAN_LINES}
 SELECT (row_number() OVER (ORDER BY o) - 1)::INTEGER AS ord, line FROM lines""")
 def expansion_plan(spark, sf):
     return errors.expansion_plan(counted(spark, sf))
@@ -136,7 +140,9 @@ CANDIDATE = {"system_prompt": "Return six labels.", "style": "Be brief."}
 
 
 def reflective_sql(order, k):
-    return f"""{METRICS}, {KINDS}, signal AS (
+    return f"""{METRICS}, {KINDS}, {PAIR_COUNTS}, {PLAN_LINES},
+plan AS (SELECT string_agg(line, '|' ORDER BY o) AS expansion_sections FROM lines),
+signal AS (
   SELECT 'Most confused: [' || string_agg('((''' || label || ''', ''' || kind || '''), ' ||
     n_errors || ')', ', ' ORDER BY rank) || ']' AS confusion_signal FROM ranked WHERE rank <= 2),
 under AS (
@@ -147,12 +153,12 @@ components AS (SELECT 'system_prompt' AS component_name, 'Return six labels.' AS
   UNION ALL SELECT 'style', 'Be brief.')
 SELECT component_name, current_text, id, round(score, 6) AS score, text AS input,
   'reply to ' || source AS output, {ERRORS_TEXT} AS per_label_errors, confusion_signal,
-  underspecified_sections
-FROM picked, components, signal, under"""
+  underspecified_sections, expansion_sections
+FROM picked, components, signal, under, plan"""
 
 
 def shown(records):
-    arrays = ("per_label_errors", "underspecified_sections")
+    arrays = ("per_label_errors", "underspecified_sections", "expansion_sections")
     return rounded(records.withColumns({a: F.array_join(a, "|") for a in arrays}), "score")
 
 
@@ -273,6 +279,22 @@ def candidate_choice(spark, sf):
     return rounded(best.select("candidate_id", "n", "mean_score"), "mean_score")
 
 
+SEED = "[EXPAND] Return JSON [EXPAND]"
+
+
+@query(f"""WITH {SIX}, {CAND_SCORES}, best AS (SELECT candidate_id AS c, mean_score FROM cand_scores
+  WHERE candidate_id > 0 ORDER BY mean_score DESC, candidate_id LIMIT 1),
+body AS (SELECT length((ARRAY[{", ".join(f"'{x}'" for x in THREE)}])[c + 1])::BIGINT AS size FROM best)
+SELECT 15 AS val_size, {len(SEED)} AS seed_prompt_length, size AS optimized_prompt_length,
+  round(size::DOUBLE / {len(SEED)}, 6) AS expansion_ratio, 2::BIGINT AS expand_markers_removed,
+  (SELECT count(*) FROM cand_scores) AS num_candidates,
+  round((SELECT max(mean_score) FROM cand_scores), 6) AS best_score FROM body""")
+def candidate_summary(spark, sf):
+    run = run_of_candidates(spark, sf)
+    df = summary_of_candidates(run["best"], run["scores"], SEED, {"val_size": 15})
+    return rounded(df, "expansion_ratio", "best_score")
+
+
 FIRST_NONZERO = """coalesce(nullif(aggregate_score, 0), nullif(score, 0), nullif(metrics_aggregate, 0), 0)"""
 
 
@@ -313,6 +335,24 @@ def approach_comparison(spark, sf):
     return rounded(df, "macro_f1", "baseline_score", "gain_pct")
 
 
+@query(f"""{LANG_METRICS}, exact AS (SELECT lang, avg(CASE WHEN {MATCHES} = 6 THEN 1.0 ELSE 0.0 END)
+  AS e FROM six GROUP BY lang)
+SELECT approach, 30 AS val_size, round(macro_f1, 6) AS macro_f1, round(e, 6) AS subset_accuracy,
+  round(f1, 6) AS stereotype_f1
+FROM macro JOIN exact ON approach = exact.lang
+  JOIN f1s ON approach = f1s.lang AND f1s.label = 'stereotype'""")
+def approach_summaries(spark, sf):
+    groups = metrics.tallies(tables.six(spark, sf), by=["lang"])
+    df = run_summary(groups, {"val_size": 30}, by=["lang"]).select(
+        F.col("lang").alias("approach"),
+        "val_size",
+        F.col("metrics.macro_f1").alias("macro_f1"),
+        F.col("metrics.subset_accuracy").alias("subset_accuracy"),
+        F.col("metrics.per_label.stereotype.f1").alias("stereotype_f1"),
+    )
+    return rounded(df, "macro_f1", "subset_accuracy", "stereotype_f1")
+
+
 # --- whole runs ----------------------------------------------------------------------------------
 
 
