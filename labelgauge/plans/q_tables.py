@@ -280,8 +280,8 @@ def text_previews(spark, sf):
 
 
 @query("""SELECT doc_id AS id, length('[EXPAND] ' || text || '[EXPANDED]')::BIGINT AS n_chars,
-  2 AS markers, 19 AS growth, round(1900.0::DOUBLE / length(text), 6) AS growth_pct,
-  round((length(text) + 19)::DOUBLE / length(text), 6) AS expansion_ratio, -2 AS markers_removed
+  2::BIGINT AS markers, 19::BIGINT AS growth, round(1900.0::DOUBLE / length(text), 6) AS growth_pct,
+  round((length(text) + 19)::DOUBLE / length(text), 6) AS expansion_ratio, (-2)::BIGINT AS markers_removed
 FROM documents""")
 def text_statistics(spark, sf):
     text = F.concat(F.lit("[EXPAND] "), "text", F.lit("[EXPANDED]"))
