@@ -20,9 +20,16 @@ def shuffle_key(id_col, seed=42):
 
 
 def shuffled(df, id_col="id", seed=42):
-    """The whole table in seeded order."""
+    """The whole table in seeded order, from the first row of the first partition on.
+
+    The hash is evenly spread, so its leading digits name the partition. A sort would read the
+    table once more to find partition bounds.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn("_key", shuffle_key(id_col, seed))
-    return keyed.orderBy("_key", id_col).drop("_key")
+    share = F.expr(f"int(shiftright(bigint(conv(left(_key, 8), 16, 10)) * {n}, 32))")
+    keyed = keyed.repartitionById(n, share)
+    return keyed.sortWithinPartitions("_key", id_col).drop("_key")
 
 
 def _position(id_col, seed):
@@ -36,7 +43,9 @@ def _edges(keys, targets, by=()):
     number of rows (of the group) and that of the smallest group and giving a count column. A
     count of zero has no position, one beyond n has that of the last row.
     """
-    keys = keys.withColumn("bucket", F.substring("at.h", 1, BUCKET_DIGITS))
+    # Never null, so that the join below needs no null check that would hash every id again.
+    bucket = F.coalesce(F.substring("at.h", 1, BUCKET_DIGITS), F.lit(""))
+    keys = keys.withColumn("bucket", bucket)
     counts = keys.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("c"))
     group = Window.partitionBy(*by)
     running = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
