@@ -3,10 +3,13 @@
 A candidate table has ``candidate_id`` (its place in the list, from 0), ``component`` and ``body``.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from labelgauge.functions.text import token_count
-from labelgauge.operators.sizing import broadcast_when_small
+from labelgauge.operators.sizing import is_small
 from labelgauge.schema import LABELS
 
 # Fixed values of the two gates.
@@ -19,7 +22,7 @@ MAX_RARE_SHARE = 0.05
 
 def is_valid(body, labels=LABELS):
     """Long enough, asks for JSON and names a label."""
-    named = body.rlike("|".join(labels))
+    named = reduce(or_, [body.contains(name) for name in labels])
     return F.coalesce((F.length(body) >= MIN_CHARS) & body.contains("JSON") & named, F.lit(False))
 
 
@@ -27,10 +30,10 @@ def is_valid_strict(body):
     """Enough words, shows a JSON object, keeps its title and few characters beyond U+2710."""
     rare = F.regexp_count(body, F.lit(RARE_CHARACTER))
     return F.coalesce(
-        (token_count(body) >= MIN_TOKENS)
-        & body.contains("{")
+        body.contains("{")
         & body.contains(TITLE)
-        & (F.try_divide(rare, F.length(body)) <= MAX_RARE_SHARE),
+        & (F.try_divide(rare, F.length(body)) <= MAX_RARE_SHARE)
+        & (token_count(body) >= MIN_TOKENS),
         F.lit(False),
     )
 
@@ -41,14 +44,20 @@ def passing_or_all(candidates, ok):
     return candidates.where(ok | ~any_ok)
 
 
-def candidate_requests(rows, candidates):
+def candidate_requests(rows, candidates, id_col="id"):
     """Every candidate on every row: rows are repeated per place in the list, then joined by it.
 
-    The output is that large by meaning. Bodies are broadcast while they are small.
+    The output is that large by meaning. Bodies are broadcast when their measured size is small;
+    beyond that the join is salted by row id, as each candidate meets all rows.
     """
     last = candidates.agg(F.max("candidate_id").cast("int")).scalar()
     repeated = rows.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), last)))
-    return repeated.join(broadcast_when_small(candidates), "candidate_id")
+    if is_small(candidates):
+        return repeated.join(F.broadcast(candidates), "candidate_id")
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = repeated.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
+    copies = candidates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, ["candidate_id", "_salt"]).drop("_salt")
 
 
 def first_nonzero_score(*columns):

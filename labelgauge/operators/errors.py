@@ -10,8 +10,13 @@ from labelgauge.operators.metrics import tallies
 from labelgauge.operators.split import first_k, lowest_k
 from labelgauge.schema import LABELS
 
-# Error names and the section a label is described in.
+# Error names, the wording of lines, and the section a label is described in.
 MISSED, FALSE_ALARM, ALL_CORRECT = "MISSED", "FALSE ALARM", "(all correct)"
+UNDERSPECIFIED_LINE = "Section 5: %s (FP=%d, FN=%d)"
+EXPAND_LINE = "Section %s (%s): expand definition + markers — %d errors"
+PAIR_LINE = "Section 9: add rule distinguishing %s vs %s"
+EXAMPLES_LINE = "Section 11: add examples for labels with errors"
+SIGNAL_START, SIGNAL_ENTRY = "Most confused: ", "(('%s', '%s'), %d)"
 SECTIONS = {
     "stereotype": "5a",
     "vilification": "5b",
@@ -73,8 +78,8 @@ def most_frequent_errors(counted, k):
 
 
 # A line per label with errors, in label order.
-UNDERSPECIFIED = """transform(filter(cells, c -> c.fp + c.fn > 0),
-    c -> format_string('Section 5: %s (FP=%d, FN=%d)', c.label, c.fp, c.fn))"""
+UNDERSPECIFIED = f"""transform(filter(cells, c -> c.fp + c.fn > 0),
+    c -> format_string('{UNDERSPECIFIED_LINE}', c.label, c.fp, c.fn))"""
 
 
 def underspecified(counted):
@@ -92,12 +97,9 @@ def expansion_lines(k=4):
         p -> named_struct('minus', -p.n_both, 'ord', p.ord, 'a', p.label_a, 'b', p.label_b))), 1, 1)"""
     return f"""concat(
         transform({entries}, e -> format_string(
-            'Section %s (%s): expand definition + markers — %d errors',
-            map({sections})[e.label], e.label, e.n_errors)),
-        transform({worst_pair}, p -> format_string(
-            'Section 9: add rule distinguishing %s vs %s', p.a, p.b)),
-        transform(slice({ERROR_ENTRIES}, 1, 1),
-            e -> 'Section 11: add examples for labels with errors'))"""
+            '{EXPAND_LINE}', map({sections})[e.label], e.label, e.n_errors)),
+        transform({worst_pair}, p -> format_string('{PAIR_LINE}', p.a, p.b)),
+        transform(slice({ERROR_ENTRIES}, 1, 1), e -> '{EXAMPLES_LINE}'))"""
 
 
 def expansion_plan(counted, k=4):
@@ -108,8 +110,8 @@ def expansion_plan(counted, k=4):
 def confusion_signal(k=2):
     """SQL on tallies: the k most frequent errors as one line."""
     shown = f"""transform(slice({ERROR_ENTRIES}, 1, {k}),
-        e -> format_string("(('%s', '%s'), %d)", e.label, e.kind, e.n_errors))"""
-    return f"concat('Most confused: [', array_join({shown}, ', '), ']')"
+        e -> format_string("{SIGNAL_ENTRY}", e.label, e.kind, e.n_errors))"""
+    return f"concat('{SIGNAL_START}[', array_join({shown}, ', '), ']')"
 
 
 def reflective_records(

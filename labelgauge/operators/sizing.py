@@ -6,11 +6,11 @@ from pyspark.sql import types as T
 MAX_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_when_small(df, max_bytes=MAX_BYTES):
-    """Mark ``df`` for broadcast when its measured size allows; beyond, Spark picks the join."""
+def is_small(df, max_bytes=None):
+    """Whether the rows of ``df``, measured by a pass over it, fit into ``max_bytes``."""
     texts = [f.name for f in df.schema.fields if f.dataType == T.StringType()]
     width = F.lit(16 * len(df.columns))
     for name in texts:
         width = width + F.coalesce(F.octet_length(name), F.lit(0))
     size = df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()["size"]
-    return F.broadcast(df) if size <= max_bytes else df
+    return size <= (MAX_BYTES if max_bytes is None else max_bytes)

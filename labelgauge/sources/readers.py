@@ -4,6 +4,7 @@ Schemas are given, never inferred. ``multi_line`` is on by default since quoted
 lines; turn it off for files whose records do not, so that large files are split among tasks.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,11 +61,13 @@ def read_multilabel(spark, paths, text_col="translated_te", labels=LABELS, multi
 
 def first_existing(spark, paths):
     """The first of ``paths`` that exists, as in a list of usual places."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        if place.getFileSystem(conf).exists(place):
+        try:
+            spark.read.text(path)
             return path
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
     raise FileNotFoundError(f"none of {list(paths)} exists")
 
 

@@ -162,7 +162,10 @@ def test_requests_and_comparison(spark, monkeypatch):
     got = cand.candidate_requests(rows_, bodies)
     assert {(r.body, r.id) for r in got.collect()} == want and got.count() == 4
     monkeypatch.setattr("labelgauge.operators.sizing.MAX_BYTES", 0)
-    assert {(r.body, r.id) for r in cand.candidate_requests(rows_, bodies).collect()} == want
+    salted = cand.candidate_requests(rows_, bodies)
+    assert "BroadcastExchange" not in salted._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.body, r.id) for r in salted.collect()} == want and salted.count() == 4
     assert cand.candidate_requests(rows_, bodies.where("candidate_id > 9")).count() == 0
     f1 = spark.createDataFrame([("base", 0.4), ("new", 0.5)], "approach string, macro_f1 double")
     got = {r.approach: r.gain_pct for r in cand.compare(f1, "base").collect()}
