@@ -8,6 +8,7 @@ from labelgauge.functions.labels import (
     label_sum,
     membership_label,
 )
+from labelgauge.functions.scores import row_accuracy
 from labelgauge.functions.text import (
     preview,
     system_prompt,
@@ -18,7 +19,7 @@ from labelgauge.functions.text import (
     user_prompt,
 )
 from labelgauge.operators import clean, split
-from labelgauge.operators.errors import false_negatives, false_positives, missed_rows
+from labelgauge.operators.errors import false_negatives, false_positives, missed_rows, tagged_errors
 from labelgauge.operators.metrics import tallies
 from labelgauge.operators.report import REPORT_ORDER, probe_report, run_summary
 from labelgauge.plans import tables
@@ -348,8 +349,6 @@ def exact_dedup(spark, sf):
 SELECT id, CASE WHEN label = 0 THEN 'False Positive' ELSE 'False Negative' END AS error_type
 FROM results WHERE label <> predicted""")
 def tagged_error_union(spark, sf):
-    from labelgauge.operators.errors import tagged_errors
-
     return tagged_errors(tables.binary_results(spark, sf)).select("id", "error_type")
 
 
@@ -418,8 +417,6 @@ MATCHES = " + ".join(f"CASE WHEN t_{c} = p_{c} THEN 1 ELSE 0 END" for c in LABEL
 @query(f"""WITH {SIX} SELECT id, round(({MATCHES})::DOUBLE / 6, 6) AS score, text FROM six
 WHERE ({MATCHES}) >= 5 ORDER BY id LIMIT 8""")
 def demonstration_choice(spark, sf):
-    from labelgauge.functions.scores import row_accuracy
-
     score = row_accuracy([(c, f"pred_{c}") for c in LABELS])
     df = split.demonstrations(tables.six(spark, sf), 8, score, 5 / 6 - 1e-9)
     return rounded(df.select("id", score.alias("score"), "text"), "score")

@@ -1,6 +1,8 @@
 """The three whole runs: multi-label evaluation, all-positive probe, candidate choice.
 
-Each takes tables and gives tables; nothing is computed before a result is asked for.
+Each takes tables and gives tables; nothing is computed before a result is asked for. Decoding
+feeds several results: with a ``store`` path in the shared folder the decoded rows are written
+there once, without one they are decoded anew for each result.
 """
 
 from pyspark.sql import functions as F
@@ -27,41 +29,44 @@ from labelgauge.operators.metrics import (
     tallies,
 )
 from labelgauge.schema import LABELS
+from labelgauge.sources.writers import stored
 
 PREDICTED = [f"pred_{name}" for name in LABELS]
 
 
-def multilabel_run(rows, replies):
+def multilabel_run(rows, replies, store=None):
     """Stored six-line replies against multi-label truth."""
     decoded = score_stored_replies(rows, replies, decode_six_lines)
     predictions = with_defaults(decoded, PREDICTED).withColumn(
         "raw_model_output", kept_reply(F.col("raw_response"))
     )
+    predictions = stored(predictions.drop("raw_response"), store)
     counted = tallies(predictions)
     return {
-        "predictions": predictions.drop("raw_response"),
+        "predictions": predictions,
         "failures": predictions.agg(F.sum("failed_cells").alias("parse_failures")),
         "metrics": label_metrics(counted, rounded=True),
         "macro": macro(counted, round_first=True),
     }
 
 
-def probe_run(positives, replies):
+def probe_run(positives, replies, store=None):
     """Stored yes/no replies on a set in which every row is positive."""
     positives = first_of_each_text(drop_empty_text(positives), ["id"])
     decoded = score_stored_replies(positives, replies, decode_probe)
     results = with_defaults(decoded, ["predicted"]).withColumn(
         "raw_output", kept_reply(F.col("raw_response"), "ERROR")
     )
+    results = stored(results.drop("raw_response"), store)
     return {
-        "results": results.drop("raw_response"),
+        "results": results,
         "rate": detection_rate(results),
         "triggers": category_counts(results),
         "missed": missed_rows(results),
     }
 
 
-def candidate_run(rows, candidates, replies):
+def candidate_run(rows, candidates, replies, store=None):
     """Stored fenced-JSON replies of several candidates; scores, the choice and its metrics.
 
     ``replies`` has ``candidate_id, id, raw_response``: the product of candidates and rows is
@@ -69,14 +74,14 @@ def candidate_run(rows, candidates, replies):
     """
     decoded = decode_fenced_json(replies.join(rows, "id"), "raw_response")
     pairs = [(name, f"pred_{name}") for name in LABELS]
-    scored = decoded.withColumn("score", row_accuracy(pairs))
+    scored = stored(decoded.withColumn("score", row_accuracy(pairs)), store)
     scores = mean_score(scored, by=["candidate_id"])
     valid = passing_or_all(candidates, is_valid(F.col("body")))
     best = best_by_score(
         valid.join(scores, "candidate_id", "left"), F.coalesce(F.col("mean_score"), F.lit(0.0))
     )
     chosen = best.select("candidate_id").scalar()
-    counted = tallies(decoded.where(F.col("candidate_id") == chosen))
+    counted = tallies(scored.where(F.col("candidate_id") == chosen))
     return {
         "scored": scored,
         "scores": scores,

@@ -6,6 +6,13 @@ def write_table(df, path):
     return path
 
 
+def stored(df, path=None):
+    """``df`` written to ``path`` and read back, so that it is computed once; as it is without one."""
+    if path is None:
+        return df
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, path))
+
+
 def write_csv(df, path, partition_by=()):
     """CSV that reads back unchanged: header, doubled quotes, outer blanks kept."""
     (

@@ -21,7 +21,7 @@ def rows(spark):
     )
 
 
-def test_multilabel_run(spark, rows):
+def test_multilabel_run(spark, rows, tmp_path):
     replies = [(0, six_lines("101000")), (1, "Stereotype: 1"), (2, "")]
     run = multilabel_run(rows, spark.createDataFrame(replies, "id long, raw_response string"))
     # Five labels missing in reply 1, all six in the empty reply and in the absent one.
@@ -31,6 +31,11 @@ def test_multilabel_run(spark, rows):
     found = {r.label: (r.tp, r.fp, r.tn, r.fn) for r in run["metrics"].collect()}
     assert found["stereotype"] == (1, 1, 1, 1)
     assert found["invalidation"] == (0, 0, 1, 3)
+    again = multilabel_run(
+        rows, spark.createDataFrame(replies, "id long, raw_response string"), str(tmp_path / "p")
+    )
+    for name in ("predictions", "metrics"):
+        assert sorted(again[name].collect()) == sorted(run[name].collect())
     assert run["macro"].first().accuracy == pytest.approx((0.5 + 0.5 + 0.75 + 0.5 + 0.75 + 0.25) / 6)
 
 
