@@ -17,7 +17,6 @@ from labelgauge.plans.registry import (
     METRICS,
     PROBE,
     SIX,
-    bits,
     query,
     rounded,
 )

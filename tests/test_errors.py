@@ -145,7 +145,10 @@ def test_gates(spark):
 
 
 def test_choice_of_candidates(spark):
-    data = [(0, 0.0, None, 0.5, "aa"), (1, None, 0.7, 0.9, "bbb"), (2, 0.7, 0.1, None, "ccc"), (3, None, None, None, "d")]
+    data = [
+        (0, 0.0, None, 0.5, "aa"), (1, None, 0.7, 0.9, "bbb"), (2, 0.7, 0.1, None, "ccc"),
+        (3, None, None, None, "d"),
+    ]
     df = spark.createDataFrame(data, "candidate_id int, a double, b double, c double, body string")
     score = cand.first_nonzero_score(F.col("a"), F.col("b"), F.col("c"))
     assert [r[0] for r in df.select(score).collect()] == [0.5, 0.7, 0.7, 0.0]
