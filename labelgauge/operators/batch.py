@@ -8,25 +8,27 @@ from labelgauge.functions.text import user_prompt
 from labelgauge.schema import LABELS
 
 
-def score_batch(df, predictor, prompt_col="prompt", raw_col="raw_response"):
+def score_batch(df, predictor=None, prompt_col="prompt", raw_col="raw_response", setup=None):
     """Each row with the predictor's reply to its prompt, in Arrow batches within the partitions.
 
     ``predictor`` is any function from text to text that pickles: a closure travels with the job,
-    a module's function needs its module on the executors. An exception stays with its row: the
-    reply is then ``<ERROR: ...>`` and ``failed`` is true.
+    a module's function needs its module on the executors. A model that is slow to load comes by
+    ``setup`` instead, which each task calls once to get its predictor. An exception stays with
+    its row: the reply is then ``<ERROR: ...>`` and ``failed`` is true.
     """
     schema = T.StructType(df.schema.fields + [])
     schema = schema.add(raw_col, T.StringType()).add("failed", T.BooleanType())
 
-    def answer(prompt):
+    def answer(model, prompt):
         try:
-            return predictor(prompt), False
+            return model(prompt), False
         except Exception as error:
             return f"<ERROR: {error}>", True
 
     def run(batches):
+        model = setup() if setup else predictor
         for batch in batches:
-            answers = [answer(prompt) for prompt in batch[prompt_col]]
+            answers = [answer(model, prompt) for prompt in batch[prompt_col]]
             batch[raw_col] = [a for a, _ in answers]
             batch["failed"] = [f for _, f in answers]
             yield batch

@@ -152,8 +152,8 @@ def label_totals(df, labels=LABELS):
 
 
 def class_counts(df, label_col="label", ordered=True):
-    """Rows per class, largest first."""
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per class, largest first; rows without a class are left out."""
+    counts = df.where(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), F.asc(label_col)) if ordered else counts
 
 

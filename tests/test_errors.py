@@ -123,6 +123,21 @@ def test_evaluation_contract(sample):
     assert got[1].score == 0 and got[0].score == 1 and got[0].ground_truth.stereotype == 1
 
 
+def test_model_is_set_up_once_per_task(spark):
+    def setup():
+        calls = []
+
+        def model(prompt):
+            calls.append(prompt)
+            return str(len(calls))
+
+        return model
+
+    df = spark.range(10).selectExpr("id", "string(id) AS prompt").coalesce(1)
+    got = {r.raw_response for r in batch.score_batch(df, setup=setup).collect()}
+    assert got == {str(i) for i in range(1, 11)}
+
+
 BODY = "Return JSON with stereotype. " + "x" * 100
 
 
