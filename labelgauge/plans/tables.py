@@ -222,16 +222,19 @@ def candidates(spark, sf):
     )
 
 
+# The languages the documents are in; a candidate's place in the list is its language's.
+LANGUAGES = ("de", "en", "es", "fr")
+
+
 def language_candidates(spark, sf):
     """One short candidate per language of the documents, numbered from 0."""
-    langs = documents(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    numbered = langs.agg(F.array_sort(F.collect_set("lang")).alias("langs")).select(
-        F.posexplode("langs").alias("candidate_id", "lang")
-    )
-    return numbered.select(
-        "candidate_id",
+    place = F.array_position(F.array(*[F.lit(x) for x in LANGUAGES]), F.col("lang")) - 1
+    langs = documents(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n_documents"))
+    return langs.select(
+        place.cast("int").alias("candidate_id"),
         F.concat(
-            F.lit("Return JSON with stereotype and the other labels for text in "), F.col("lang"),
+            F.lit("Return JSON with stereotype and the other labels for text in "),
+            F.col("lang"),
             F.lit(". Be exact; give every label the value 0 or 1 and nothing else."),
         ).alias("body"),
     )

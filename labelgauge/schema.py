@@ -1,6 +1,4 @@
-"""Label set and table schemas."""
-
-from pyspark.sql import types as T
+"""Label set, column names and the schema check."""
 
 # The six labels in report order and their display names.
 LABELS = (
@@ -20,13 +18,8 @@ DISPLAY_NAMES = {
     "invalidation": "Invalidation",
 }
 
-# Raw labelled sentences, as they stand in the CSV files.
-SENTENCES = T.StructType(
-    [
-        T.StructField("Sentences", T.StringType()),
-        T.StructField("Label", T.StringType()),
-    ]
-)
+# The columns of raw labelled sentences and what they become.
+SENTENCE_COLUMNS = {"Sentences": "text", "Label": "label"}
 
 
 def require_columns(df, columns):

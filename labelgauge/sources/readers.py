@@ -1,7 +1,9 @@
 """CSV readers for labelled text.
 
-Schemas are given, never inferred. ``multi_line`` is on by default since quoted fields may span
-lines; turn it off for files whose records do not, so that large files are split among tasks.
+Columns are strings, named by the header, and typed by us; types are never inferred. Files read
+together must have the same header, else the read fails rather than mix columns up.
+``multi_line`` is on by default since quoted fields may span lines; turn it off for files whose
+records do not, so that large files are split among tasks.
 """
 
 from pyspark.errors import AnalysisException
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelgauge.functions.labels import coerce_label, membership_label
-from labelgauge.schema import LABELS, SENTENCES, require_columns
+from labelgauge.schema import LABELS, SENTENCE_COLUMNS, require_columns
 
 # Cells read as null.
 NULL_CELLS = (
@@ -21,6 +23,7 @@ NULL_CELLS = (
 def _csv(spark, paths, schema=None, multi_line=True):
     reader = (
         spark.read.option("header", True)
+        .option("enforceSchema", False)
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("ignoreLeadingWhiteSpace", False)
@@ -36,15 +39,13 @@ def null_cells(df, columns=None):
 
 
 def read_labelled_csv(spark, paths, multi_line=True):
-    """All matching ``Sentences,Label`` files as ``text, label, source``.
+    """All matching files as ``text, label, source``; ``Sentences`` and ``Label`` are renamed.
 
     A path without any match raises an error, as Spark does on its own.
     """
-    df = _csv(spark, paths, SENTENCES, multi_line)
-    df = df.select(
-        F.col("Sentences").alias("text"),
-        F.col("Label").alias("label"),
-        F.col("_metadata.file_path").alias("source"),
+    df = _csv(spark, paths, None, multi_line).withColumnsRenamed(SENTENCE_COLUMNS)
+    df = require_columns(df, ["text", "label"]).select(
+        "text", "label", F.col("_metadata.file_path").alias("source")
     )
     return null_cells(df, ["text", "label"])
 

@@ -35,6 +35,18 @@ def test_labelled_files(spark, tmp_path):
         readers.read_labelled_csv(spark, f"{tmp_path}/none*.csv")
 
 
+def test_columns_go_by_name(spark, tmp_path):
+    write(tmp_path / "a.csv", "Label,extra,Sentences\nPositive,x,one\n")
+    got = readers.read_labelled_csv(spark, f"{tmp_path}/a.csv").first()
+    assert (got.text, got.label) == ("one", "Positive")
+    write(tmp_path / "b.csv", "Sentences,extra,Label\ntwo,x,Negative\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_labelled_csv(spark, f"{tmp_path}/*.csv").collect()
+    write(tmp_path / "c.csv", "other,Label\ntwo,Negative\n")
+    with pytest.raises(ValueError, match="missing columns"):
+        readers.read_labelled_csv(spark, f"{tmp_path}/c.csv")
+
+
 def test_multilabel_file(spark, tmp_path):
     head = "text,translated_te," + ",".join(LABELS)
     path = write(tmp_path / "m.csv", f"{head}\nen,te,1,0,1.0,x,,1\nen,,1,1,1,1,1,1\n")
