@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from labelgauge.llm import decontam, mixing, near_dedup, quality_nb
 from labelgauge.llm.suffix_dedup import remove_repeats
 
 QUERIES, ORACLES = {}, {}
@@ -26,3 +27,43 @@ def op7_suffix_array_dedup(spark, sf):
     """Per document: what stays when every 200-byte string that occurs twice or more is removed."""
     rows = remove_repeats(table(spark, sf, "documents").select("doc_id", "text"), length=200)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op4_dart_minhash(spark, sf):
+    """Per document: the near-duplicate class (its first doc_id), its size, and whether it is the first."""
+    docs = table(spark, sf, "documents")
+    classes = near_dedup.near_classes(docs)
+    real = F.when(F.col("class_id") > -(2**63), F.col("class_id"))
+    first = (F.col("id_") == F.col("class_id")) & (F.col("hash_") == F.col("class_hash"))
+    own = F.when(F.col("id_") > -(2**63), F.col("id_"))
+    return classes.select(own.alias("doc_id"), real.alias("class_id"), "n_texts", first.alias("kept"))
+
+
+@query()
+def op2_qgram_decontamination(spark, sf):
+    """Per document and benchmark item found in it: the segments, the least edits, the bytes spanned."""
+    return decontam.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op6_pfair_mixing(spark, sf):
+    """Per document: its slot and place in the mix of the sources by the roots of their sizes."""
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    mixed = mixing.mix(docs, mixing.root_weights(docs), order=("doc_id",))
+    return mixed.select("doc_id", "source", "slot", "place", "in_mix")
+
+
+def remainder(n):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
+
+
+@query()
+def op10_quality_classifier(spark, sf):
+    """Per document: the probability of quality label 1, learned from rows whose remainder is not 1."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    known = docs.where(remainder(3) != 1)
+    model = quality_nb.fit(quality_nb.labelled(known, table(spark, sf, "labels")), key="doc_id")
+    return quality_nb.score(docs, model).select(
+        "doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
