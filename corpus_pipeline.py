@@ -34,7 +34,7 @@ def repeats(spark, docs, sf_dir):
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("o"), "doc_id", "text")
     rows = suffix_dedup.remove_repeats(rows)
     kept = F.try_validate_utf8(F.col("kept").cast("string"))
-    whole = F.coalesce(kept, F.regexp_replace(F.decode("kept", F.lit("UTF-8")), "�", ""))
+    whole = F.coalesce(kept, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
     text = F.when(F.col("n_removed") > 0, whole).otherwise(F.col("o.text"))
     rows = rows.where("n_removed < n_bytes OR n_bytes = 0").withColumn("text", text)
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("o.n_chars"))}
