@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from labelgauge.llm import decontam, mixing, near_dedup, quality_nb
+from labelgauge.llm import chat, decontam, mixing, near_dedup, quality_nb, quality_rules
 from labelgauge.llm.suffix_dedup import remove_repeats
 
 QUERIES, ORACLES = {}, {}
@@ -67,3 +67,46 @@ def op10_quality_classifier(spark, sf):
     return quality_nb.score(docs, model).select(
         "doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query()
+def op5_quality_rules(spark, sf):
+    """Per document: the counts, whether the base rules fail, and the verdict of the likelihood ratio."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
+    found = quality_rules.ratios(docs.join(good, "doc_id", "left"))
+    return quality_rules.judge(docs, found).drop("text")
+
+
+CHAT_SQL = r"""WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, 0 AS own FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok', 0), (-7, 1, 'assistant', '\### Assistant: </turn> ok', 0)),
+turns AS (
+  SELECT *, length(replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e')) AS n_text,
+    length(replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\e'), ':', '\c')) AS n_role
+  FROM rows_)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n_text + n_role + 14) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+@query(CHAT_SQL)
+def op3_chat_formatting(spark, sf):
+    """Per conversation: digests of the turns and of the text to learn from, read back from the output."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    mark = F.lit("\\### Assistant: </turn> ok")
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), mark.alias("text"),
+    )
+    done = chat.rendered(chat.messages(chat.streamed(rows.unionByName(more))))
+    done = done.withColumn("turns", chat.parsed(F.col("formatted"))).withColumn("loss", chat.learned(F.col("formatted"), F.col("spans")))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return done.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
