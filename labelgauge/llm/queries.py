@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from labelgauge.llm import chat, decontam, mixing, near_dedup, quality_nb, quality_rules
+from labelgauge.llm import chat, decontam, langid, mixing, near_dedup, quality_nb, quality_rules, warc
 from labelgauge.llm.suffix_dedup import remove_repeats
+from labelgauge.session import shared_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -110,3 +111,36 @@ def op3_chat_formatting(spark, sf):
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query()
+def op1_language_id(spark, sf):
+    """Per document: the language of the nearest centroid, learned from rows whose remainder is not 2."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(remainder(4) != 2), key="doc_id")
+    found = langid.classify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+WARC_SQL = """WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload)
+SELECT page_id, strlen(p.payload) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((
+    (instr('0123456789abcdef', h[5 * i // 4 + 1]) - 1) * 16 + instr('0123456789abcdef', h[5 * i // 4 + 2]) - 1)
+    >> (3 - 5 * i % 4)) & 31)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (payload)"""
+
+
+@query(WARC_SQL)
+def op8_arc_to_warc(spark, sf):
+    """Per page: what its WARC record says, converted from ARC, written, and read back."""
+    records = warc.with_revisits(warc.converted(warc.as_arc(table(spark, sf, "pages"))))
+    path = warc.write_warc(records, shared_dir(spark, "warc"))
+    back = warc.read_warc(spark, path)
+    intact = F.assert_true("intact", F.lit("a record was not read back as it was written"))
+    return back.where(intact.isNull()).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
