@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from labelgauge.llm import chat, decontam, langid, mixing, near_dedup, quality_nb, quality_rules, warc
+from labelgauge.llm import chat, decontam, langid, licenses, mixing, near_dedup, quality_nb, quality_rules, warc
 from labelgauge.llm.suffix_dedup import remove_repeats
 from labelgauge.session import shared_dir
 
@@ -144,3 +144,22 @@ def op8_arc_to_warc(spark, sf):
     return back.where(intact.isNull()).select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+def file_paths(docs):
+    """Documents as files in folders by hundreds and tens; the first of each is the folder's licence file."""
+    tens, hundreds = (F.floor(F.col("doc_id") / n).cast("string") for n in (10, 100))
+    name = F.when(F.col("doc_id") % 10 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    deep = F.concat_ws("/", hundreds, tens, name)
+    path = F.when(F.col("doc_id") % 100 == 0, F.concat_ws("/", hundreds, name)).otherwise(deep)
+    return docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
+
+
+@query()
+def op9_license_scan(spark, sf):
+    """Per document: the licence its lines state, or the one inherited from a directory above it."""
+    files = file_paths(table(spark, sf, "documents").select("doc_id", "text"))
+    found = licenses.licensed(files.select("path", "text"))
+    return files.select("doc_id", "path").join(found, "path", "left").select(
+        "doc_id", "license", "score", F.coalesce("how", F.lit("none")).alias("how"), "source_directory"
+    )
