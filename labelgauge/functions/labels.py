@@ -4,14 +4,20 @@ from pyspark.sql import functions as F
 
 from labelgauge.functions.text import strip
 
+_WHOLE = r"^\s*[+-]?\d+\s*$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def coerce_label(col):
-    """Any value to an integer label: not a number or null is 0, fractions are cut off."""
+    """Any value to an integer label: true is 1, not a number or null is 0, fractions are cut off.
+
+    Numbers beyond 64 bits are 0.
+    """
     text = col.cast("string")
+    whole = F.when(text.rlike(_WHOLE), F.trim(text).try_cast("bigint"))  # exact beyond 2**53
     number = F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
-    return F.coalesce(number.try_cast("int"), F.lit(0))
+    truth = F.when(F.trim(text).isin("True", "TRUE", "true"), F.lit(1).cast("bigint"))
+    return F.coalesce(truth, whole, number.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def class_label(col, positive="Positive", negative="Negative"):

@@ -1,39 +1,60 @@
 """Scoring rows with a pluggable model: the one place where Python workers run."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelgauge.functions.scores import row_accuracy
 from labelgauge.functions.text import user_prompt
+from labelgauge.operators.candidates import candidate_requests
 from labelgauge.schema import LABELS
 
 
-def score_batch(df, predictor=None, prompt_col="prompt", raw_col="raw_response", setup=None):
+def score_batch(df, predictor=None, prompt_col="prompt", raw_col="raw_response", setup=None, many=False):
     """Each row with the predictor's reply to its prompt, in Arrow batches within the partitions.
 
     ``predictor`` is any function from text to text that pickles: a closure travels with the job,
     a module's function needs its module on the executors. A model that is slow to load comes by
-    ``setup`` instead, which each task calls once to get its predictor. An exception stays with
-    its row: the reply is then ``<ERROR: ...>`` and ``failed`` is true.
+    ``setup`` instead, which each task calls once to get its predictor. With ``many``, the predictor
+    takes a list of prompts and gives a list of replies; where it fails on a list, or gives another
+    number of replies, each prompt of it is tried alone. An exception, or a reply that is neither
+    text nor None, stays with its row: the reply is then ``<ERROR: ...>`` and ``failed`` is true.
+    Only the prompts become Python values; all other columns pass as they are.
     """
     schema = T.StructType(df.schema.fields + [])
     schema = schema.add(raw_col, T.StringType()).add("failed", T.BooleanType())
 
-    def answer(model, prompt):
+    def checked(reply):
+        if reply is None or isinstance(reply, str):
+            return reply, False
+        return f"<ERROR: a reply of type {type(reply).__name__}>", True
+
+    def answer(one, prompt):
         try:
-            return model(prompt), False
+            return checked(one(prompt))
         except Exception as error:
             return f"<ERROR: {error}>", True
 
+    def answers(model, prompts):
+        if not many:
+            return [answer(model, prompt) for prompt in prompts]
+        try:
+            replies = list(model(prompts))
+            if len(replies) == len(prompts):
+                return [checked(reply) for reply in replies]
+        except Exception:  # noqa: S110 - tried again one by one
+            pass
+        return [answer(lambda prompt: model([prompt])[0], prompt) for prompt in prompts]
+
     def run(batches):
         model = setup() if setup else predictor
         for batch in batches:
-            answers = [answer(model, prompt) for prompt in batch[prompt_col]]
-            batch[raw_col] = [a for a, _ in answers]
-            batch["failed"] = [f for _, f in answers]
-            yield batch
+            found = answers(model, batch.column(prompt_col).to_pylist())
+            columns = [pa.array([a for a, _ in found], pa.string()), pa.array([f for _, f in found], pa.bool_())]
+            names = [*batch.schema.names, raw_col, "failed"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def label_struct(prefix, labels=LABELS):
@@ -54,6 +75,14 @@ def evaluation(df, labels=LABELS, truth="", pred="pred_", traces=False):
     return df.select(*keys, *columns)
 
 
+def evaluate_candidates(rows, candidates, predictor, decode, labels=LABELS, many=False):
+    """Every candidate on every row in one job: requests, prompts, replies, decoding, scores."""
+    requests = candidate_requests(rows, candidates)
+    prompt = F.concat(F.col("body"), F.lit("\n\n"), user_prompt(F.col("text")))
+    answered = score_batch(requests.withColumn("prompt", prompt).drop("body", "text"), predictor, many=many)
+    return evaluation(decode(answered.drop("prompt"), "raw_response"), labels)
+
+
 def evaluate_candidate(rows, system, predictor, decode, labels=LABELS, traces=False):
     """Prompt, predict, decode and score: one candidate's system text on a batch of rows."""
     prompt = F.concat(F.lit(system + "\n\n"), user_prompt(F.col("text")))

@@ -1,6 +1,6 @@
 """Candidates (alternative instruction texts): gates, requests, scores, choice, comparison.
 
-A candidate table has ``candidate_id`` (its place in the list, from 0), ``component`` and ``body``.
+A candidate table has ``candidate_id`` (its place in the list), ``component`` and ``body``.
 """
 
 from functools import reduce
@@ -9,7 +9,6 @@ from operator import or_
 from pyspark.sql import functions as F
 
 from labelgauge.functions.text import token_count
-from labelgauge.operators.sizing import is_small
 from labelgauge.schema import LABELS
 
 # Fixed values of the two gates.
@@ -45,15 +44,13 @@ def passing_or_all(candidates, ok):
 
 
 def candidate_requests(rows, candidates, id_col="id"):
-    """Every candidate on every row: rows are repeated per place in the list, then joined by it.
+    """Every candidate on every row, joined by the ids that the candidates have, whatever they are.
 
-    The output is that large by meaning. Bodies are broadcast when their measured size is small;
-    beyond that the join is salted by row id, as each candidate meets all rows.
+    The output is that large by meaning. Each candidate meets all rows, so its rows are spread by row
+    id and its body is copied once for each part; the list of ids is the only thing all rows see.
     """
-    last = candidates.agg(F.max("candidate_id").cast("int")).scalar()
-    repeated = rows.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), last)))
-    if is_small(candidates):
-        return repeated.join(F.broadcast(candidates), "candidate_id")
+    ids = candidates.agg(F.collect_set("candidate_id").alias("ids")).scalar()
+    repeated = rows.withColumn("_ids", ids).withColumn("candidate_id", F.explode("_ids")).drop("_ids")
     salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = repeated.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
     copies = candidates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -177,6 +177,12 @@ def category_counts(df, category="trigger", pred_col="predicted", ordered=True):
     return class_counts(df.where(F.col(pred_col) == 1), category, ordered)
 
 
+def accuracy_scores(counted, by=(), keep=("n",)):
+    """The mean share of equal labels per row, from tallies: equal cells over all cells, without a second pass."""
+    hits = "aggregate(cells, 0L, (a, c) -> a + c.tp + c.tn)"
+    return counted.selectExpr(*by, *keep, f"{hits} / (n * size(cells)) AS mean_score")
+
+
 def mean_score(df, score="score", by=()):
     """Mean score; a failed row (null) counts as 0."""
     return df.groupBy(*by).agg(

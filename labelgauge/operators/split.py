@@ -122,37 +122,38 @@ def holdout_split(df, test_size, id_col="id", seed=42):
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
 
 
-def balanced(df, label_col="label", id_col="id", classes=(0, 1), seed=42):
+def balanced(df, label_col="label", id_col="id", classes=None, seed=42):
     """Every class cut down to the size of the smallest, by seeded choice.
 
-    ``classes`` are the label's values; each has its cutoff at hand as a constant. There is no
-    join on the label, so a class holding most rows stays spread over all tasks.
+    The classes are the label's values, or those of them in ``classes``; rows without a class are left
+    out. Each class has its cutoff at hand as an entry of one constant map. There is no join on the
+    label, so a class holding most rows stays spread over all tasks.
     """
     label = F.col(label_col)
-    keys = df.where(label.isin(*classes)).select(
-        label.alias("class"), _position(id_col, seed).alias("at")
-    )
+    wanted = label.isNotNull() if classes is None else label.isin(*classes)
+    keys = df.where(wanted).select(label.alias("class"), _position(id_col, seed).alias("at"))
     edges = _edges(keys, {"end": lambda _, least: least}, by=["class"])
-    names = {c: f"c{i}" for i, c in enumerate(classes)}
-    at = [F.max(F.when(F.col("class") == c, F.col("at"))).alias(x) for c, x in names.items()]
-    cut = edges.agg(F.struct(*at)).scalar()
-    keep = F.lit(False)
-    for c, x in names.items():
-        keep = keep | ((label == c) & (_position(id_col, seed) <= cut[x]))
-    return df.where(keep)
+    cut = edges.agg(F.map_from_entries(F.collect_list(F.struct("class", "at")))).scalar()
+    return df.where(wanted).where(_position(id_col, seed) <= F.try_element_at(cut, label))
+
 
+def first_k(df, k, id_col="id", then=()):
+    """The k rows with the lowest ids, equal ids by the columns ``then``; null ids come first.
 
-def first_k(df, k, id_col="id"):
-    """The k rows with the lowest ids: the cutoff id is found first, and pushed to the scan."""
-    last = df.select(id_col).orderBy(id_col).limit(k).agg(F.max(id_col)).scalar()
-    return df.where(F.col(id_col) <= last)
+    The cutoff id is found first, and pushed to the scan; rows beyond k that share it are cut off last.
+    """
+    last = df.select(id_col, *then).orderBy(id_col, *then).limit(k).agg(F.max(id_col)).scalar()
+    return df.where((F.col(id_col) <= last) | F.col(id_col).isNull()).orderBy(id_col, *then).limit(k)
 
 
 def lowest_k(df, k, score, id_col="id"):
-    """The k rows with the lowest score, equal scores by id; texts are not carried to the choice."""
+    """The k rows with the lowest score, equal scores by id; texts are not carried to the choice.
+
+    Null scores and null ids come first.
+    """
     at = F.struct(score.alias("s"), F.col(id_col).alias("i"))
     last = df.select(at.alias("at")).orderBy("at").limit(k).agg(F.max("at")).scalar()
-    return df.where(at <= last)
+    return df.where(at <= last).orderBy(at).limit(k)
 
 
 def demonstrations(df, k, score, threshold, id_col="id"):

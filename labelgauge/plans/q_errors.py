@@ -244,6 +244,17 @@ def candidate_requests(spark, sf):
     return df.select("candidate_id", "id", prompt.alias("prompt"))
 
 
+@query("""WITH b AS (SELECT (item_id - 20) * 1000003 AS candidate_id, text AS body FROM benchmark WHERE item_id % 8 = 0)
+SELECT candidate_id, doc_id AS id, body || ' ' || toxic AS prompt FROM labels, b""")
+def sparse_candidate_requests(spark, sf):
+    """Benchmark items as candidates whose ids are far apart and partly below 0."""
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id % 8 = 0")
+    bodies = items.selectExpr("(item_id - 20) * 1000003 AS candidate_id", "text AS body")
+    rows = tables.table(spark, sf, "labels").withColumnRenamed("doc_id", "id").select("id", "toxic")
+    df = cand.candidate_requests(rows, bodies)
+    return df.select("candidate_id", "id", F.concat_ws(" ", "body", "toxic").alias("prompt"))
+
+
 CAND_BITS = " + ".join(
     f"CASE WHEN (id + {k}) % (candidate_id + 2) = 0 THEN 0 ELSE 1 END" for k in range(len(LABELS))
 )

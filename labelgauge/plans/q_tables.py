@@ -54,14 +54,14 @@ def labelled_csv_scan(spark, sf):
 
 
 @query(f"""WITH {SIX}
-SELECT text AS translated_te, {", ".join(f"t_{c} AS {c}" for c in LABELS)} FROM six
+SELECT text AS translated_te, {", ".join(f"t_{c}::BIGINT AS {c}" for c in LABELS)} FROM six
 WHERE id % 10 > 0""")
 def multilabel_csv_scan(spark, sf):
     df = tables.truth_only(spark, sf)
     text = F.when(F.col("id") % 10 > 0, F.col("text")).alias("translated_te")
     spelled = [
-        F.when(F.col(c) == 1, F.get(F.array(F.lit("1"), F.lit("1.0"), F.lit(" 1")), (F.col("id") % 3).cast("int")))
-        .otherwise(F.get(F.array(F.lit("0"), F.lit("no"), F.lit("NaN")), (F.col("id") % 3).cast("int")))
+        F.when(F.col(c) == 1, F.get(F.array(*map(F.lit, ("1", "1.0", " 1", "True"))), (F.col("id") % 4).cast("int")))
+        .otherwise(F.get(F.array(*map(F.lit, ("0", "no", "NaN", "False"))), (F.col("id") % 4).cast("int")))
         .alias(c)
         for c in LABELS
     ]
@@ -192,12 +192,16 @@ def null_text_dropped(spark, sf):
     return clean.drop_empty_text(df)
 
 
-@query("""SELECT doc_id AS id, (ARRAY[1, 1, 0, 0, 0, -1, 12, 0, 0])[doc_id % 9 + 1]::INTEGER AS label
-FROM documents""")
+@query("""SELECT doc_id AS id, CASE doc_id % 12 WHEN 11 THEN n_chars ELSE
+  (ARRAY[1, 1, 0, 0, 0, -1, 12, 0, 0, 1, 0])[doc_id % 12 + 1] + CASE doc_id % 12 WHEN 6 THEN 9007199254740993 - 12 ELSE 0 END
+  END::BIGINT AS label FROM documents""")
 def label_coercion(spark, sf):
     raw = F.get(
-        F.array(*[F.lit(x) for x in ("1", "1.9", "x", "", "NaN", "-1", "1.2e1", "1d", None)]),
-        (F.col("id") % 9).cast("int"),
+        F.array(
+            *[F.lit(x) for x in ("1", "1.9", "x", "", "NaN", "-1", "9007199254740993", "1d", None, "True", "False")],
+            F.col("n_chars").cast("string"),
+        ),
+        (F.col("id") % 12).cast("int"),
     )
     return tables.documents(spark, sf).select("id", coerce_label(raw).alias("label"))
 
@@ -411,6 +415,24 @@ def compile_subset(spark, sf):
     return drawn.unionByName(split.first_k(train, 40).withColumn("subset", F.lit("first")))
 
 
+@query("""SELECT lang AS class, count(*) AS n, min(n) AS least FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS pos,
+    (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang)) AS n FROM documents)
+WHERE pos <= n GROUP BY lang""")
+def language_balance(spark, sf):
+    """As many documents of each language as of the rarest, the languages being those there are."""
+    docs = tables.documents(spark, sf)
+    least = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
+    kept = split.balanced(docs.select("id", "lang"), "lang").groupBy(F.col("lang").alias("class"))
+    return kept.agg(F.count(F.lit(1)).alias("n")).withColumn("least", least)
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn LIMIT 50")
+def first_turns(spark, sf):
+    """The first rows of a table whose ids repeat."""
+    return split.first_k(spark.read.parquet(f"{sf}/conversations.parquet"), 50, "conv_id", then=("turn",))
+
+
 MATCHES = " + ".join(f"CASE WHEN t_{c} = p_{c} THEN 1 ELSE 0 END" for c in LABELS)
 
 

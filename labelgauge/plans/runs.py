@@ -20,11 +20,11 @@ from labelgauge.operators.candidates import best_by_score, is_valid, passing_or_
 from labelgauge.operators.clean import drop_empty_text, first_of_each_text
 from labelgauge.operators.errors import missed_rows
 from labelgauge.operators.metrics import (
+    accuracy_scores,
     category_counts,
     detection_rate,
     label_metrics,
     macro,
-    mean_score,
     metrics_long,
     tallies,
 )
@@ -72,19 +72,23 @@ def candidate_run(rows, candidates, replies, store=None):
     ``replies`` has ``candidate_id, id, raw_response``: the product of candidates and rows is
     already in it, so scoring is an equi-join by row id.
     """
-    decoded = decode_fenced_json(replies.join(rows, "id"), "raw_response")
+    decoded = decode_fenced_json(replies, "raw_response").join(rows, "id")
     pairs = [(name, f"pred_{name}") for name in LABELS]
     scored = stored(decoded.withColumn("score", row_accuracy(pairs)), store)
-    scores = mean_score(scored, by=["candidate_id"])
+    counted = tallies(scored, by=["candidate_id"])
+    scores = accuracy_scores(counted, ["candidate_id"])
     valid = passing_or_all(candidates, is_valid(F.col("body")))
     best = best_by_score(
         valid.join(scores, "candidate_id", "left"), F.coalesce(F.col("mean_score"), F.lit(0.0))
     )
-    chosen = best.select("candidate_id").scalar()
-    counted = tallies(scored.where(F.col("candidate_id") == chosen))
+    # scores, choice and metrics all come from one table with a row per candidate
+    order = F.struct(F.coalesce("mean_score", F.lit(0.0)).alias("s"), (-F.col("candidate_id")).alias("i"))
+    figures = ["n", "exact", "cells", "joint"]
+    ranked = valid.select("candidate_id").join(accuracy_scores(counted, ["candidate_id"], figures), "candidate_id", "left")
+    chosen = ranked.agg(F.max_by(F.struct(*figures), order).alias("c")).select("c.*").where("n > 0")
     return {
         "scored": scored,
         "scores": scores,
         "best": best,
-        "metrics": metrics_long(counted),
+        "metrics": metrics_long(chosen),
     }

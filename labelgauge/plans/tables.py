@@ -4,6 +4,7 @@
 computed from their columns; this is made-up label data to run the operators on.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelgauge.functions.labels import answer_string
@@ -222,14 +223,10 @@ def candidates(spark, sf):
     )
 
 
-# The languages the documents are in; a candidate's place in the list is its language's.
-LANGUAGES = ("de", "en", "es", "fr")
-
-
 def language_candidates(spark, sf):
     """One short candidate per language of the documents, numbered from 0."""
-    place = F.array_position(F.array(*[F.lit(x) for x in LANGUAGES]), F.col("lang")) - 1
     langs = documents(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n_documents"))
+    place = F.row_number().over(Window.orderBy("lang")) - 1  # a row per language
     return langs.select(
         place.cast("int").alias("candidate_id"),
         F.concat(

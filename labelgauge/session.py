@@ -1,7 +1,6 @@
 """Session settings and the shared folder for written tables."""
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -23,15 +22,12 @@ def local_session(cpus="*", app="labelgauge"):
 def shared_dir(spark, name):
     """A new folder path for a written table, below ``spark.checkpoint.dir``.
 
-    The cluster names that setting; only where it is unset (tests, one machine) a temporary
-    folder stands in for it, and the setting is kept for the rest of the session.
+    The cluster names that setting; where it is unset, the warehouse folder stands in for it. What is
+    written there stays until the caller removes it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="labelgauge-")
-        spark.sparkContext.setCheckpointDir(root)
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")

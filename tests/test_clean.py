@@ -10,7 +10,7 @@ from labelgauge.schema import LABELS, require_columns
 @pytest.mark.parametrize(
     "raw,want",
     [("1", 1), ("0", 0), ("1.0", 1), ("1.9", 1), ("-1.9", -1), (" 1 ", 1), ("1e0", 1), ("", 0), ("x", 0),
-     ("NaN", 0), ("inf", 0), ("1d", 0), ("1f", 0), ("0x1", 0), ("True", 0), (".5", 0), ("1.", 1), (None, 0)],
+     ("NaN", 0), ("inf", 0), ("1d", 0), ("1f", 0), ("0x1", 0), ("True", 1), ("true", 1), ("False", 0), ("9007199254740993", 9007199254740993), ("1e30", 0), (".5", 0), ("1.", 1), (None, 0)],
 )
 def test_label_coercion(spark, raw, want):
     df = spark.createDataFrame([(raw,)], "v string")

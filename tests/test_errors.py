@@ -173,18 +173,17 @@ def test_choice_of_candidates(spark):
     assert cand.best_score(df.where("b > 9"), "b").first().best_score == 0.0
 
 
-def test_requests_and_comparison(spark, monkeypatch):
+def test_requests_and_comparison(spark):
     rows_ = spark.createDataFrame([(1, "x"), (2, "y")], "id int, text string")
     bodies = spark.createDataFrame([(0, "A"), (2, "C")], "candidate_id int, body string")
     want = {(c, i) for c in ("A", "C") for i in (1, 2)}
-    got = cand.candidate_requests(rows_, bodies)
-    assert {(r.body, r.id) for r in got.collect()} == want and got.count() == 4
-    monkeypatch.setattr("labelgauge.operators.sizing.MAX_BYTES", 0)
     salted = cand.candidate_requests(rows_, bodies)
     assert "BroadcastExchange" not in salted._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.body, r.id) for r in salted.collect()} == want and salted.count() == 4
     assert cand.candidate_requests(rows_, bodies.where("candidate_id > 9")).count() == 0
+    far = spark.createDataFrame([(-5, "A"), (7, "B"), (100_000, "C")], "candidate_id int, body string")
+    assert {(r.body, r.id) for r in cand.candidate_requests(rows_, far).collect()} == {(c, i) for c in "ABC" for i in (1, 2)}
     f1 = spark.createDataFrame([("base", 0.4), ("new", 0.5)], "approach string, macro_f1 double")
     got = {r.approach: r.gain_pct for r in cand.compare(f1, "base").collect()}
     assert got["base"] == 0 and got["new"] == pytest.approx(25)

@@ -80,3 +80,60 @@ def test_shared_dir_follows_the_setting(spark, tmp_path):
     assert first != second and os.path.dirname(first) == str(tmp_path)
     # Unset in the test session: one folder stands in for it throughout.
     assert os.path.dirname(shared_dir(spark, "t")) == os.path.dirname(shared_dir(spark, "t"))
+
+
+def test_replies_are_decoded_before_they_are_shuffled(spark, rows):
+    """No exchange or join below the results carries the text of a reply."""
+    import re
+
+    from labelgauge.operators.align import score_stored_replies
+    from labelgauge.functions.decode import decode_fenced_json
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        replies = spark.createDataFrame([(0, "x")], "id long, raw_response string")
+        several = spark.createDataFrame([(0, 0, "x")], "candidate_id int, id long, raw_response string")
+        texts = spark.createDataFrame([(0, "x")], "candidate_id int, body string")
+        found = [
+            score_stored_replies(rows, replies, decode_fenced_json).select("id", "pred_stereotype"),
+            multilabel_run(rows, replies)["metrics"],
+            candidate_run(rows, texts, several)["scores"],
+            candidate_run(rows, texts, several)["metrics"],
+        ]
+        for df in found:
+            text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", text)
+            assert shuffled and not any("raw_response" in columns for columns in shuffled)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_absent_replies_are_decoded_from_null(spark, rows):
+    from labelgauge.operators.align import score_stored_replies
+    from labelgauge.functions.decode import decode_fenced_json, decode_probe, decode_six_lines
+
+    none = spark.createDataFrame([], "id long, raw_response string")
+    nulls = rows.select("id").selectExpr("id", "CAST(NULL AS STRING) AS raw_response")
+    for decode in (decode_fenced_json, decode_probe, decode_six_lines):
+        got = sorted(map(tuple, score_stored_replies(rows.select("id"), none, decode).collect()), key=str)
+        assert got == sorted(map(tuple, decode(nulls, "raw_response").collect()), key=str)
+
+
+def test_candidate_batch(spark, rows):
+    """Several candidates scored in one job by a model that takes lists and answers oddly at times."""
+    from labelgauge.functions.decode import decode_fenced_json
+    from labelgauge.operators.batch import evaluate_candidates, score_batch
+
+    def model(prompts):
+        if len(prompts) > 1:
+            raise RuntimeError("one at a time")
+        return [1 if "other" in prompts[0] else '{"stereotype": 1}']
+
+    texts = spark.createDataFrame([(-1, "say so"), (9, "other")], "candidate_id int, body string")
+    got = evaluate_candidates(rows, texts, model, decode_fenced_json, many=True).collect()
+    assert len(got) == 8 and {r.prediction.stereotype for r in got if r.candidate_id == -1} == {1}
+    assert {r.prediction.stereotype for r in got if r.candidate_id == 9} == {0}
+    prompts = spark.createDataFrame([("a",), (None,), ("c",)], "prompt string")
+    replies = {r.prompt: (r.raw_response, r.failed) for r in score_batch(prompts, lambda p: {"a": "yes", None: None}.get(p, 5)).collect()}
+    assert replies["a"] == ("yes", False) and replies[None] == (None, False)
+    assert replies["c"] == ("<ERROR: a reply of type int>", True)

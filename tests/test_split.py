@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from labelgauge.operators import split
 
 IDS = random.Random(1).sample(range(10**9), 700)
@@ -87,3 +89,22 @@ def test_first_and_lowest(spark, table):
     assert ids(split.lowest_k(table, 7, F.col("label"))) == {i for _, i in by_label[:7]}
     demos = split.demonstrations(table, 8, F.col("label"), 1)
     assert ids(demos) == set(sorted(IDS[::5])[:8])
+
+
+def test_first_rows_are_exactly_k(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), (3, 3), (4, 4), (1, 5), (1, 6), (1, 7), (2, 8)], "id int, n int")
+    for k in range(9):
+        assert split.first_k(rows, k).count() == k
+        assert split.lowest_k(rows, k, F.col("n") % 2).count() == k
+        assert split.demonstrations(rows, k, F.col("n"), 3).count() == min(k, 6)
+    known = rows.where("id IS NOT NULL")
+    assert sorted(r.id for r in split.first_k(known, 2).collect()) == [1, 1]
+    assert [r.n for r in split.first_k(known, 4, then=("n",)).collect()] == [5, 6, 7, 8]
+    assert [r.n for r in split.first_k(rows, 3, then=("n",)).collect()] == [1, 2, 5]
+
+
+def test_balance_takes_the_classes_from_the_data(spark):
+    rows = spark.createDataFrame([(i, "abbccc"[i % 6]) for i in range(60)] + [(99, None)], "id int, label string")
+    got = split.balanced(rows).groupBy("label").count().collect()
+    assert {(r.label, r["count"]) for r in got} == {("a", 10), ("b", 10), ("c", 10)}
+    assert {r.label for r in split.balanced(rows, classes=("b", "c")).collect()} == {"b", "c"}
