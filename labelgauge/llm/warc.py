@@ -91,7 +91,8 @@ def payload_of(block):
 
 
 def iso(date):
-    d = re.sub(r"\D", "", date).ljust(14, "0")[:14]
+    d = re.sub(r"\D", "", date)[:14]
+    d += "19700101000000"[len(d) :]  # what a short date leaves open
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 

@@ -1,0 +1,91 @@
+import hashlib
+import os
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from compare import connect, difference
+from labelgauge.llm import chat
+from labelgauge.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+MARKS = ["\\", "###", "</turn>", "\n", "#", "</turn", "\\h", "\\e", "é", "🙂", ":", " ", "a", "\\\\", "### x: "]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+def test_equals_the_sql(spark):
+    name = "op3_chat_formatting"
+    wrong, rows = difference(QUERIES[name](spark, SF), connect(SF), ORACLES[name])
+    assert wrong is None and rows > 10
+
+
+def turns(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string")
+    done = chat.rendered(chat.messages(chat.streamed(df)))
+    return {
+        r.conv_id: r
+        for r in done.select(
+            "*", chat.parsed(F.col("formatted")).alias("turns"), chat.learned(F.col("formatted"), F.col("spans")).alias("loss")
+        ).collect()
+    }
+
+
+def test_round_trip_of_control_strings(spark):
+    r = random.Random(2)
+    rows = [
+        (c, t, r.choice(["user", "assistant", "sys:tem", "r\\ole", "a: b"]), "".join(r.choices(MARKS, k=r.randint(0, 9))), "x")
+        for c in range(60) for t in range(r.randint(1, 6))
+    ]
+    got, want = turns(spark, rows), defaultdict(list)
+    for c, _, role, text, _ in rows:
+        want[c].append((role, text))
+    for c, expected in want.items():
+        assert [tuple(t) for t in got[c].turns] == expected
+        assert got[c].loss == "".join(t for role, t in expected if role == "assistant")
+        masked = [got[c].formatted[s.start : s.end] for s in got[c].spans]
+        assert len(masked) == sum(role == "assistant" for role, _ in expected)
+        assert got[c].formatted.count("</turn>") == len(expected)
+
+
+def test_odd_rows(spark):
+    rows = [(1, 0, "user", None, "x"), (1, 0, "user", None, "x"), (1, None, None, "first", "x"), (None, 1, "assistant", "y" * 200_000, "x")]
+    got = turns(spark, rows)
+    assert [tuple(t) for t in got[1].turns] == [("", "first"), ("user", ""), ("user", "")]
+    assert got[None].loss == "y" * 200_000 and got[1].loss == ""
+    assert turns(spark, []) == {}
+
+
+def test_fold_equals_brute_force(spark):
+    r = random.Random(3)
+    events, want = [], {}
+    for c in range(40):
+        log = []
+        for seq in range(r.randint(1, 25)):
+            log.append((c, seq, r.randint(1, 5), r.choice(["delta"] * 4 + ["edit", "regenerate", "note"]), r.choice([None, "user", "assistant"]), r.choice([None, "a", "bc"])))
+        state, roles = {}, {}
+        for _, seq, m, kind, role, text in log:
+            state.setdefault(m, [])
+            if kind in ("edit", "regenerate"):
+                state[m] = []
+            if kind in ("delta", "edit"):
+                state[m].append(text or "")
+            if role and m not in roles:
+                roles[m] = role
+        last = {m: max(e[1] for e in log if e[2] == m) for m in state}
+        resets = [(e[1], e[2]) for e in log if e[3] in ("edit", "regenerate")]
+        for m in sorted(state):
+            if not any(at > last[m] and k < m for at, k in resets):
+                want[c, m] = (roles.get(m, ""), "".join(state[m]))
+        r.shuffle(log)
+        events += log
+    df = spark.createDataFrame(events, "conv_id long, seq long, message long, kind string, role string, text string")
+    assert {(x.conv_id, x.message): (x.role, x.text) for x in chat.messages(df).collect()} == want
+
+
+def test_digest_is_of_the_turns(spark):
+    row = next(r for r in QUERIES["op3_chat_formatting"](spark, SF).where("conv_id = -7").collect())
+    text = "\\### Assistant: </turn> ok"
+    assert row.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+    assert row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest() and row.n_turns == 2

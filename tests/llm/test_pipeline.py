@@ -1,0 +1,75 @@
+"""The stages over the smallest tables, each against what it promises."""
+
+import os
+
+import pytest
+
+import corpus_pipeline
+from labelgauge.llm import near_dedup
+
+from test_near_dedup import runs, similarity  # noqa: E402
+from test_suffix_dedup import brute as repeats_of
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+
+
+@pytest.fixture(scope="module")
+def steps(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("stages")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [docs.collect()]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        result = stage(spark, docs, SF)
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert result.schema.simpleString() == docs.schema.simpleString()
+        result.write.parquet(str(folder / str(i)))
+        docs = spark.read.parquet(str(folder / str(i)))
+        out.append(docs.collect())
+    return out
+
+
+def test_quality_rejects_few(spark, steps):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = {r.doc_id for r in steps[1]}
+    assert kept < {r.doc_id for r in steps[0]}
+    good = [d for d, q in labels.items() if q == 1]
+    assert sum(d in kept for d in good) >= 0.97 * len(good)
+
+
+def test_one_of_each_near_duplicate_group(steps):
+    before, after = steps[1], {r.doc_id for r in steps[2]}
+    sets = {r.doc_id: runs(r.text) for r in before}
+    ids = sorted(sets)
+    group = {i: i for i in ids}
+    for i in ids:
+        for j in ids:
+            if j < i and sets[i] and group[i] != group[j] and similarity(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    assert after == set(group.values()) and len(after) < len(ids)
+    assert near_dedup.WORDS == 5
+
+
+def test_repeats_are_cut(steps):
+    before, after = {r.doc_id: r for r in steps[2]}, {r.doc_id: r for r in steps[3]}
+    ids = sorted(before)
+    want = dict(zip(ids, repeats_of([(before[i].text or "").encode() for i in ids], 200), strict=True))
+    assert set(after) == {i for i in ids if want[i][1] < want[i][0] or not want[i][0]}
+    for i, r in after.items():
+        assert r.text == want[i][3].decode("utf-8", "ignore") and r.n_chars == (len(r.text) if want[i][1] else before[i].n_chars)
+
+
+def test_leaks_go_and_clean_documents_stay(spark, steps):
+    items = [r.text.split() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    eights = {tuple(w[i : i + 8]) for w in items for i in range(len(w) - 7)}
+    leaking = {
+        r.doc_id for r in steps[3] for w in [(r.text or "").split()] if any(tuple(w[i : i + 8]) in eights for i in range(len(w) - 7))
+    }
+    assert {r.doc_id for r in steps[4]} == {r.doc_id for r in steps[3]} - leaking and leaking
+
+
+def test_mix_holds_every_document(spark, steps):
+    assert {(r.doc_id, r.text) for r in steps[5]} == {(r.doc_id, r.text) for r in steps[4]}
+    assert len({(r.slot, r.place) for r in steps[5]}) == len(steps[5])
+    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in steps[5]}
