@@ -1,6 +1,7 @@
 """Queries: readers, writers, cleaning, samples and splits."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelgauge.functions.labels import (
     answer_string,
@@ -48,11 +49,48 @@ def labelled_csv_scan(spark, sf):
         F.when(F.col("quality") == 1, "Positive").otherwise("Negative").alias("Label"),
         F.col("source").alias("file"),
     )
-    path = writers.write_csv(out, shared_dir(spark, "sentences"), partition_by=["file"])
-    read = readers.read_labelled_csv(spark, f"{path}/*/*.csv")
+    return written_sentences(spark, out)
+
+
+def written_sentences(spark, out):
+    """The rows written as files with two orders of columns and read back by column name."""
+    even = F.pmod(F.xxhash64("Sentences"), F.lit(2)) == 0
+    other = out.where(~even).select("Label", F.lit("x").alias("note"), "Sentences", "file")
+    paths = [
+        writers.write_csv(df, shared_dir(spark, "sentences"), partition_by=["file"]) for df in (out.where(even), other)
+    ]
+    read = readers.read_labelled_csv(spark, [f"{path}/*/*.csv" for path in paths])
     return read.withColumn("source", F.regexp_extract("source", "file=([^/]+)/", 1))
 
 
+@query(f"""WITH {LABELLED}, raw AS (
+  SELECT text, CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END AS label, source FROM labelled),
+known AS (SELECT text, label, md5(text || chr(31) || label || chr(31) || source) || '-' ||
+  row_number() OVER (PARTITION BY text, label, source) AS id FROM raw),
+single AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY id) AS r FROM known) WHERE r = 1),
+placed AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) AS pos FROM single)
+SELECT id, text, CASE label WHEN 'Positive' THEN 1 ELSE 0 END AS label,
+  CASE WHEN pos <= 60 THEN 'test' ELSE 'train' END AS split FROM placed""")
+def dataset_preparation(spark, sf):
+    """Files to ids, one row per text, a holdout, and one file per class and part, read back."""
+    out = tables.labelled(spark, sf).select(
+        F.col("text").alias("Sentences"),
+        F.when(F.col("quality") == 1, "Positive").otherwise("Negative").alias("Label"),
+        F.col("source").alias("file"),
+    )
+    rows = readers.with_id(written_sentences(spark, out), ["text", "label", "source"])
+    rows = split.holdout_split(clean.first_of_each_text(rows, ["id"]), 60).drop("source")
+    parts = []
+    for keep in (1, 0):
+        part = clean.class_subset(rows, keep=keep)
+        path = writers.write_csv(part, shared_dir(spark, f"class{keep}"), partition_by=["split"])
+        # the folder's name carries the column that the files lack
+        names = [f for f in part.schema.fields if f.name != "split"]
+        files = readers._csv(spark, f"{path}/*/*.csv", T.StructType(names))
+        parts.append(files.withColumn("split", F.regexp_extract("_metadata.file_path", "split=([^/]+)/", 1)))
+    return clean.union_all(*parts).select("id", "text", "label", "split")
+
+
 @query(f"""WITH {SIX}
 SELECT text AS translated_te, {", ".join(f"t_{c}::BIGINT AS {c}" for c in LABELS)} FROM six
 WHERE id % 10 > 0""")

@@ -1,12 +1,17 @@
 """CSV readers for labelled text.
 
-Columns are strings, named by the header, and typed by us; types are never inferred. Files read
-together must have the same header, else the read fails rather than mix columns up.
+Columns are strings, named by the header, and typed by us; types are never inferred. Labelled
+sentences are lined up by column name, file by file; elsewhere files read together must have the
+same header, else the read fails rather than mix columns up.
 ``multi_line`` is on by default since quoted fields may span lines; turn it off for files whose
 records do not, so that large files are split among tasks.
 """
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,16 +43,40 @@ def null_cells(df, columns=None):
     return df.withColumns({c: F.when(~F.col(c).isin(*NULL_CELLS), F.col(c)) for c in names})
 
 
+def _files_by_header(spark, paths):
+    """The matching files as lists of files with the same first line; one pass over the lines."""
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [[unquote(file) for file in r.files] for r in groups.orderBy("header").collect()]
+
+
 def read_labelled_csv(spark, paths, multi_line=True):
     """All matching files as ``text, label, source``; ``Sentences`` and ``Label`` are renamed.
 
-    A path without any match raises an error, as Spark does on its own.
+    Files may order their columns differently and have further ones. A path without any match raises
+    an error, as Spark does on its own.
     """
-    df = _csv(spark, paths, None, multi_line).withColumnsRenamed(SENTENCE_COLUMNS)
-    df = require_columns(df, ["text", "label"]).select(
-        "text", "label", F.col("_metadata.file_path").alias("source")
-    )
-    return null_cells(df, ["text", "label"])
+    parts = []
+    for files in _files_by_header(spark, paths) or [paths]:
+        df = _csv(spark, files, None, multi_line).withColumnsRenamed(SENTENCE_COLUMNS)
+        df = require_columns(df, ["text", "label"])
+        parts.append(df.select("text", "label", F.col("_metadata.file_path").alias("source")))
+    return null_cells(reduce(lambda a, b: a.unionByName(b), parts), ["text", "label"])
+
+
+def with_id(df, columns=None, name="id"):
+    """``df`` with an id made from the row's own content, the same whenever the row is read again.
+
+    It is the md5 of ``columns`` (all by default) and a number that tells equal rows apart; only equal
+    rows meet to be numbered, and nothing is sorted as a whole.
+    """
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns or df.columns]
+    key = F.md5(F.concat_ws("\x1f", *cells))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    df = df.withColumn("_key", key).withColumn(name, F.concat_ws("-", "_key", nth.cast("string")))
+    return df.drop("_key")
 
 
 def read_multilabel(spark, paths, text_col="translated_te", labels=LABELS, multi_line=True):

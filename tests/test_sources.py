@@ -40,8 +40,8 @@ def test_columns_go_by_name(spark, tmp_path):
     got = readers.read_labelled_csv(spark, f"{tmp_path}/a.csv").first()
     assert (got.text, got.label) == ("one", "Positive")
     write(tmp_path / "b.csv", "Sentences,extra,Label\ntwo,x,Negative\n")
-    with pytest.raises(Exception, match="header"):
-        readers.read_labelled_csv(spark, f"{tmp_path}/*.csv").collect()
+    got = readers.read_labelled_csv(spark, f"{tmp_path}/*.csv").collect()
+    assert {(r.text, r.label, r.source[-5:]) for r in got} == {("one", "Positive", "a.csv"), ("two", "Negative", "b.csv")}
     write(tmp_path / "c.csv", "other,Label\ntwo,Negative\n")
     with pytest.raises(ValueError, match="missing columns"):
         readers.read_labelled_csv(spark, f"{tmp_path}/c.csv")
@@ -109,3 +109,12 @@ def test_report_reads_as_one_text(spark, tmp_path):
     assert "[2] TEXT: " + "x" * 200 + "\n     Model's Group   : g\n     → TRUE LABEL" in text
     none = probe_report(spark.createDataFrame([r for r in rows if r[2]], names))
     assert none.where("section > 2").count() == 0
+
+
+def test_ids_come_from_the_content(spark):
+    rows = [("a", "x"), ("a", "x"), ("a", None), (None, "a"), ("b", "x")]
+    df = spark.createDataFrame(rows, "text string, label string")
+    ids = sorted((r.id, r.text or "", r.label or "") for r in readers.with_id(df).collect())
+    assert len({i for i, _, _ in ids}) == 5
+    assert ids == sorted((r.id, r.text or "", r.label or "") for r in readers.with_id(df.repartition(3)).collect())
+    assert {i[-2:] for i, t, _ in ids if t == "a"} == {"-1", "-2"}
