@@ -144,8 +144,8 @@ def six_line_replies(spark, sf):
         F.when(form == 0, F.concat(named(": "), after))
         .when(form == 1, F.concat(named(" = ", change="lower({})"), after))
         .when(form == 2, F.concat(named(" -\\n", change="upper({})"), after))
-        .when(form == 3, F.concat(F.lit("Stereotype: 1\n"), joined(" \\n ", bits)))
-        .when(form == 4, joined(", ", bits))
+        .when(form == 3, F.concat(F.lit("Stereotype: 1\n"), joined(" \\n ", bits), after))
+        .when(form == 4, F.concat(joined(", ", bits), after))
         .otherwise(named(": ", LABELS[:3]))
     )
     return bits_only(spark, sf).withColumn("raw_response", reply)
