@@ -8,6 +8,9 @@ row and word; the table of ratios has ``BUCKETS`` entries whatever the input.
 
 from pyspark.sql import functions as F
 
+from labelgauge.session import shared_dir
+from labelgauge.sources.writers import stored
+
 BUCKETS = 1 << 14
 #: Words are runs of other characters.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -59,7 +62,7 @@ def ratios(marked, text="text", target="target", buckets=BUCKETS):
     """(bucket, ratio): log of the smoothed target share over the raw share, for every bucket seen."""
     rows = marked.select(F.coalesce(F.col(target), F.lit(False)).cast("long").alias("y"), F.transform(words(F.col(text).cast("string")), lambda w: F.xxhash64(w)).alias("hashes_"))
     counts = rows.select("y", F.explode(grams(buckets=buckets)).alias("bucket")).groupBy("bucket")
-    counts = counts.agg(F.count("*").alias("raw"), F.sum("y").alias("hit"))
+    counts = stored(counts.agg(F.count("*").alias("raw"), F.sum("y").alias("hit")), shared_dir(marked.sparkSession, "grams"))
     sums = counts.agg(F.sum("raw").alias("raw"), F.sum("hit").alias("hit"))
     share = lambda c: (F.col(c) + 1) / (sums.select(c).scalar() + buckets)
     return counts.select("bucket", (F.log(share("hit")) - F.log(share("raw"))).alias("ratio"))

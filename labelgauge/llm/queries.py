@@ -75,7 +75,8 @@ def op5_quality_rules(spark, sf):
     """Per document: the counts, whether the base rules fail, and the verdict of the likelihood ratio."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     good = table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    found = quality_rules.ratios(docs.join(good, "doc_id", "left"))
+    # labels grow with the documents, so they are never broadcast
+    found = quality_rules.ratios(docs.join(good.hint("merge"), "doc_id", "left"))
     return quality_rules.judge(docs, found).drop("text")
 
 
