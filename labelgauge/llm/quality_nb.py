@@ -190,7 +190,7 @@ def score(docs, model, text="text"):
     return rows.mapInArrow(_score(model), f"o {kind}, score double").select("o.*", "score")
 
 
-def labelled(docs, labels, label="quality", id_column="doc_id"):
+def labelled(docs, labels, label="quality", id_column="doc_id", text="text"):
     """(doc_id, text, y) of the documents with a label; of several labels of one id, the larger half wins."""
     y = labels.where(F.col(label).isin(0, 1)).groupBy(id_column).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    return docs.join(y, id_column)
+    return docs.select(id_column, text).join(y.hint("merge"), id_column)  # labels grow with the documents: never broadcast
