@@ -4,13 +4,16 @@ Every line of every text is compared with notice templates, and a licence file i
 well. Vectors hold the terms that are not stop words, weighted by count and inverse document frequency;
 the frequencies of the templates' terms are counted over all files, a term of no template weighs as one
 that no file has. A line without any term of a template has cosine 0 with all of them, so only the
-others go on; the rest is joins on terms.
+others go on, and of these only the lines that could reach the least score by the number of their terms
+that templates have; the rest is joins on terms.
 
 A file without a licence of its own takes that of the licence file in the nearest directory above it.
 """
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from labelgauge.session import shared_dir
+from labelgauge.sources.writers import stored
 
 #: Notices by licence, as they stand in file headers.
 TEMPLATES = [
@@ -75,7 +78,14 @@ def scan(files, least=LEAST):
     norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
     weighed = weighed.join(norms, "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("w"))
 
-    some = lines.unionByName(wholes).withColumn("terms", terms(F.col("part"))).where(F.arrays_overlap("terms", vocabulary))
+    # a term of no template weighs most: with m of n terms known, the squared cosine is m * m / (m * m + n - m) at best
+    def can_reach(found):
+        m = F.size(F.filter(found, lambda t: F.array_contains(vocabulary, t)))
+        return F.arrays_overlap(found, vocabulary) & (m * m >= least**2 * (m * m + F.size(found) - m) - 1e-9)
+
+    # within transform the terms of a line are worked out once, however often the test names them
+    worth = F.get(F.transform(F.array(terms(F.col("part"))), can_reach), F.lit(0))
+    some = lines.unionByName(wholes).where(worth).withColumn("terms", terms(F.col("part")))
     # lines that say the same are one line to compare; files with equal paths may repeat them
     unit = some.select("path", "line", F.xxhash64("part").alias("same"), F.explode("terms").alias("term"))
     counts = unit.groupBy("path", "line", "same", "term").agg(F.count("*").alias("n")).join(F.broadcast(idf), "term", "left")
@@ -118,7 +128,7 @@ def inherited(paths, matches):
 def licensed(files, least=LEAST):
     """Per path: license, score, how (own, inherited or none) and the directory it is inherited from."""
     paths = files.where(F.col("path").isNotNull()).select("path").distinct()
-    matches = scan(files, least)
+    matches = stored(scan(files, least), shared_dir(files.sparkSession, "licenses"))
     rows = paths.join(matches, "path", "left").join(inherited(paths, matches).drop("directory"), "path", "left")
     how = F.when(F.col("license").isNotNull(), "own").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
     taken = F.when(F.col("license").isNull(), F.col("source_directory"))
