@@ -5,17 +5,26 @@ of a source (from 1) is released at slot floor((i - 1) / w) and due at slot ceil
 blocks, the one with the earliest deadline takes the slot (ties by name). So every source has, at
 every slot, less than one block more or less than its weight asks for.
 
-Weights are whole slots of a period of ``PERIOD`` slots. The schedule repeats after a period, so only
-one period is worked out, in one fold over its slots, and every block finds its slot by a join with
-that small table. Where a source has run out, its slots stay empty and the other sources keep their
-places; no row is dropped or repeated.
+That choice is worked out period by period, all periods at the same time. A block that is open at a slot
+was released at most 1 / w slots, rounded up, and one before; blocks released earlier are done by then.
+So a period is a row of its own, which folds over its slots and the ``reach`` slots before (``reach``: that
+number for the smallest weight). The blocks released before these slots and not done yet are known by
+number; they take the first of these slots, whichever they are. Then the same blocks are open at the start
+of the period as in one run from slot 0: those that are due are done, and of the others, the earliest
+deadlines that their releases let in, as many as slots are left. Where a source has run out, its slots
+stay empty and the other sources keep their places; no row is dropped or repeated.
 """
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from labelgauge.session import shared_dir
+from labelgauge.sources.writers import stored
+
 PERIOD = 1000
+#: Weights are whole parts of about so many.
+PARTS = 1 << 40
 #: Hash buckets of a source within which rows are numbered; the bucket's start comes from the counts.
 BUCKETS = 4096
 
@@ -40,35 +49,80 @@ def period_shares(weights, period=PERIOD):
     return shares.withColumn("place", F.row_number().over(Window.orderBy("source")) - 1)
 
 
+def exact_shares(weights):
+    """(source, share, place): the weights as whole parts of their sum, which is ``PARTS`` but for rounding.
+
+    ``weights`` as in ``period_shares``; any number of sources. A source has one part at least.
+    """
+    some = weights.groupBy("source").agg(F.sum(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))).alias("w"))
+    some = some.where("w > 0")
+    part = F.round(F.col("w") / some.agg(F.sum("w")).scalar() * PARTS).cast("long")
+    shares = some.select("source", F.greatest(part, F.lit(1).cast("long")).alias("share"))
+    return shares.withColumn("place", F.row_number().over(Window.orderBy("source")) - 1)
+
+
 def schedule(shares, period=PERIOD):
-    """(source, share, kth, slot): which slot of the period the k-th block of each source takes."""
-    names = F.sort_array(F.collect_list(F.struct("place", "source", "share")))
-    row = shares.agg(F.coalesce(names, F.array()).alias("s"))
-    row = row.withColumn("folded", F.expr(_fold(period)))
-    slots = row.select("s", F.posexplode("folded.taken").alias("slot", "place"))
-    slots = slots.where("place >= 0").select(F.expr("s[place].source").alias("source"), F.expr("s[place].share").alias("share"), "slot")
-    return slots.withColumn("kth", F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1)
+    """(source, share, kth, slot): which slot of a period the k-th block of each source takes.
 
+    For shares that are whole slots of the period, so that the schedule repeats after it.
+    """
+    return _slots(shares.withColumn("blocks", F.col("share") - 1), F.lit(period), period)
 
-def _fold(period):
-    """The fold over the slots of a period: how many blocks each source has had, and who took each slot.
 
-    With the weight share / period, block k (from 0) is released at floor(k * period / share) and due at
-    ceil((k + 1) * period / share).
+def _slots(shares, until, period=PERIOD):
+    """(source, share, kth, slot): the slots of blocks 0 to ``blocks`` of each source, before slot ``until``.
+
+    ``shares``: source, share, place and blocks (null counts as 0); the weight is the share of their sum.
+    ``until``: a column over ``shares`` as a whole.
+    """
+    spark = shares.sparkSession
+    names = F.sort_array(F.collect_list(F.struct("place", "source", "share", F.coalesce("blocks", F.lit(0)).alias("blocks"))))
+    row = shares.agg(F.coalesce(names, F.array()).alias("s"), F.sum("share").alias("whole"), until.cast("long").alias("until"))
+    row = row.where("whole > 0").withColumn("reach", F.expr("(whole + array_min(s.share) - 1) DIV array_min(s.share) + 1"))
+    row = row.withColumn("size", F.greatest("reach", F.lit(period).cast("long")))
+    rows = row.withColumn("k", F.explode(F.expr("sequence(0, greatest((until + size - 1) DIV size, 1) - 1)")))
+    # a fixed number of partitions: the rows are few and small, the work is in the fold
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    rows = rows.withColumn("start", F.expr("greatest(k * size - reach, 0L)"))
+    # the first block released at start or later, and by how many parts of a slot it is released after it
+    late = "CAST(pmod(-CAST(start AS DECIMAL(19,0)) * x.share, CAST(whole AS DECIMAL(19,0))) AS BIGINT)"
+    had = "CAST((CAST(start AS DECIMAL(19,0)) * x.share + late) DIV whole AS BIGINT)"
+    rows = rows.withColumn("own", F.expr(f"""transform(s, x -> aggregate(array({late}), named_struct('share', x.share, 'late', 0L, 'had', 0L),
+      (st, late) -> named_struct('share', x.share, 'late', late, 'had', {had})))"""))
+    rows = rows.withColumn("idle", F.expr("aggregate(own, -start, (n, x) -> n + x.had)"))
+    rows = rows.withColumn("last", F.expr("least((k + 1) * size, until) - start"))
+    taken = rows.select("s", "own", "start", F.expr("k * size").alias("first"), F.explode(F.expr(_fold())).alias("t"))
+    taken = taken.select("s", "own", "first", F.expr("start + t.slot").alias("slot"), "t.i", "t.kth").where("slot >= first")
+    taken = taken.select(F.expr("s[i]").alias("x"), F.expr("own[i].had + kth").alias("kth"), "slot")
+    return taken.where("kth <= x.blocks").select("x.source", "x.share", "kth", "slot")
+
+
+def _fold():
+    """The fold over slots 0 to ``last`` (from ``start``): who took each, as (slot, i, kth), both from the start.
+
+    Block k (from 0) of ``own[i]`` is released (late + k * whole) / share slots after the start, rounded
+    down, and due (late + (k + 1) * whole) / share slots after it, rounded up. The first ``idle`` slots go to
+    blocks released before the start. Slots are taken in stretches of a hundred, so that what is added to
+    stays short.
     """
-    pick = f"""array_min(transform(
-      filter(sequence(0, size(s) - 1),
-        i -> st.done[i] < s[i].share AND st.done[i] * {period} DIV s[i].share <= t),
-      i -> named_struct('due', ((st.done[i] + 1) * {period} + s[i].share - 1) DIV s[i].share, 'i', i))).i"""
-    return f"""aggregate(IF(size(s) = 0, CAST(array() AS ARRAY<INT>), sequence(0, {period - 1})),
-      named_struct('done', transform(s, x -> 0L), 'taken', CAST(array() AS ARRAY<INT>)),
-      (st, t) -> aggregate(array(coalesce({pick}, -1)), st,
-        (old, p) -> named_struct(
-          'done', transform(old.done, (d, i) -> IF(i = p, d + 1, d)),
-          'taken', concat(old.taken, array(p)))))"""
-
-
-def mix(docs, weights, source="source", order=("doc_id", "text"), block=8, period=PERIOD, seed=0):
+    pick = """array_min(transform(
+      filter(sequence(0, size(own) - 1),
+        i -> t >= idle AND (own[i].late + st.done[i] * whole) DIV own[i].share <= t),
+      i -> named_struct('due', (own[i].late + (st.done[i] + 1) * whole + own[i].share - 1) DIV own[i].share,
+        'i', i, 'kth', st.done[i])))"""
+    step = f"""aggregate(array({pick}), st, (old, p) -> IF(p IS NULL, old, named_struct(
+        'done', transform(old.done, (d, i) -> IF(i = p.i, d + 1, d)),
+        'taken', concat(old.taken, array(named_struct('slot', t, 'i', p.i, 'kth', p.kth))))))"""
+    none = "CAST(array() AS ARRAY<STRUCT<slot: BIGINT, i: INT, kth: BIGINT>>)"
+    stretch = f"""aggregate(sequence(b * 100L, least(b * 100L + 100, last) - 1),
+        named_struct('done', whole_.done, 'taken', {none}), (st, t) -> {step})"""
+    return f"""flatten(aggregate(IF(last < 1, CAST(array() AS ARRAY<BIGINT>), sequence(0L, (last - 1) DIV 100)),
+      named_struct('done', transform(own, x -> 0L), 'all', CAST(array() AS ARRAY<ARRAY<STRUCT<slot: BIGINT, i: INT, kth: BIGINT>>>)),
+      (whole_, b) -> aggregate(array({stretch}), whole_, (old, p) -> named_struct(
+        'done', p.done, 'all', concat(old.all, array(p.taken))))).all)"""
+
+
+def mix(docs, weights, source="source", order=("doc_id", "text"), block=8, period=None, seed=0):
     """``docs`` with ``slot`` (long, of its block), ``place`` (long, in the block) and ``in_mix``.
 
     Sorted by slot and place, every start of the result holds the sources by weight, to less than one
@@ -76,6 +130,8 @@ def mix(docs, weights, source="source", order=("doc_id", "text"), block=8, perio
     without a weight above 0 have no slot (null) and are not in the mix; a null source is a source like
     any other. Within a source, rows follow the md5 of the seed and the ``order`` columns (equal rows in
     any order, as they are equal). No row is dropped. Columns named like a result are replaced.
+    With a ``period``, the weights are first rounded to whole slots of it, and what is said here holds for
+    the rounded weights.
     """
     results = ("slot", "place", "in_mix")
     name = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
@@ -88,23 +144,25 @@ def mix(docs, weights, source="source", order=("doc_id", "text"), block=8, perio
     counts = narrow.groupBy("source", F.conv(F.substring("rank_", 1, 3), 16, 10).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("source").orderBy("bucket")
     counts = counts.withColumn("before", F.sum("n").over(ahead) - F.col("n"))
-    slots = schedule(period_shares(named, period), period)
-    # the first slot that a source cannot fill: the one after its last block
+    shares = period_shares(named, period) if period else exact_shares(named)
     sizes = counts.groupBy("source").agg(F.ceil(F.sum("n") / block).alias("blocks"))
-    ends = slots.join(sizes, "source", "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)))
-    ends = ends.where("kth = blocks % share").select((F.floor(F.col("blocks") / F.col("share")) * period + F.col("slot")).alias("end"))
-    first_gap = ends.agg(F.min("end").alias("end")).scalar()
+    shares = shares.join(sizes, "source", "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)))
+    # up to the last block of all sources, and the first slot that a source cannot fill: the one after its last block
+    whole = F.sum("share").cast("decimal(19,0)")
+    due = lambda k: F.ceil(k.cast("decimal(19,0)") * shares.agg(whole).scalar() / F.col("share"))
+    until = F.greatest(F.max(due(F.col("blocks"))), F.min(due(F.col("blocks") + 1)))
+    slots = _slots(shares, until, period or PERIOD)
+    slots = stored(slots.join(sizes, "source", "left"), shared_dir(docs.sparkSession, "mix"))
+    first_gap = slots.where("kth = coalesce(blocks, 0)").agg(F.min("slot").alias("end")).scalar()
     inside = Window.partitionBy("source", "bucket").orderBy("rank_")
     numbered = rows.withColumn("nth", F.row_number().over(inside) - 1).join(
         counts.select("source", "bucket", "before"), ["source", "bucket"]
     )
     numbered = numbered.withColumn("nth", F.col("nth") + F.col("before"))
     numbered = numbered.withColumn("block_", F.floor(F.col("nth") / block))
-    shares = slots.groupBy("source").agg(F.first("share").alias("share"), F.sort_array(F.collect_list(F.struct("kth", "slot"))).alias("own"))
-    placed = numbered.join(F.broadcast(shares), "source", "left")  # at most one slot list of a period in all
-    kth = (F.col("block_") % F.col("share")).cast("int")
-    slot = F.floor(F.col("block_") / F.col("share")) * period + F.col("own")[kth]["slot"]
-    placed = placed.select("o", slot.cast("long").alias("slot"), (F.col("nth") % block).cast("long").alias("place"))
+    slots = slots.select("source", F.col("kth").alias("block_"), "slot")
+    placed = numbered.join(slots.hint("merge"), ["source", "block_"], "left")
+    placed = placed.select("o", "slot", (F.col("nth") % block).cast("long").alias("place"))
     placed = placed.withColumn("in_mix", F.coalesce(F.col("slot") < first_gap, F.lit(False)))
     return placed.select("o.*", "slot", F.when(F.col("slot").isNotNull(), F.col("place")).alias("place"), "in_mix")
 

@@ -53,6 +53,53 @@ def test_rows_are_whole_and_follow_the_weights(spark):
     assert Counter(map(tuple, again)) == Counter(map(tuple, out))
 
 
+def exact(parts, slots):
+    """Earliest deadline first over all slots from 0, with whole parts as weights."""
+    whole, done, out = sum(parts.values()), dict.fromkeys(parts, 0), []
+    for t in range(slots):
+        _, s = min((-(-(done[s] + 1) * whole // n), s) for s, n in parts.items() if done[s] * whole // n <= t)
+        done[s] += 1
+        out.append(s)
+    return out
+
+
+def test_weights_hold_over_many_periods(spark):
+    r = random.Random(3)
+    hot = {"hot": 93091**0.5} | {f"s{i:02}": 8600**0.5 for i in range(19)}
+    many = {f"s{i:02}": r.random() ** 2 + 0.02 for i in range(30)} | {"tiny": 0.003}
+    # the last has more sources than slots in a period
+    for weights, period, slots in ((hot, 1000, 4500), (many, 10, 700), ({"a": 1.0, "b": 1e-4}, 1000, 15000), (many, 7, 300)):
+        df = spark.createDataFrame(list(weights.items()), "source string, weight double")
+        shares = mixing.exact_shares(df)
+        parts = {x.source: x.share for x in shares.collect()}
+        whole = sum(weights.values())
+        assert all(abs(n / sum(parts.values()) - weights[s] / whole) < 1e-11 for s, n in parts.items())
+        found = mixing._slots(shares.selectExpr("*", "1000000 AS blocks"), mixing.F.lit(slots), period).collect()
+        found = sorted((x.slot, x.source, x.kth) for x in found)
+        order = [s for _, s, _ in found]
+        assert [t for t, _, _ in found] == list(range(slots)) and order == exact(parts, slots)
+        had = dict.fromkeys(weights, 0)
+        for t, s, k in found:
+            assert k == had[s]
+            had[s] += 1
+            assert all(abs(had[x] - (t + 1) * w / whole) < 1 for x, w in weights.items())
+
+
+def test_rows_of_a_mix_keep_the_weights(spark):
+    sizes = {"hot": 9000} | {f"s{i:02}": 830 for i in range(19)} | {"rare": 3}
+    docs = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    out = mixing.mix(docs, mixing.root_weights(docs), order=("doc_id",)).collect()
+    assert Counter((x.doc_id, x.source) for x in out) == Counter((i, s) for s, n in sizes.items() for i in range(n))
+    assert all(x.slot is not None for x in out) and len({(x.slot, x.place) for x in out}) == len(out)
+    had, whole = Counter(), sum(n**0.5 for n in sizes.values())
+    last = max(x.slot for x in out if x.in_mix)
+    taken = {x.slot: x.source for x in out if x.in_mix}
+    assert sorted(taken) == list(range(last + 1)) and last > 500
+    for t in range(last + 1):
+        had[taken[t]] += 1
+        assert all(abs(had[s] - (t + 1) * n**0.5 / whole) < 1 for s, n in sizes.items())
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, source string")
     weights = mixing.root_weights(docs)
