@@ -7,7 +7,8 @@ text less place in the segment) that lie within 2e of each other. Shared q-grams
 of diagonals that overlap by half, so that every such set lies in one band as a whole; bands that
 reach the bound are aligned with the segment, within the band only, and stay if the edits fit.
 
-Letters are compared in lower case and all white space as blanks; places are bytes of the given text.
+Letters are compared in lower case and each run of white space as one blank, in items and texts alike;
+places are bytes of the given text.
 The benchmark is the query set: it goes to the tasks in blocks of at most ``BLOCK`` bytes (a longer
 item alone), each against all rows. Items of fewer than ``LEAST`` bytes cannot tell a leak from common
 words and are left out.
@@ -28,18 +29,47 @@ BLOCK = 1 << 18
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER[SPACE] = 32
+LOWER[28:32] = 32
 BITS = 22
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 FAR = 1 << 20
 
 
-def folded(data):
-    """Bytes in lower case (ASCII and the letters of Latin-1) with blanks for white space."""
+def wide_space(data):
+    """Marks the bytes of the white space of Unicode that takes more than one byte."""
+    marks = np.zeros(len(data), bool)
+    if len(data) > 1:
+        two = (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+        marks[:-1] |= two
+        marks[1:] |= two
+    if len(data) > 2:
+        a, b, c = data[:-2], data[1:-1], data[2:]
+        three = (a == 0xE2) & (b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        three |= (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80) | (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+        marks[:-2] |= three
+        marks[1:-1] |= three
+        marks[2:] |= three
+    return marks
+
+
+def fold(data, offsets):
+    """(bytes, offsets, places) of a slice as it is compared: bytes in lower case (ASCII and the letters of
+    Latin-1), one blank for each run of white space of a row; places are those of the bytes kept."""
     out = LOWER[data]
     if len(out) > 1:
         capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
         out[1:] += capital.astype(np.uint8) * np.uint8(32)
-    return out
+    out[wide_space(data)] = 32
+    keep = np.ones(len(out), bool)
+    keep[1:] = (out[1:] != 32) | (out[:-1] != 32)
+    keep[offsets[offsets < len(out)]] = True  # a run ends with its row
+    places = np.flatnonzero(keep)
+    return out[places], np.append(0, np.cumsum(keep))[offsets], places
+
+
+def folded(data):
+    """The bytes of one text as they are compared."""
+    return fold(data, np.array([0, len(data)]))[0]
 
 
 def grams(data):
@@ -54,7 +84,8 @@ class Segments:
     def __init__(self, items):
         self.texts, self.items = [], []
         for item, text in items:
-            data = folded(np.frombuffer(" ".join((text or "").split()).encode(), np.uint8))
+            data = folded(np.frombuffer((text or "").encode(), np.uint8))
+            data = np.frombuffer(data.tobytes().strip(b" "), np.uint8)
             if len(data) >= LEAST:
                 cuts = np.linspace(0, len(data), max(1, len(data) // SEGMENT) + 1).astype(int)
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -124,7 +155,10 @@ def matches(segments, data, offsets):
     none = (np.zeros(0, np.int64),) * 5
     if not segments.texts or len(data) < Q:
         return none
-    data = folded(data)
+    given = offsets
+    data, offsets, places = fold(data, offsets)
+    if len(data) < Q:
+        return none
     names = grams(data)
     at = np.flatnonzero(segments.seen[(names * SPREAD) >> np.uint64(64 - BITS)])
     lo = np.searchsorted(segments.names, names[at], "left")
@@ -154,7 +188,8 @@ def matches(segments, data, offsets):
     found = align(segments, segment, data, offsets[row], offsets[row + 1], low)
     good = found[:, 0] <= segments.edits[segment]
     row, segment, found = row[good], segment[good], found[good]
-    return row, segment, found[:, 0], found[:, 1] - offsets[row], found[:, 2] - offsets[row]
+    begin, end = places[found[:, 1]], places[found[:, 2] - 1] + 1
+    return row, segment, found[:, 0], begin - given[row], end - given[row]
 
 
 def _blocks(benchmark, text, id_column):

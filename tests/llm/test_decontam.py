@@ -73,6 +73,36 @@ def test_spans_and_odd_rows(spark):
     assert d.leaks(docs.limit(0), bench).collect() == []
 
 
+def test_runs_of_white_space(spark):
+    r = random.Random(8)
+    words = prose(r, 60).split()
+    lines = [" ".join(words[i : i + 4]) for i in range(0, 60, 4)]
+    code = "\n        ".join(lines)  # an indented item
+    doubled = "  ".join(prose(r, 40).split())
+    wide = prose(r, 40)
+    docs = {
+        1: f"é {code} after",
+        2: f"before  \t {doubled}\n\nafter",
+        3: f"x {' '.join(words)} y",
+        4: "\r\n\t\t".join(lines),
+        5: wide.replace(" ", " \u00a0\u2003 "),
+        6: "\n" * 200 + prose(r, 30) + " " * 200,
+        7: " " * 500,
+        8: "",
+        9: wide.upper().replace(" ", "\u3000"),
+    }
+    bench = spark.createDataFrame([(1, code), (2, doubled), (3, wide), (4, " " * 400)], "item_id long, text string")
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").coalesce(1)
+    found = {(x.doc_id, x.item_id): x for x in d.leaks(df, bench).collect()}
+    assert set(found) == {(1, 1), (3, 1), (4, 1), (2, 2), (5, 3), (9, 3)}
+    for (doc, _), x in found.items():
+        assert x.edits == 0, doc
+    for doc, item, text in ((1, 1, code), (2, 2, doubled), (3, 1, " ".join(words)), (4, 1, docs[4]), (5, 3, docs[5]), (9, 3, docs[9])):
+        at = docs[doc].encode().index(text.encode())
+        assert (found[doc, item].start_byte, found[doc, item].end_byte) == (at, at + len(text.encode())), doc
+    assert {x.doc_id for x in d.without_leaks(df, bench).collect()} == {6, 7, 8}
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     r = random.Random(6)
     items = [(i, prose(r, 20)) for i in range(9)]
