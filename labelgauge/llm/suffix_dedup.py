@@ -30,7 +30,7 @@ from labelgauge.sources.writers import stored
 from labelgauge.llm.textbytes import U64, Hasher, chunks, mix, texts_of
 
 SEED = 48
-#: Bytes ranked at once; a longer text is taken in pieces that overlap by one string.
+#: Bytes ranked at once; a longer text is taken in pieces that overlap by one byte less than a string.
 PIECE = 1 << 22
 LOW = (1 << 24) - 1
 
@@ -84,7 +84,8 @@ def _pieces(column, length):
         if len(data) <= PIECE:
             yield rows, 0, data, offsets
         else:
-            for a in range(0, len(data), PIECE - length):
+            # a piece holds PIECE - length + 1 starts; each start lies in one piece
+            for a in range(0, len(data) - length + 1, PIECE - length + 1):
                 part = data[a : a + PIECE]
                 yield rows, a, part, np.array([0, len(part)])
 

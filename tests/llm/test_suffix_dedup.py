@@ -68,6 +68,40 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     assert starts == {(s, a) for lo, hi, a in zip(*whole[1:4], strict=True) for s in range(lo, hi + 1)}
 
 
+def test_each_start_is_in_one_piece(monkeypatch):
+    import pyarrow as pa
+
+    from labelgauge.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1024)
+    for size in (1025, 1223, 1224, 1849, 1850, 5000):
+        starts = []
+        for _, shift, part, offsets in suffix_dedup._pieces(pa.array([random.Random(size).randbytes(size).hex()[:size]]), 200):
+            found = suffix_dedup._stretches(part, offsets, 200, *map(suffix_dedup.Hasher, (1, 2)))
+            starts += [s + shift for lo, hi in zip(*found[1:3], strict=True) for s in range(lo, hi + 1)]
+        assert sorted(starts) == list(range(size - 199))
+
+
+def test_unique_and_repeated_strings_of_very_long_texts(spark):
+    from labelgauge.llm.suffix_dedup import PIECE
+
+    hexes = lambda seed, n: random.Random(seed).randbytes(n).hex()[:n]
+    unique = hexes(1, PIECE + 5000)
+    passage, parts = hexes(2, 500), [hexes(i, n) for i, n in ((3, 1000), (4, PIECE - 1800), (5, 900))]
+    twice = f"{parts[0]}g{passage}h{parts[1]}i{passage}j{parts[2]}"  # the second copy lies over the border of two pieces
+    df = spark.createDataFrame([(1, unique), (2, twice)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(df).collect()}
+    # what stands twice by a set of all strings of 200 bytes
+    seen, again = set(), set()
+    for t in (unique, twice):
+        for i in range(len(t) - 199):
+            h = hash(t[i : i + 200])
+            (again if h in seen else seen).add(h)
+    assert len(again) == 301
+    assert got[1] == (len(unique), 0, 0, unique.encode())
+    assert got[2] == (len(twice), 1000, 2, f"{parts[0]}gh{parts[1]}ij{parts[2]}".encode())
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string, id_ string, lo int, spans int, t string, kept_ int"
     empty = spark.createDataFrame([], schema)
