@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from labelgauge.llm import chat, decontam, langid, licenses, mixing, near_dedup, quality_nb, quality_rules, warc
+from labelgauge.llm import chat, decontam, langid, licenses, mixing, near_dedup, quality_nb, quality_rules, runs, warc
 from labelgauge.llm.suffix_dedup import remove_repeats
 from labelgauge.session import shared_dir
 
@@ -164,3 +164,32 @@ def op9_license_scan(spark, sf):
     return files.select("doc_id", "path").join(found, "path", "left").select(
         "doc_id", "license", "score", F.coalesce("how", F.lit("none")).alias("how"), "source_directory"
     )
+
+
+def looped(text, key):
+    """Every tenth text with its words from one on repeated at a period, both told by the key's checksum."""
+    h, words = F.crc32(key.cast("string")), F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"))
+    with_words = F.struct(words.alias("w"), F.floor(h / 10).alias("g"), F.size(words).cast("long").alias("n"))
+
+    def loop(x):
+        a = x["g"] % x["n"]
+        p = F.floor((x["n"] - a) / (x["g"] % 8 + 3)) + 1
+        place = lambda i: F.when(i < a, i).otherwise(a + F.try_mod(i - a, p)).cast("int")
+        again = F.transform(F.sequence(F.lit(0).cast("long"), x["n"] - 1), lambda i: F.get(x["w"], place(i)))
+        return F.when(x["n"] > 0, F.array_join(again, " ")).otherwise(text)
+
+    return F.when(h % 10 == 0, F.transform(F.array(with_words), loop)[0]).otherwise(text)
+
+
+@query()
+def op13_periodic_runs(spark, sf):
+    """Per document: its periodic runs of words, the longest of them, and a digest of the text without repeats."""
+    docs = table(spark, sf, "documents").select("doc_id", looped(F.col("text"), F.col("doc_id")).alias("text"))
+    found, best = runs.with_runs(docs), F.col("best")
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.withColumn("best", runs.longest_run(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
