@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from labelgauge.llm import chat, decontam, langid, licenses, mixing, near_dedup, quality_nb, quality_rules, runs, warc
+from labelgauge.llm import chat, decontam, langid, licenses, merkle, mixing, near_dedup, quality_nb, quality_rules, runs, warc
 from labelgauge.llm.suffix_dedup import remove_repeats
 from labelgauge.session import shared_dir
 
@@ -193,3 +193,61 @@ def op13_periodic_runs(spark, sf):
         best["period"].alias("period"), F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def _merkle_sql(depth=6):
+    """The trees level by level as runs of 16 nodes, each row folded through them; up to 16 ** depth nodes a tree."""
+    ctes = []
+
+    def tree(t):
+        """From {t}_l0 (g, pos, n, node): the levels {t}_l and their runs {t}_r."""
+        for i in range(depth):
+            ctes.append(f"""{t}_r{i} AS (SELECT g, pos // 16 AS run, any_value(n) AS n, string_agg(node, '' ORDER BY pos) AS s
+  FROM {t}_l{i} GROUP BY g, pos // 16)""")
+            ctes.append(f"""{t}_l{i + 1} AS (SELECT g, run AS pos, count(*) OVER (PARTITION BY g) AS n,
+  CASE WHEN n > 1 THEN sha256(s) ELSE s END AS node FROM {t}_r{i})""")
+
+    def fold(rows, t):
+        """From {rows}0 (doc_id, leaf, subroot, g, pos, x, proof): the rows folded through the runs of tree t."""
+        for i in range(depth):
+            ctes.append(f"""{rows}{i + 1} AS (SELECT doc_id, leaf, subroot, g, pos // 16 AS pos,
+  CASE WHEN r.n > 1 THEN sha256(s[:64 * (pos % 16)] || x || s[64 * (pos % 16) + 65:]) ELSE x END AS x,
+  CASE WHEN r.n > 1 THEN proof || s[:64 * (pos % 16)] || s[64 * (pos % 16) + 65:] ELSE proof END AS proof
+  FROM {rows}{i} JOIN {t}_r{i} AS r USING (g) WHERE r.run = pos // 16)""")
+
+    def leaf(text):
+        cells = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in cells) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+  lambda c, d: list_reduce([xor(c, d)] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+    ctes.append(f"""leaves AS (SELECT doc_id, coalesce('1' || source, '0') AS g, {leaf("text")} AS node,
+  CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} END AS other FROM documents)""")
+    ctes.append("""d AS (SELECT *, count(*) OVER (PARTITION BY g) AS n,
+  row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, node) - 1 AS pos FROM leaves)""")
+    ctes.append("d_l0 AS (SELECT g, pos, n, node FROM d)")
+    tree("d")
+    ctes.append(f"""s AS (SELECT g AS name, node, '' AS g, count(*) OVER () AS n, row_number() OVER (ORDER BY g) - 1 AS pos
+  FROM d_l{depth})""")
+    ctes.append("s_l0 AS (SELECT g, pos, n, node FROM s)")
+    tree("s")
+    ctes.append("""a0 AS (SELECT doc_id, d.node AS leaf, s.node AS subroot, d.g, d.pos, coalesce(other, d.node) AS x, '' AS proof
+  FROM d JOIN s ON name = d.g)""")
+    fold("a", "d")
+    ctes.append(f"b0 AS (SELECT doc_id, leaf, subroot, '' AS g, s.pos, x, proof FROM a{depth} AS a JOIN s ON name = a.g)")
+    fold("b", "s")
+    return f"""WITH {", ".join(ctes)}
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = node AS verified
+FROM b{depth} JOIN s_l{depth} USING (g)"""
+
+
+@query(_merkle_sql())
+def op11_merkle_manifest(spark, sf):
+    """Per document: its leaf, its source's root, the root, its proof, and what a tampered text leads to."""
+    docs = table(spark, sf, "documents")
+    cells = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    other = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_hash(*cells, lower))
+    rows = docs.select("doc_id", "source", merkle.leaf_hash(*cells, F.col("text")).alias("leaf"), other.alias("other"))
+    return merkle.Manifest(rows, "source", "doc_id", "leaf", "other", keep=["doc_id"]).proofs()
