@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from labelgauge.llm import chat, decontam, langid, licenses, merkle, mixing, near_dedup, quality_nb, quality_rules, runs, warc
+from labelgauge.llm import chat, decontam, langid, licenses, merkle, mixing, near_dedup, quality_nb, quality_rules, runs, warc, wrappers
 from labelgauge.llm.suffix_dedup import remove_repeats
 from labelgauge.session import shared_dir
 
@@ -251,3 +251,18 @@ def op11_merkle_manifest(spark, sf):
     other = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_hash(*cells, lower))
     rows = docs.select("doc_id", "source", merkle.leaf_hash(*cells, F.col("text")).alias("leaf"), other.alias("other"))
     return merkle.Manifest(rows, "source", "doc_id", "leaf", "other", keep=["doc_id"]).proofs()
+
+
+PAGE_SQL = r"""WITH body AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS a FROM pages),
+parts AS (SELECT page_id, url, list_transform(regexp_split_to_array(a, '</?(p|h1)>'), lambda x: trim(regexp_replace(
+  replace(replace(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+    '&quot;?', '"', 'g'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS b FROM body),
+texts AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text FROM parts)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts"""
+
+
+@query(PAGE_SQL)
+def op12_html_extraction(spark, sf):
+    """Per page: the main text, by the wrapper of its host."""
+    pages = wrappers.main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
