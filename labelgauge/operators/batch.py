@@ -1,6 +1,7 @@
 """Scoring rows with a pluggable model: the one place where Python workers run."""
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,6 +10,9 @@ from labelgauge.functions.text import user_prompt
 from labelgauge.operators.candidates import candidate_requests
 from labelgauge.schema import LABELS
 
+#: The start of the names of the folders that hold the replies of a batch.
+BATCH = "replies-"
+
 
 def score_batch(df, predictor=None, prompt_col="prompt", raw_col="raw_response", setup=None, many=False):
     """Each row with the predictor's reply to its prompt, in Arrow batches within the partitions.
@@ -57,6 +61,42 @@ def score_batch(df, predictor=None, prompt_col="prompt", raw_col="raw_response",
     return df.mapInArrow(run, schema)
 
 
+def score_resumable(requests, predictor=None, path=None, keys=("id",), batches=16, keep_failed=True, **how):
+    """Replies to ``requests`` below ``path``, asking only for those not there yet; gives all replies.
+
+    The requests are dealt to ``batches`` by their keys, and each batch is a job that appends its replies
+    when it is whole; what a broken run has finished is not asked again, and no more than one batch is lost.
+    A batch first leaves out the keys stored for it (an anti-join of narrow keys). Keys name a request, so
+    they must be unique; null is a key like any other. Replies have the keys, ``raw_response`` and
+    ``failed``; with ``keep_failed=False`` failed ones are not stored, so the next run asks for them again.
+    """
+    spark, keys = requests.sparkSession, list(keys)
+    kinds = T.StructType([requests.schema[k] for k in keys])
+    kinds = kinds.add("raw_response", T.StringType()).add("failed", T.BooleanType())
+    dealt = requests.withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(batches)))
+    for i in range(batches):
+        todo, place = dealt.where(F.col("_batch") == i).drop("_batch"), f"{path}/{BATCH}{i:05d}"
+        done = _stored_replies(spark, place, kinds)
+        if done is not None:
+            done = done.select(*[F.col(k).alias(f"_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            todo = todo.join(done, same, "left_anti")
+        answered = score_batch(todo, predictor, **how).select(*keys, "raw_response", "failed")
+        if not keep_failed:
+            answered = answered.where("NOT failed")
+        answered.write.mode("append").parquet(place)
+    return spark.read.schema(kinds).parquet(f"{path}/{BATCH}*")
+
+
+def _stored_replies(spark, path, schema):
+    """What is stored at ``path``, None when nothing is."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+
+
 def label_struct(prefix, labels=LABELS):
     return F.expr(f"struct({', '.join(f'`{prefix}{name}` AS `{name}`' for name in labels)})")
 

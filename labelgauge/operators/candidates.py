@@ -6,6 +6,7 @@ A candidate table has ``candidate_id`` (its place in the list), ``component`` an
 from functools import reduce
 from operator import or_
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelgauge.functions.text import token_count
@@ -18,6 +19,9 @@ TITLE = "HARMFUL SPEECH CLASSIFIER"
 RARE_CHARACTER = r"[\x{2711}-\x{10FFFF}]"
 MAX_RARE_SHARE = 0.05
 
+#: Candidates that meet a row together: how many, and the characters beyond which a block ends.
+BLOCK_ROWS, BLOCK_CHARS = 256, 1 << 20
+
 
 def is_valid(body, labels=LABELS):
     """Long enough, asks for JSON and names a label."""
@@ -43,18 +47,41 @@ def passing_or_all(candidates, ok):
     return candidates.where(ok | ~any_ok)
 
 
-def candidate_requests(rows, candidates, id_col="id"):
-    """Every candidate on every row, joined by the ids that the candidates have, whatever they are.
+def candidate_blocks(candidates, size=BLOCK_ROWS, chars=BLOCK_CHARS):
+    """The candidates in blocks of bounded size: ``block``, and ``members``, an array of whole candidates.
 
-    The output is that large by meaning. Each candidate meets all rows, so its rows are spread by row
-    id and its body is copied once for each part; the list of ids is the only thing all rows see.
+    A block holds at most ``size`` candidates, and no more than ``chars`` characters of text beyond its last
+    one. Candidates are dealt to buckets by their id and numbered within, so no task sees them all.
+    """
+    texts = [F.coalesce(F.length(f"`{n}`"), F.lit(0)) for n, kind in candidates.dtypes if kind == "string"]
+    width = sum(texts, F.lit(0)).cast("long")
+    buckets = candidates.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1))).scalar()
+    whole = F.struct(*[F.col(f"`{c}`") for c in candidates.columns])
+    dealt = candidates.select(whole.alias("m"), width.alias("w"), F.pmod(F.xxhash64("candidate_id"), buckets).alias("bucket"))
+    order = Window.partitionBy("bucket").orderBy("m.candidate_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor((F.row_number().over(order) - 1) / size) + F.floor(F.coalesce(F.sum("w").over(before), F.lit(0)) / chars)
+    dealt = dealt.withColumn("block", F.struct("bucket", part.alias("part")))
+    return dealt.groupBy("block").agg(F.collect_list("m").alias("members"))
+
+
+def candidate_requests(rows, candidates, id_col="id", size=BLOCK_ROWS, chars=BLOCK_CHARS):
+    """Every candidate on every row, whatever the ids of the candidates are.
+
+    The output is that large by meaning, but what is shuffled is not: candidates go in blocks of bounded
+    size, a row is sent once per block, not once per candidate, and the product of a row and the members of
+    a block is formed where they meet. Each block meets all rows, so its rows are spread by row id and the
+    block is copied once for each part.
     """
-    ids = candidates.agg(F.collect_set("candidate_id").alias("ids")).scalar()
-    repeated = rows.withColumn("_ids", ids).withColumn("candidate_id", F.explode("_ids")).drop("_ids")
+    blocks = candidate_blocks(candidates, size, chars)
+    names = blocks.agg(F.collect_set("block").alias("names")).scalar()
+    sent = rows.withColumn("_names", names).withColumn("_block", F.explode("_names")).drop("_names")
     salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = repeated.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
-    copies = candidates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["candidate_id", "_salt"]).drop("_salt")
+    salted = sent.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
+    copies = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = salted.join(copies.withColumnRenamed("block", "_block"), ["_block", "_salt"]).drop("_block", "_salt")
+    columns = [c for c in met.columns if c != "members"]
+    return met.select(*[F.col(f"`{c}`") for c in columns], F.inline("members"))
 
 
 def first_nonzero_score(*columns):

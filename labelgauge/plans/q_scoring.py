@@ -1,5 +1,6 @@
 """Queries: reply decoding, batch scoring, row scores, metrics."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelgauge.functions import decode, scores
@@ -7,6 +8,7 @@ from labelgauge.functions.labels import answer_string, yes_value
 from labelgauge.functions.text import user_prompt
 from labelgauge.operators import align as alignment
 from labelgauge.operators import batch, metrics
+from labelgauge.operators.candidates import is_valid, passing_or_all
 from labelgauge.operators.split import train_val_split
 from labelgauge.plans import tables
 from labelgauge.plans.registry import (
@@ -21,6 +23,7 @@ from labelgauge.plans.registry import (
 )
 from labelgauge.plans.runs import PREDICTED
 from labelgauge.schema import LABELS
+from labelgauge.session import shared_dir
 
 
 
@@ -156,6 +159,62 @@ def model_batch(spark, sf):
     return df.select("id", "failed", error, *PREDICTED)
 
 
+def source_candidates(spark, sf):
+    """A candidate per source of the documents, numbered by name, with texts of several lengths."""
+    named = tables.documents(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.orderBy("source")) - 1  # a row per source
+    body = F.concat(
+        F.lit("Return JSON for texts of "), "source", F.lit(" with stereotype and all other labels."),
+        F.repeat(F.lit(" Be exact."), place % 7), F.lit(" Give every label the value 0 or 1 and nothing else."),
+    )
+    return named.select(place.cast("int").alias("candidate_id"), body.alias("body"))
+
+
+GRID_HITS = " + ".join(
+    f"CASE WHEN {c} = (CASE WHEN n % 10 > 0 AND {p} THEN 1 ELSE 0 END) THEN 1 ELSE 0 END"
+    for c, p in zip(LABELS, ("n % 4 = 0", "n % 7 < 2", "n % 3 = 1", "n % 6 = 0", "n % 5 < 2", "n % 2 = 0"))
+)
+
+
+@query(f"""WITH {SIX}, c AS (SELECT (row_number() OVER (ORDER BY source) - 1)::INTEGER AS candidate_id, source
+  FROM (SELECT DISTINCT source FROM documents)),
+b AS (SELECT candidate_id, 'Return JSON for texts of ' || source || ' with stereotype and all other labels.' ||
+  repeat(' Be exact.', candidate_id % 7) || ' Give every label the value 0 or 1 and nothing else.' AS body FROM c),
+g AS (SELECT candidate_id, body, {", ".join(f"t_{c} AS {c}" for c in LABELS)},
+  length(body) + 2 + length(text) AS n FROM six, b),
+s AS (SELECT candidate_id, body, count(*) AS n, avg(({GRID_HITS}) / 6.0) AS mean_score FROM g GROUP BY candidate_id, body),
+v AS (SELECT *, length(body) >= 100 AS ok, bool_or(length(body) >= 100) OVER () AS any_ok FROM s)
+SELECT candidate_id, n, round(mean_score, 6) AS mean_score,
+  candidate_id = first_value(candidate_id) OVER (ORDER BY ok OR NOT any_ok DESC, round(mean_score, 9) DESC, candidate_id) AS chosen
+FROM v""")
+def candidate_batch(spark, sf):
+    """Many candidates on all rows, from requests to the choice: prompts, replies, decoding, scores, best."""
+    rows, bodies = tables.truth_only(spark, sf), source_candidates(spark, sf)
+    done = batch.evaluate_candidates(rows, bodies, length_model(LABELS), decode.decode_fenced_json)
+    scored = metrics.mean_score(done, by=["candidate_id"])
+    valid = passing_or_all(bodies.select("candidate_id", "body"), is_valid(F.col("body")))
+    ranked = valid.select("candidate_id").join(scored, "candidate_id")
+    best = F.max_by("candidate_id", F.struct(F.round("mean_score", 9).alias("s"), (-F.col("candidate_id")).alias("i")))
+    chosen = ranked.agg(best.alias("best")).scalar()
+    return rounded(scored.withColumn("chosen", F.col("candidate_id") == chosen), "mean_score")
+
+
+@query(f"""WITH {LABELLED} SELECT id, 1::BIGINT AS n_answers, n_chars % 10 = 0 AS failed,
+  CASE WHEN n_chars % 10 > 0 AND n_chars % 4 = 0 THEN 1 ELSE 0 END AS pred_stereotype,
+  CASE WHEN n_chars % 10 > 0 AND n_chars % 2 = 0 THEN 1 ELSE 0 END AS pred_invalidation FROM labelled""")
+def resumed_scoring(spark, sf):
+    """Half of the rows scored, then all of them: the second run asks for what the first has not stored."""
+    rows = tables.labelled(spark, sf).select("id", user_prompt(F.col("text")).alias("prompt"))
+    path, model = shared_dir(spark, "replies"), length_model(LABELS)
+    batch.score_resumable(rows.where("id % 2 = 0"), model, path, batches=3)
+    answered = batch.score_resumable(rows, model, path, batches=3)
+    df = decode.decode_fenced_json(answered, "raw_response")
+    return df.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_answers"), F.bool_or("failed").alias("failed"),
+        *[F.max(c).alias(c) for c in ("pred_stereotype", "pred_invalidation")],
+    )
+
+
 @query(f"""WITH {SIX} SELECT id, {bits("id % 6 < 4")},
   {", ".join(f"t_{c} AS {c}" for c in LABELS)} FROM six""")
 def stored_reply_scoring(spark, sf):

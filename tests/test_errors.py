@@ -184,8 +184,42 @@ def test_requests_and_comparison(spark):
     assert cand.candidate_requests(rows_, bodies.where("candidate_id > 9")).count() == 0
     far = spark.createDataFrame([(-5, "A"), (7, "B"), (100_000, "C")], "candidate_id int, body string")
     assert {(r.body, r.id) for r in cand.candidate_requests(rows_, far).collect()} == {(c, i) for c in "ABC" for i in (1, 2)}
+    small = cand.candidate_blocks(far.unionByName(bodies), size=2, chars=10**6).collect()
+    assert max(len(r.members) for r in small) <= 2 and sum(len(r.members) for r in small) == 5
+    long = spark.range(40).selectExpr("id AS candidate_id", "repeat('x', 100) AS body")
+    assert max(len(r.members) for r in cand.candidate_blocks(long, 1000, 250).collect()) <= 4
+    assert cand.candidate_requests(rows_, long, size=3, chars=150).count() == 80
     f1 = spark.createDataFrame([("base", 0.4), ("new", 0.5)], "approach string, macro_f1 double")
     got = {r.approach: r.gain_pct for r in cand.compare(f1, "base").collect()}
     assert got["base"] == 0 and got["new"] == pytest.approx(25)
     zero = f1.withColumn("macro_f1", F.when(F.col("approach") == "base", 0.0).otherwise(0.5))
     assert {r.gain_pct for r in cand.compare(zero, "base").collect()} == {0.0}
+
+
+def test_scoring_resumes_where_it_stopped(spark, tmp_path):
+    import os
+
+    from labelgauge.operators.batch import score_resumable
+
+    log = str(tmp_path / "asked")
+    os.makedirs(log)
+
+    def model(prompt):
+        import uuid
+
+        with open(f"{log}/{prompt}-{uuid.uuid4().hex}", "w"):
+            pass
+        if prompt == "p7" and len([f for f in os.listdir(log) if f.startswith("p7-")]) == 1:
+            raise ValueError("busy")
+        return f"re {prompt}"
+
+    rows_ = spark.createDataFrame([(i if i else None, f"p{i}") for i in range(20)], "id int, prompt string")
+    path = str(tmp_path / "replies")
+    first = score_resumable(rows_.where("id < 9 OR id IS NULL"), model, path, batches=4, keep_failed=False)
+    assert first.count() == 8  # p7 failed and is not kept
+    every = score_resumable(rows_, model, path, batches=4, keep_failed=False).collect()
+    assert sorted((r.id or 0, r.raw_response, r.failed) for r in every) == [(i, f"re p{i}", False) for i in range(20)]
+    asked = [f.split("-")[0] for f in os.listdir(log)]
+    assert sorted(asked) == sorted([f"p{i}" for i in range(20)] + ["p7"])
+    again = score_resumable(rows_, model, path, batches=4).count()
+    assert again == 20 and len(os.listdir(log)) == 21
