@@ -192,6 +192,7 @@ class Manifest:
     def _above_groups(self):
         """(gid, path, subroot): the siblings between each group's root and the root."""
         start = self.spark.range(1).select(F.lit("").alias("gid"), F.array().cast(PATH).alias("path"), F.lit("").alias("subroot"))
+        start = stored(start, shared_dir(self.spark, "merkle-path"))
         above = _paths_down(self.over, start, self.spark)
         leaves = self.over[0].join(self.groups.select("pos", F.col("at").alias("name")), "pos")
 
