@@ -8,9 +8,14 @@ are then kept or labelled by one comparison each. Only the id column is read to
 the other columns are never shuffled, and k may be anything up to all rows.
 """
 
+from typing import NamedTuple
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from labelgauge.operators.select import FEW, Cut, cut, take_first
+from labelgauge.sources.writers import stored
+
 # 16 ** 4 buckets: a running total over 65,536 rows, and one bucket in 65,536 to rank.
 BUCKET_DIGITS = 4
 
@@ -137,25 +142,84 @@ def balanced(df, label_col="label", id_col="id", classes=None, seed=42):
     return df.where(wanted).where(_position(id_col, seed) <= F.try_element_at(cut, label))
 
 
-def first_k(df, k, id_col="id", then=()):
+def _limited(df, order, k, few):
+    """The first k rows: by the cutoff of the k least keys while k is small, by range histograms beyond."""
+    if k > few:
+        return take_first(df, order, k, few).orderBy(*order)
+    at = F.struct(*order)
+    last = df.select(at.alias("at")).orderBy("at").limit(k).agg(F.max("at")).scalar()
+    return df.where(at <= last).orderBy(*order).limit(k)
+
+
+def first_k(df, k, id_col="id", then=(), few=FEW):
     """The k rows with the lowest ids, equal ids by the columns ``then``; null ids come first.
 
-    The cutoff id is found first, and pushed to the scan; rows beyond k that share it are cut off last.
+    Up to ``few`` rows the cutoff id comes from the k least keys, and is pushed to the scan; rows beyond k
+    that share it are cut off last. Beyond, it is found by range histograms, and nothing meets in one task.
     """
+    order = [F.col(id_col), *map(F.col, then)]
+    if k > few:
+        return take_first(df, order, k, few).orderBy(*order)
     last = df.select(id_col, *then).orderBy(id_col, *then).limit(k).agg(F.max(id_col)).scalar()
     return df.where((F.col(id_col) <= last) | F.col(id_col).isNull()).orderBy(id_col, *then).limit(k)
 
 
-def lowest_k(df, k, score, id_col="id"):
+def lowest_k(df, k, score, id_col="id", few=FEW):
     """The k rows with the lowest score, equal scores by id; texts are not carried to the choice.
 
-    Null scores and null ids come first.
+    Null scores and null ids come first. Any k, as in ``first_k``.
     """
-    at = F.struct(score.alias("s"), F.col(id_col).alias("i"))
-    last = df.select(at.alias("at")).orderBy("at").limit(k).agg(F.max("at")).scalar()
-    return df.where(at <= last).orderBy(at).limit(k)
+    return _limited(df, [score, F.col(id_col)], k, few)
 
 
-def demonstrations(df, k, score, threshold, id_col="id"):
+def demonstrations(df, k, score, threshold, id_col="id", few=FEW):
     """Up to k rows whose score reaches the threshold, in id order."""
-    return first_k(df.where(score >= threshold), k, id_col)
+    return first_k(df.where(score >= threshold), k, id_col, few=few)
+
+
+class Draw(NamedTuple):
+    """A named draw of ``size`` rows in the order of a seeded hash (of the id where ``seed`` is None).
+
+    ``of`` names the draw it is taken from (all rows if None), ``beyond`` names draws whose rows are passed over.
+    """
+
+    name: str
+    size: int
+    seed: int | None = 42
+    of: str | None = None
+    beyond: tuple = ()
+
+
+def draws(df, plan, id_col="id", path=None, few=FEW):
+    """``df`` with ``draws``: the names of the draws of ``plan`` that a row is in, in the order of the plan.
+
+    Draws may be nested and follow each other to any depth. All are settled on one narrow table of the ids
+    and their hash per seed (stored at ``path`` if given), each by the place of its last row; a row is
+    then told by comparing its own hashes with those constant places. So ``df`` is read once, whatever
+    the number of draws, and nothing of it is shuffled. Ids must be unique; where there are fewer rows than
+    asked for, a draw holds what there is.
+    """
+    seeds = sorted({d.seed for d in plan if d.seed is not None})
+    place = {s: (F.conv(F.left(shuffle_key(id_col, s), F.lit(15)), 16, 10).cast("long"), shuffle_key(id_col, s)) for s in seeds}
+    hashes = [c.alias(f"{n}{s}") for s in seeds for n, c in zip("hm", place[s])]
+    keys = stored(df.select(F.col(id_col).alias("i"), *hashes), path)
+    holds, known = {}, {}
+    for d in plan:
+        orders = [[F.col(f"h{d.seed}"), F.col(f"m{d.seed}"), F.col("i")], [*place.get(d.seed, ()), F.col(id_col)]]
+        narrow, own = (o[-1:] if d.seed is None else o for o in orders)
+        found = cut(keys.where(_inside(known, d)), narrow, d.size, few)
+        if found is None:  # no rows are wanted, or all there are
+            first = wide = F.lit(d.size > 0)
+        else:
+            first, wide = found.first(), Cut(own, found.values, found.taken, found.ties).first()
+        known[d.name], holds[d.name] = _inside(known, d) & first, _inside(holds, d) & wide
+    names = [F.when(holds[d.name], d.name) for d in plan]
+    return df.withColumn("draws", F.array_compact(F.array(*names)))
+
+
+def _inside(known, draw):
+    """The condition for the rows that a draw is taken from."""
+    out = F.lit(True) if draw.of is None else known[draw.of]
+    for name in draw.beyond:
+        out = out & ~known[name]
+    return out

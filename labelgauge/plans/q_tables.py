@@ -447,10 +447,18 @@ first AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM train)
 SELECT id, 'drawn' AS subset FROM drawn WHERE r <= 60
 UNION ALL SELECT id, 'first' FROM first WHERE r <= 40""")
 def compile_subset(spark, sf):
-    train = split.train_val_split(tables.documents(spark, sf).select("id"), 80, 40)
-    train = train.where("split = 'train'").drop("split")
-    drawn = split.sample_n(train, 60, seed=7).withColumn("subset", F.lit("drawn"))
-    return drawn.unionByName(split.first_k(train, 40).withColumn("subset", F.lit("first")))
+    plan = [split.Draw("train", 80), split.Draw("drawn", 60, seed=7, of="train"), split.Draw("first", 40, seed=None, of="train")]
+    rows = split.draws(tables.documents(spark, sf).select("id"), plan, path=shared_dir(spark, "draws"))
+    return rows.select("id", F.explode("draws").alias("subset")).where("subset <> 'train'")
+
+
+@query("""WITH ranked AS (SELECT doc_id AS id, n_chars, text, count(*) OVER () AS n,
+  row_number() OVER (ORDER BY n_chars, doc_id) AS r FROM documents)
+SELECT id, n_chars, text FROM ranked WHERE r <= n // 2""")
+def shorter_half(spark, sf):
+    """Half of all documents, the shortest ones: a k that grows with the table."""
+    docs = tables.documents(spark, sf).select("id", "n_chars", "text")
+    return split.lowest_k(docs, docs.count() // 2, F.col("n_chars"), few=64)
 
 
 @query("""SELECT lang AS class, count(*) AS n, min(n) AS least FROM (

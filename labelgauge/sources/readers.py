@@ -11,11 +11,11 @@ from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelgauge.functions.labels import coerce_label, membership_label
+from labelgauge.operators.select import numbered
 from labelgauge.schema import LABELS, SENTENCE_COLUMNS, require_columns
 
 # Cells read as null.
@@ -69,14 +69,13 @@ def read_labelled_csv(spark, paths, multi_line=True):
 def with_id(df, columns=None, name="id"):
     """``df`` with an id made from the row's own content, the same whenever the row is read again.
 
-    It is the md5 of ``columns`` (all by default) and a number that tells equal rows apart; only equal
-    rows meet to be numbered, and nothing is sorted as a whole.
+    It is the md5 of ``columns`` (all by default) and a number that tells equal rows apart. Only rows that
+    have an equal are numbered, in two levels and without their texts, so a row that makes up a third of
+    the table is spread over many tasks.
     """
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns or df.columns]
-    key = F.md5(F.concat_ws("\x1f", *cells))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    df = df.withColumn("_key", key).withColumn(name, F.concat_ws("-", "_key", nth.cast("string")))
-    return df.drop("_key")
+    df = numbered(df.withColumn("_key", F.md5(F.concat_ws("\x1f", *cells))), "_key", "_number")
+    return df.withColumn(name, F.concat_ws("-", "_key", F.col("_number").cast("string"))).drop("_key", "_number")
 
 
 def read_multilabel(spark, paths, text_col="translated_te", labels=LABELS, multi_line=True):

@@ -118,3 +118,15 @@ def test_ids_come_from_the_content(spark):
     assert len({i for i, _, _ in ids}) == 5
     assert ids == sorted((r.id, r.text or "", r.label or "") for r in readers.with_id(df.repartition(3)).collect())
     assert {i[-2:] for i, t, _ in ids if t == "a"} == {"-1", "-2"}
+
+
+def test_a_row_that_makes_up_a_third_is_spread(spark):
+    df = spark.range(0, 3000, 1, 5).selectExpr("if(id % 3 = 0, 'same', concat('t', id)) AS text", "if(id % 6 = 1, 'twice', 'x') AS label")
+    df = df.unionByName(df.where("label = 'twice'"))
+    got = [r.id for r in readers.with_id(df).collect()]
+    assert len(set(got)) == len(got) == 3500
+    key = max({i[:32] for i in got}, key=[i[:32] for i in got].count)
+    assert sorted(int(i[33:]) for i in got if i.startswith(key)) == list(range(1, 1001))
+    shape = readers.with_id(df)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in shape.split("\n") if "Window [" in line]
+    assert windows and not any("text#" in line or "label#" in line for line in windows)

@@ -108,3 +108,64 @@ def test_balance_takes_the_classes_from_the_data(spark):
     got = split.balanced(rows).groupBy("label").count().collect()
     assert {(r.label, r["count"]) for r in got} == {("a", 10), ("b", 10), ("c", 10)}
     assert {r.label for r in split.balanced(rows, classes=("b", "c")).collect()} == {"b", "c"}
+
+
+def test_cut_of_any_order(spark):
+    """Every kind of column, with nulls, ties and values that no part of a range tells apart."""
+    import datetime
+    from decimal import Decimal
+
+    rng = random.Random(3)
+    odd = [None, float("-inf"), -1e308, -1.5, -0.0, 0.0, 1e-300, 2.5, 1e308, float("inf"), float("nan")]
+    rows = []
+    for i in range(400):
+        day = datetime.date(1960, 1, 1) + datetime.timedelta(rng.choice([0, 1, 2, 30_000]))
+        at = datetime.datetime(2020, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(microseconds=rng.choice([0, 1, 10**15]))
+        word = rng.choice([None, "", "http://a/", "http://a/b", "http://a/é", "http://a/~", "zz" * rng.randint(0, 9), str(i)])
+        rows.append((i, rng.choice([None, -(2**63), 2**63 - 1, 0, 1, i]), rng.choice(odd), word, day, at, rng.random() < 0.5, rng.choice([None, Decimal("1.10"), Decimal("-3")])))
+    kinds = "id long, n long, d double, s string, day date, at timestamp, yes boolean, money decimal(10,2)"
+    df = spark.createDataFrame(rows, kinds).repartition(5).cache()
+    for order in (["n", "id"], ["d", "id"], ["s", "d"], ["day", "at"], ["at", "n"], ["yes", "money", "s"], ["yes"]):
+        columns = [F.col(c) for c in order]
+        want = [tuple(r)[:-1] for r in df.select(*columns, F.col("id").alias("_")).orderBy(*columns).collect()]
+        for k in (57, 200, 400):
+            got = split.take_first(df, columns, k, few=3)
+            assert [str(tuple(r)) for r in got.select(*columns).orderBy(*columns).collect()] == [str(w) for w in want[:k]]
+    assert split.take_first(df, [F.col("id")], 0).count() == 0 and split.take_first(df.where("id < 0"), [F.col("id")], 3).count() == 0
+
+
+def test_half_of_the_table_meets_in_no_task(spark, table):
+    got = split.first_k(table, 350, few=16)
+    assert ids(got) == set(sorted(IDS)[:350])
+    shape = split.take_first(table, [F.col("id")], 350, few=16)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in shape.split("InMemoryTableScan")[0] and "TakeOrdered" not in shape and "GlobalLimit" not in shape
+    same = spark.range(1000).selectExpr("7L AS id", "id AS n")
+    assert split.first_k(same, 400, few=16).count() == 400 and split.lowest_k(same, 999, F.lit(1.0), few=16).count() == 999
+
+
+def test_draws_nest_and_follow(spark, table, tmp_path):
+    plan = [
+        split.Draw("train", 300), split.Draw("val", 100, beyond=("train",)), split.Draw("some", 50, seed=7, of="train"),
+        split.Draw("inner", 20, seed=9, of="some"), split.Draw("first", 40, seed=None, of="train"), split.Draw("all", 10**6), split.Draw("none", 0),
+    ]
+    for path in (None, str(tmp_path / "keys")):
+        rows = split.draws(table, plan, path=path, few=8)
+        found = {d.name: {r.id for r in rows.collect() if d.name in r.draws} for d in plan}
+        head = ordered(IDS)
+        assert found["train"] == set(head[:300]) and found["val"] == set(head[300:400])
+        some = [i for i in ordered(IDS, 7) if i in found["train"]][:50]
+        assert found["some"] == set(some) and found["inner"] == {i for i in ordered(IDS, 9) if i in found["some"]} & set([i for i in ordered(IDS, 9) if i in found["some"]][:20])
+        assert found["first"] == set(sorted(head[:300])[:40]) and found["all"] == set(IDS) and not found["none"]
+        shape = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in shape.split("InMemoryTableScan")[0] and "Subquery" not in shape
+
+
+def test_compile_subset_reads_the_table_once(spark):
+    import os
+
+    import __spark_entry__ as entry_points
+
+    sf = "/root/testdata/sf0.001"
+    if os.path.isdir(sf):
+        shape = entry_points.queries()["compile_subset"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert shape.count("FileScan") == 1
