@@ -2,17 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from labelgauge.functions.scores import cell_metrics
+from labelgauge.functions.scores import cell_metrics, ratio, round4
 from labelgauge.functions.text import preview, text_stats
-from labelgauge.operators.errors import missed_rows
-from labelgauge.operators.metrics import (
-    AVERAGED,
-    SUBSET_ACCURACY,
-    category_counts,
-    detection_rate,
-    macro_sql,
-    pooled,
-)
+from labelgauge.operators.metrics import AVERAGED, SUBSET_ACCURACY, macro_sql, pooled
 from labelgauge.schema import LABELS
 
 # The wording of the probe report.
@@ -84,54 +76,59 @@ def _line(section, line, ord=None, tie=None, part=0):
     )
 
 
-def _present(*lines):
-    return F.inline(F.array(*lines))
-
-
 def probe_report(results, notes="", id_col="id"):
     """The report as rows ``section, ord, tie, part, line``; in that order they are the text.
 
     Every missed row has its block, so the report is a table as large as there are misses.
-    ``notes`` is the caller's explanation, put before the blocks.
+    ``notes`` is the caller's explanation, put before the blocks. The input is read once: totals, categories
+    and blocks are the grouping sets of one aggregate, in which only missed rows carry a text.
     """
+    hit, miss = F.col("predicted") == 1, F.col("predicted") == 0
+    shown = F.struct(F.col(id_col).alias("id"), preview("text", 200).alias("text"), *FIELD_LINES)
+    rows = results.select(
+        "predicted", F.when(hit, F.struct(F.col("trigger").alias("name"))).alias("category"), F.when(miss, shown).alias("block"),
+        F.lit(1).alias("real"),
+    )
+    # a row that counts for nothing, so that an empty table has its totals too
+    rows = rows.unionByName(results.sparkSession.range(1).select(), allowMissingColumns=True)
+    counted = rows.groupingSets([[], ["category"], ["block"]], "category", "block").agg(
+        F.count("real").alias("n"), F.count_if(hit).alias("detected"), F.count_if(miss).alias("missed"),
+        F.grouping_id().alias("kind"),
+    )
+    kind, total = F.col("kind"), F.col("n")
+    percent = {c: F.coalesce(F.try_divide(F.col(c) * 100.0, total), F.lit(0.0)) for c in ("detected", "missed")}
+    rate = F.expr(round4(ratio("detected", "n")))
     any_missed = F.col("missed") > 0
-    head = detection_rate(results).select(
-        _present(
-            _line(0, F.lit(BAR), part=0),
-            _line(0, F.lit(TITLE), part=1),
-            _line(0, F.lit(BAR), part=2),
-            _line(0, F.format_string(TOTAL_LINE, "total"), part=3),
-            _line(0, F.format_string(DETECTED_LINE, "detected", "detected_pct"), part=4),
-            _line(0, F.format_string(MISSED_LINE, "missed", "missed_pct"), part=5),
-            _line(0, F.format_string(RATE_LINE, "detection_rate"), part=6),
-            _line(1, F.lit(CATEGORY_TITLE), part=0),
-            _line(3, F.when(any_missed, f"\n{BAR}"), part=0),
-            _line(3, F.when(any_missed, F.format_string(MISSED_TITLE, "missed")), part=1),
-            _line(3, F.when(any_missed, BAR), part=2),
-            _line(3, F.when(any_missed, F.lit(notes)), part=3),
-            _line(3, F.when(any_missed, THIN_BAR), part=4),
-        )
-    )
-    categories = category_counts(results, ordered=False).select(
-        _present(
-            _line(
-                2,
-                F.format_string(CATEGORY_LINE, "trigger", "n"),
-                ord=-F.col("n"),
-                tie=F.coalesce("trigger", F.lit("")),
-            )
-        )
-    )
-    first = F.format_string(TEXT_LINE, (F.col(id_col) + 1).cast("long"), preview("text", 200))
-    fields = [
-        F.when(F.col(name) != "", F.concat(F.lit(start), F.col(name)))
-        for name, start in FIELD_LINES.items()
+    head = [
+        _line(0, F.lit(BAR), part=0),
+        _line(0, F.lit(TITLE), part=1),
+        _line(0, F.lit(BAR), part=2),
+        _line(0, F.format_string(TOTAL_LINE, total), part=3),
+        _line(0, F.format_string(DETECTED_LINE, "detected", percent["detected"]), part=4),
+        _line(0, F.format_string(MISSED_LINE, "missed", percent["missed"]), part=5),
+        _line(0, F.format_string(RATE_LINE, rate), part=6),
+        _line(1, F.lit(CATEGORY_TITLE), part=0),
+        _line(3, F.when(any_missed, f"\n{BAR}"), part=0),
+        _line(3, F.when(any_missed, F.format_string(MISSED_TITLE, "missed")), part=1),
+        _line(3, F.when(any_missed, BAR), part=2),
+        _line(3, F.when(any_missed, F.lit(notes)), part=3),
+        _line(3, F.when(any_missed, THIN_BAR), part=4),
     ]
-    block = [first, *fields, F.lit(VERDICT_LINE)]
-    blocks = missed_rows(results).select(
-        _present(*[_line(4, x, ord=F.col(id_col), part=i) for i, x in enumerate(block)])
+    name = F.coalesce("category.name", F.lit(""))
+    known = F.col("category.name").isNotNull()
+    categories = [_line(2, F.when(known, F.format_string(CATEGORY_LINE, name, total)), ord=-total, tie=name)]
+    first = F.format_string(TEXT_LINE, (F.col("block.id") + 1).cast("long"), "block.text")
+    fields = [F.when(F.col(f"block.{f}") != "", F.concat(F.lit(start), F.col(f"block.{f}"))) for f, start in FIELD_LINES.items()]
+    block = [_line(4, x, ord=F.col("block.id"), part=i) for i, x in enumerate([first, *fields, F.lit(VERDICT_LINE)])]
+    # rows that are equal in all that is shown have a block each
+    copies = F.flatten(F.array_repeat(F.array(*block), total.cast("int")))
+    # the bits of the kind tell which columns a row is a total over: category, then block
+    lines = (
+        F.when(kind == 3, F.array(*head))
+        .when((kind == 1) & F.col("category").isNotNull(), F.array(*categories))
+        .when((kind == 2) & F.col("block").isNotNull(), copies)
     )
-    return head.unionByName(categories).unionByName(blocks).where("line is not null")
+    return counted.select(F.inline(lines)).where("line is not null")
 
 
 REPORT_ORDER = ("section", "ord", "tie", "part")

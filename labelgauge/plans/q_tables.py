@@ -115,12 +115,13 @@ def first_column_scan(spark, sf):
     return readers.read_first_column(spark, [f"{path}-elsewhere", path])
 
 
-@query("""SELECT text, CASE WHEN lang IN ('en', 'fr') THEN 1 ELSE 0 END AS label FROM documents""")
+@query("""SELECT text, CASE WHEN lang IN ('en', 'fr') THEN 1 ELSE 0 END AS label, 'part.csv' AS source FROM documents""")
 def configured_scan(spark, sf):
     out = tables.documents(spark, sf).select(F.col("text").alias("body"), "lang")
     path = writers.write_csv(out, shared_dir(spark, "configured"))
     config = {"path": path, "text_col": "body", "label_col": "lang", "positive_val": ["en", "fr"]}
-    return readers.read_configured(spark, config).select("text", "label")
+    name = F.regexp_replace("source", r"^part-\d+-[-0-9a-f]+.*\.csv$", "part.csv")  # the rest is the writer's
+    return readers.read_configured(spark, config).select("text", "label", name.alias("source"))
 
 
 @query(f"WITH {LABELLED} SELECT text, toxic AS label FROM labelled")

@@ -7,6 +7,7 @@ same header, else the read fails rather than mix columns up.
 records do not, so that large files are split among tasks.
 """
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
@@ -24,6 +25,9 @@ NULL_CELLS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+#: Files whose headers are read at a time.
+HEADERS_AT_ONCE = 16
+
 
 def _csv(spark, paths, schema=None, multi_line=True):
     reader = (
@@ -43,13 +47,19 @@ def null_cells(df, columns=None):
     return df.withColumns({c: F.when(~F.col(c).isin(*NULL_CELLS), F.col(c)) for c in names})
 
 
-def _files_by_header(spark, paths):
-    """The matching files as lists of files with the same first line; one pass over the lines."""
-    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return [[unquote(file) for file in r.files] for r in groups.orderBy("header").collect()]
+def _files_by_header(spark, paths, multi_line=True):
+    """The matching files as lists of files with the same header.
+
+    Spark lists the files, and its CSV reader takes the header from the first record of each, quotes and
+    line breaks within it included. It reads no further than that record, some files at a time.
+    """
+    files = [unquote(file) for file in spark.read.text(paths).inputFiles()]
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        headers = list(pool.map(lambda file: tuple(_csv(spark, file, None, multi_line).columns), files))
+    groups = {}
+    for header, file in sorted(zip(headers, files)):
+        groups.setdefault(header, []).append(file)
+    return list(groups.values())
 
 
 def read_labelled_csv(spark, paths, multi_line=True):
@@ -59,7 +69,7 @@ def read_labelled_csv(spark, paths, multi_line=True):
     an error, as Spark does on its own.
     """
     parts = []
-    for files in _files_by_header(spark, paths) or [paths]:
+    for files in _files_by_header(spark, paths, multi_line) or [paths]:
         df = _csv(spark, files, None, multi_line).withColumnsRenamed(SENTENCE_COLUMNS)
         df = require_columns(df, ["text", "label"])
         parts.append(df.select("text", "label", F.col("_metadata.file_path").alias("source")))

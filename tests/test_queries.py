@@ -79,3 +79,8 @@ def test_rows_are_sent_once_per_block_of_candidates(spark):
     above_join = shape[: shape.index("Join")]
     assert "inline(members" in above_join and "Exchange" not in above_join.split("inline(members")[0]
     assert df.count() == 1000 * rows.count() and df.select("candidate_id", "id").distinct().count() == df.count()
+
+
+def test_report_reads_its_input_once(spark):
+    shape = plan(entry_points.queries()["report_lines"](spark, SF))
+    assert shape.count("FileScan") == 2 and shape.count("Expand") == 1  # documents and labels

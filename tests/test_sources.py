@@ -109,6 +109,10 @@ def test_report_reads_as_one_text(spark, tmp_path):
     assert "[2] TEXT: " + "x" * 200 + "\n     Model's Group   : g\n     → TRUE LABEL" in text
     none = probe_report(spark.createDataFrame([r for r in rows if r[2]], names))
     assert none.where("section > 2").count() == 0
+    empty = probe_report(spark.createDataFrame([], names)).orderBy(*REPORT_ORDER).collect()
+    assert [r.section for r in empty] == [0] * 7 + [1] and empty[3].line == "Total samples      : 0"
+    twice = probe_report(spark.createDataFrame([rows[1], rows[1]], names))
+    assert twice.where("section = 4 AND part = 0").count() == 2
 
 
 def test_ids_come_from_the_content(spark):
@@ -130,3 +134,22 @@ def test_a_row_that_makes_up_a_third_is_spread(spark):
     shape = readers.with_id(df)._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in shape.split("\n") if "Window [" in line]
     assert windows and not any("text#" in line or "label#" in line for line in windows)
+
+
+def test_headers_that_span_lines(spark, tmp_path):
+    write(tmp_path / "a.csv", '"note\none",Label,Sentences\nx,Positive,"first\ntext"\n')
+    write(tmp_path / "b.csv", '"note\ntwo",Sentences,Label\nx,second,Negative\n')
+    got = {(r.text, r.label) for r in readers.read_labelled_csv(spark, f"{tmp_path}/*.csv").collect()}
+    assert got == {("first\ntext", "Positive"), ("second", "Negative")}
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_headers_cost_the_same_whatever_the_size(spark, tmp_path, multi_line):
+    def read_by(path):
+        before = spark._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics().get("file").getLong("bytesRead") or 0
+        assert readers._files_by_header(spark, [path], multi_line) == [[f"file://{path}"]]
+        return (spark._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics().get("file").getLong("bytesRead") or 0) - before
+
+    line = "some text to read,Positive\n"
+    large = write(tmp_path / "large.csv", "Sentences,Label\n" + line * 600_000)
+    assert read_by(large) < 2_000_000
