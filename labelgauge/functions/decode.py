@@ -13,6 +13,9 @@ _TAIL = "#tail"
 ONE_VALUES = ("1", "1.0", '"1"', "true", '"true"')
 FALSE_VALUES = ("0", "0.0", "-0.0", '""', "false", "null", "[]", "{}")
 
+# The tokens of JSON text: strings, brackets and marks, anything else.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],:]|[^\s{}\[\],:"]+'
+
 _WORD = r"[\p{L}\p{N}_]"
 _BARE_BIT = f"(?<!{_WORD})([01])(?!{_WORD})"
 _BIT_LINE = f"(?:^|\\n){LINE_SPACE}*([01]){LINE_SPACE}*(?=\\n|\\z)"
@@ -49,26 +52,78 @@ def decode_six_lines(df, raw_col, display_names=DISPLAY_NAMES, prefix="pred_"):
     return df.withColumns(picked).drop("_named", "_lines", "_digits")
 
 
+def _unquoted(token):
+    """SQL for the text of a JSON string token."""
+    return f"""if(contains({token}, '\\\\'), get(from_json(concat('[', {token}, ']'), 'array<string>'), 0),
+        substring({token}, 2, length({token}) - 2))"""
+
+
+def _last_values(tokens, labels):
+    """SQL: the labels among an object's own keys with the start of their values, in order, from its JSON tokens.
+
+    One pass over the tokens keeps the depth; what stands inside the values of keys is passed over. A scalar
+    comes as its token, an empty list or object as ``[]`` or ``{}``, any other one as its first bracket.
+    """
+    none = "CAST(NULL AS string)"
+    empty = "CAST(array() AS array<struct<k: string, v: string>>)"
+    put = f"if(s.key IN ({_quoted(labels)}), array(named_struct('k', s.key, 'v', x)), {empty})"
+
+    def state(d="s.d", word=none, key="s.key", value="false", fresh="false", out="s.out"):
+        return f"named_struct('d', {d}, 'word', {word}, 'key', {key}, 'value', {value}, 'fresh', {fresh}, 'out', {out})"
+
+    opened = state("s.d + 1", fresh="s.d = 1 AND s.value", out=f"if(s.d = 1 AND s.value, concat(s.out, {put}), s.out)")
+    closed_empty = f"""if(s.fresh AND s.key IN ({_quoted(labels)}), concat(slice(s.out, 1, size(s.out) - 1),
+        array(named_struct('k', s.key, 'v', concat(element_at(s.out, -1).v, x)))), s.out)"""
+    return f"""aggregate({tokens}, {state("0", key=none, out=empty)}, (s, x) -> CASE
+        WHEN x IN ('{{', '[') THEN {opened}
+        WHEN x IN ('}}', ']') THEN {state("s.d - 1", out=closed_empty)}
+        WHEN s.d <> 1 OR x = ',' THEN {state(value="false")}
+        WHEN x = ':' THEN {state(key=_unquoted("s.word"), value="true")}
+        WHEN s.value THEN {state(out=f"concat(s.out, {put})")}
+        ELSE {state(word="x")} END).out"""
+
+
+def _plain(value):
+    """SQL: a value's token as the JSON text that the lists of values have: numbers short, strings without escapes."""
+    return f"""CASE WHEN startswith({value}, '"') THEN concat('"', {_unquoted(value)}, '"')
+        WHEN try_cast({value} AS double) = 1 THEN '1' WHEN try_cast({value} AS double) = 0 THEN '0' ELSE {value} END"""
+
+
 def _decode_object(df, body, labels, prefix, to_bit):
     """Read ``body`` as exactly one strict JSON object; the last of equal keys counts.
 
-    ``to_bit`` is the SQL condition under which ``value``, the JSON text of a label, means 1.
+    ``to_bit`` is the SQL condition under which ``value``, the JSON text of a label, means 1. Values are read
+    as variants; an object that these refuse (keys repeated inside a value, say) but that is JSON is
+    read once more token by token, for its own keys only.
     """
     fields = ", ".join(f"`{name}` variant" for name in labels)
-    schema = f"array<struct<{fields}, `{_TAIL}`: int>>"
+    options = {"allowSingleQuotes": "false", "maxNumLen": str(2**31 - 1)}
     listed = F.concat(F.lit("["), F.col("_body"), F.lit(f',{{"{_TAIL}":1}}]'))
-    whole = f"""startswith(_body, '{{') AND endswith(_body, '}}') AND size(_json) = 2
-        AND get(_json, 1).`{_TAIL}` = 1"""
+    framed = "startswith(_body, '{') AND endswith(_body, '}')"
+
+    def whole(read):
+        return f"coalesce({framed} AND size({read}) = 2 AND get({read}, 1).`{_TAIL}` = 1, false)"
+
+    tail_only = F.from_json(listed, f"array<struct<`{_TAIL}`: int>>", options)
     df = df.withColumn("_body", body)
-    df = df.withColumn("_json", F.from_json(listed, schema, {"allowSingleQuotes": "false"}))
-    df = df.withColumn("parse_ok", F.expr(f"coalesce({whole}, false)"))
-    bits = {
-        prefix + n: F.expr(
-            f"int(parse_ok AND coalesce({to_bit.format(value=f'to_json(get(_json, 0).`{n}`)')}, false))"
-        )
-        for n in labels
-    }
-    return df.withColumns(bits).drop("_body", "_json")
+    df = df.withColumn("_json", F.from_json(listed, f"array<struct<{fields}, `{_TAIL}`: int>>", options))
+    # a label without a value is missing, or its value was refused: then its name stands in the text
+    doubt = " OR ".join(
+        f"get(_json, 0).`{n}` IS NULL AND (contains(_body, '\"{n}\"') OR contains(_body, '\\\\u'))" for n in labels
+    )
+    df = df.withColumn("_read", F.expr(f"{whole('_json')} AND NOT ({doubt})"))
+    df = df.withColumn("_tail", F.when(~F.col("_read") & F.expr(framed), tail_only))
+    df = df.withColumn("parse_ok", F.expr(f"_read OR {whole('_tail')}"))
+    tokens = F.regexp_extract_all("_body", F.lit(_TOKEN), F.lit(0))
+    df = df.withColumn("_tokens", F.when(F.col("parse_ok") & ~F.col("_read"), tokens))
+    df = df.withColumn("_last", F.expr(f"if(_tokens IS NOT NULL, {_last_values('_tokens', labels)}, NULL)"))
+    bits = {}
+    for n in labels:
+        read = to_bit.format(value=f"to_json(get(_json, 0).`{n}`)")
+        last = f"slice(filter(_last, e -> e.k = '{n}'), -1, 1)"
+        kept = f"exists(transform({last}, e -> {_plain('e.v')}), v -> {to_bit.format(value='v')})"
+        bits[prefix + n] = F.expr(f"int(if(_read, coalesce({read}, false), parse_ok AND coalesce({kept}, false)))")
+    return df.withColumns(bits).drop("_body", "_json", "_read", "_tail", "_tokens", "_last")
 
 
 def _quoted(values):

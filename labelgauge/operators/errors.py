@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labelgauge.functions.scores import row_accuracy
 from labelgauge.operators.batch import evaluation
-from labelgauge.operators.metrics import tallies
+from labelgauge.operators.metrics import WIDE, as_arrays, tallies, wrong_pairs
 from labelgauge.operators.split import first_k, lowest_k
 from labelgauge.schema import LABELS
 
@@ -45,6 +45,10 @@ def error_list(labels=LABELS, truth="", pred="pred_"):
 
 def error_pairs(df, id_col="id", labels=LABELS, truth="", pred="pred_"):
     """Every pair of labels wrong in the same row, one row per pair; pairs never leave their row."""
+    if len(labels) > WIDE:
+        k, names = len(labels), f"array({', '.join(repr(n) for n in sorted(labels))})"
+        found = as_arrays(df, [id_col], labels, truth, pred).selectExpr(id_col, f"explode({wrong_pairs(labels)}) AS e")
+        return found.selectExpr(id_col, f"get({names}, e div {k}) AS label_a", f"get({names}, e % {k}) AS label_b")
     wrong = {name: f"`{truth}{name}` <> `{pred}{name}`" for name in labels}
     pairs = ", ".join(
         f"""CASE WHEN {wrong[a]} AND {wrong[b]}

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from labelgauge.functions.scores import cell_metrics, ratio, round4
 from labelgauge.schema import LABELS
 
+#: Label lists longer than this are counted by arrays instead of an expression per label and pair.
+WIDE = 40
+
 CELLS = ("tp", "fp", "tn", "fn")
 AVERAGED = ("precision", "recall", "f1", "accuracy")
 _CELL = {
@@ -25,8 +28,11 @@ _CELL = {
 def tallies(df, labels=LABELS, truth="", pred="pred_", by=()):
     """Row count, exact matches, confusion cells per label and joint errors per label pair.
 
-    ``truth`` and ``pred`` are the column prefixes. A null prediction counts in no cell.
+    ``truth`` and ``pred`` are the column prefixes. A null prediction counts in no cell. Pairs that were
+    never wrong together have a count of 0, or none where there are more than ``WIDE`` labels.
     """
+    if len(labels) > WIDE:
+        return _wide_tallies(df, labels, truth, pred, by)
     couples = list(combinations(sorted(labels), 2))
     right = {name: f"`{truth}{name}` = `{pred}{name}`" for name in labels}
     counts = {"n": "true", "exact": " AND ".join(right.values())}
@@ -52,6 +58,56 @@ def tallies(df, labels=LABELS, truth="", pred="pred_", by=()):
     )
 
 
+def as_arrays(df, keys, labels, truth="", pred="pred_"):
+    """The columns ``keys``, and the labels of a row as the arrays ``_t`` and ``_p``."""
+    arrays = [f"array({', '.join(f'`{at}{name}`' for name in labels)}) AS {c}" for at, c in ((truth, "_t"), (pred, "_p"))]
+    return df.selectExpr(*keys, *arrays)
+
+
+def wrong_pairs(labels):
+    """SQL on ``as_arrays``: the pairs of wrong labels of a row, as a * k + b for places a < b among the k sorted labels."""
+    place = {name: i for i, name in enumerate(sorted(labels))}
+    places = f"array({', '.join(str(place[name]) for name in labels)})"
+    wrong = f"array_sort(array_compact(transform(_t, (x, i) -> if(x <> get(_p, i), get({places}, i), NULL))))"
+    pairs = f"flatten(transform(w, (a, i) -> transform(slice(w, i + 2, size(w)), b -> a * {len(labels)} + b)))"
+    return f"get(transform(array({wrong}), w -> {pairs}), 0)"
+
+
+def _wide_tallies(df, labels, truth, pred, by):
+    """``tallies`` for long lists of labels, without an expression per label or per pair.
+
+    Each row gives what counts in it as numbers: itself, an exact match, its labels but for true negatives,
+    its pairs of wrong labels. These are counted within the tasks first, so a task passes on one row per
+    number; true negatives are what is left of the rows.
+    """
+    k = len(labels)
+    cells = """array_compact(transform(_t, (x, i) -> CASE WHEN x = 1 AND get(_p, i) = 1 THEN 4 * i
+        WHEN x = 0 AND get(_p, i) = 1 THEN 4 * i + 1 WHEN x = 0 AND get(_p, i) = 0 THEN NULL
+        WHEN x = 1 AND get(_p, i) = 0 THEN 4 * i + 3 ELSE 4 * i + 2 END))"""
+    exact = "size(filter(_t, (x, i) -> coalesce(x <> get(_p, i), true))) = 0"
+    pairs = f"transform({wrong_pairs(labels)}, x -> x + {4 * k})"
+    keys = ", ".join(f"'{c}', `{c}`" for c in by)
+    rows = as_arrays(df, [f"named_struct('_', 0{', ' + keys if keys else ''}) AS g"], labels, truth, pred)
+    rows = rows.selectExpr("g", f"explode(concat(array(-1), if({exact}, array(-2), array()), {cells}, {pairs})) AS e")
+    counts = rows.groupBy("g", "e").agg(F.count(F.lit(1)).alias("c"))
+    counted = counts.groupBy(*([F.col("g")] if by else [])).agg(
+        F.expr("coalesce(max(c) FILTER (WHERE e = -1), 0) AS n"),
+        F.expr("coalesce(max(c) FILTER (WHERE e = -2), 0) AS exact"),
+        F.expr(f"map_from_entries(collect_list(struct(e, c)) FILTER (WHERE e BETWEEN 0 AND {4 * k - 1})) AS m"),
+        F.expr(f"array_sort(collect_list(struct(e - {4 * k} AS e, c)) FILTER (WHERE e >= {4 * k})) AS pairs"),
+    )
+    names, ordered = (f"array({', '.join(repr(n) for n in some)})" for some in (labels, sorted(labels)))
+    at = {cell: f"coalesce(try_element_at(m, 4 * i + {x}), 0L)" for cell, x in (("tp", 0), ("fp", 1), ("none", 2), ("fn", 3))}
+    tn = f"n - {at['tp']} - {at['fp']} - {at['none']} - {at['fn']}"
+    cell = f"named_struct('ord', i, 'label', name, 'tp', {at['tp']}, 'fp', {at['fp']}, 'tn', {tn}, 'fn', {at['fn']})"
+    a, b = f"(e.e div {k})", f"(e.e % {k})"
+    ord_ = f"int({a} * {k} - {a} * ({a} + 1) div 2 + {b} - {a} - 1)"
+    joint = f"named_struct('ord', {ord_}, 'label_a', get({ordered}, int({a})), 'label_b', get({ordered}, int({b})), 'n_both', e.c)"
+    return counted.selectExpr(
+        *[f"g.`{c}`" for c in by], "n", "exact", f"transform({names}, (name, i) -> {cell}) AS cells", f"transform(pairs, e -> {joint}) AS joint"
+    )
+
+
 def confusion(counted, by=()):
     """The cells as rows: ``ord, label, tp, fp, tn, fn``."""
     return counted.select(*by, F.inline("cells"))

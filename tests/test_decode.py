@@ -184,3 +184,39 @@ def test_yes_values_and_defaults(spark):
     assert got == [(1, 0, 1), (0, 0, 2), (0, 1, 0)]
     kept = df.select(decode.kept_reply(F.nullif(F.col("v"), F.lit("1")))).collect()
     assert [r[0] for r in kept] == ["API_ERROR", " true\n", "TRUE", "API_ERROR"]
+
+
+def test_objects_that_repeat_keys_inside_values(spark):
+    """Repeated keys in nested values and very long numbers, against a plain reading of the same text."""
+    import json
+
+    one, zero = "1." + "0" * 1200, "0." + "0" * 1200
+    bodies = [
+        '{"a": {"x": 1, "x": 2}, "b": 1}', '{"b": 0, "a": {"b": 1, "b": 1, "c": {"b": [1, {"b": 1, "b": 2}]}}, "b": "1"}',
+        '{"a": [{"x": 1, "x": 2}], "b": "true", "a": "\\u0031", "x": {}}', '{"\\u0061": 1, "z": {"a": 0, "a": 0}, "b": []}',
+        '{"z": [{"q": "} , \\" : {", "q": 1}], "a": {}, "b": [0]}', '{"z": {"q": 1, "q": 1}, "a": null, "b": ""}',
+        f'{{"a": {one}, "b": {zero}, "z": {"9" * 1500}}}', f'{{"a": {zero}, "b": {"9" * 1500}}}', f'{{"a": -{zero}, "b": "{one}"}}',
+        '{"z": {"q": 1, "q": 1}, "a": 1', '{"z": {"q": 1, "q": 1}, "a": 1} {}', '{"z": {"q": 1, "q": 1,}, "a": 1}',
+    ]
+
+    def truth(body):
+        try:
+            found = json.loads(body)
+        except ValueError:
+            return None
+        return found
+
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, raw string")
+    fenced = {r.id: r for r in decode.decode_fenced_json(df, "raw", ("a", "b")).collect()}
+    braced = {r.id: r for r in decode.decode_braced_json(df, "raw", ("a", "b")).collect()}
+    for i, body in enumerate(bodies):
+        found = truth(body)
+        assert fenced[i].parse_ok == (found is not None), body
+        if found is None:
+            assert (fenced[i].pred_a, fenced[i].pred_b) == (0, 0)
+            continue
+        for c in "ab":
+            value = found.get(c)
+            one_like = not isinstance(value, (list, dict)) and value in (1, "1", True, "true")
+            assert fenced[i][f"pred_{c}"] == int(one_like), (c, body)
+            assert braced[i][f"pred_{c}"] == int(bool(value)), (c, body)

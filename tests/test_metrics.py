@@ -159,3 +159,53 @@ def test_category_counts_keep_raw_strings(spark):
     df = spark.createDataFrame(rows, "trigger string, predicted int")
     got = [(r.trigger, r.n) for r in metrics.category_counts(df).collect()]
     assert got == [("A", 2), ("", 1), ("a", 1)]
+
+
+def test_hundreds_of_labels(spark):
+    """300 labels against counting by hand, and a short list counted both ways."""
+    import random
+    import time
+    from collections import Counter
+    from itertools import combinations
+
+    from labelgauge.operators import metrics
+    from labelgauge.operators.errors import error_pairs, pair_counts
+
+    rng = random.Random(4)
+    labels = [f"l{i * 7 % 300}" for i in range(300)]
+    rows = []
+    for i in range(40):
+        truth = [int(rng.random() < 0.05) for _ in labels]
+        pred = [None if rng.random() < 0.01 else t if rng.random() < 0.97 or i < 3 else 1 - t for t in truth]
+        rows.append((i, i % 2, *truth, *(truth if i == 1 else pred)))
+    df = spark.createDataFrame(rows, "id int, part int, " + ", ".join([f"{c} int" for c in labels] + [f"pred_{c} int" for c in labels]))
+    start = time.time()
+    counted = metrics.tallies(df, labels, by=["part"])
+    counted._jdf.queryExecution().executedPlan()
+    assert time.time() - start < 5
+    for got in counted.collect():
+        mine = [r for r in rows if r[1] == got.part]
+        cells, both, exact = Counter(), Counter(), 0
+        for r in mine:
+            t, p = r[2:302], r[302:]
+            exact += t == p
+            for name, x, y in zip(labels, t, p):
+                if y is not None:
+                    cells[name, ("tn", "fp", "fn", "tp")[2 * x + y]] += 1
+            wrong = sorted(n for n, x, y in zip(labels, t, p) if y is not None and x != y)
+            both.update(combinations(wrong, 2))
+        assert (got.n, got.exact) == (len(mine), exact)
+        assert [c.label for c in got.cells] == labels
+        assert all(c[x] == cells[c.label, x] for c in got.cells for x in metrics.CELLS)
+        assert {(j.label_a, j.label_b): j.n_both for j in got.joint} == both
+        order = list(combinations(sorted(labels), 2))
+        assert all(order[j.ord] == (j.label_a, j.label_b) for j in got.joint)
+    pairs = Counter((r.label_a, r.label_b) for r in error_pairs(df, labels=labels).collect())
+    assert pairs == {(r.label_a, r.label_b): r.n_both for r in pair_counts(metrics.tallies(df, labels)).collect()}
+    few = labels[:6]
+    short = metrics.tallies(df, few).first()
+    wide = metrics._wide_tallies(df, few, "", "pred_", ()).first()
+    assert (short.n, short.exact, short.cells) == (wide.n, wide.exact, wide.cells)
+    assert [j for j in short.joint if j.n_both] == wide.joint
+    none = metrics.tallies(df.where("id < 0"), labels).first()
+    assert none.n == 0 and none.exact == 0 and len(none.cells) == 300 and none.joint == []
