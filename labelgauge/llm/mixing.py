@@ -11,8 +11,13 @@ So a period is a row of its own, which folds over its slots and the ``reach`` sl
 number for the smallest weight). The blocks released before these slots and not done yet are known by
 number; they take the first of these slots, whichever they are. Then the same blocks are open at the start
 of the period as in one run from slot 0: those that are due are done, and of the others, the earliest
-deadlines that their releases let in, as many as slots are left. Where a source has run out, its slots
-stay empty and the other sources keep their places; no row is dropped or repeated.
+deadlines that their releases let in, as many as slots are left.
+
+The mix ends at the first slot whose block its source does not have. Up to there every slot holds a block
+of the data, so the slots worked out are no more than the blocks (and one per source), however small a
+weight is. The blocks that are left follow by their exact deadlines i / w without gaps; the slot of each is
+a count of the earlier deadlines of all sources, in closed form from its own number, with no schedule.
+No row is dropped or repeated.
 """
 
 from pyspark.sql import functions as F
@@ -91,10 +96,9 @@ def _slots(shares, until, period=PERIOD):
       (st, late) -> named_struct('share', x.share, 'late', late, 'had', {had})))"""))
     rows = rows.withColumn("idle", F.expr("aggregate(own, -start, (n, x) -> n + x.had)"))
     rows = rows.withColumn("last", F.expr("least((k + 1) * size, until) - start"))
-    taken = rows.select("s", "own", "start", F.expr("k * size").alias("first"), F.explode(F.expr(_fold())).alias("t"))
-    taken = taken.select("s", "own", "first", F.expr("start + t.slot").alias("slot"), "t.i", "t.kth").where("slot >= first")
-    taken = taken.select(F.expr("s[i]").alias("x"), F.expr("own[i].had + kth").alias("kth"), "slot")
-    return taken.where("kth <= x.blocks").select("x.source", "x.share", "kth", "slot")
+    found = f"""transform(filter({_fold()}, t -> start + t.slot >= k * size AND own[t.i].had + t.kth <= s[t.i].blocks),
+        t -> named_struct('source', s[t.i].source, 'share', s[t.i].share, 'kth', own[t.i].had + t.kth, 'slot', start + t.slot))"""
+    return rows.select(F.expr(f"inline({found})"))
 
 
 def _fold():
@@ -125,13 +129,13 @@ def _fold():
 def mix(docs, weights, source="source", order=("doc_id", "text"), block=8, period=None, seed=0):
     """``docs`` with ``slot`` (long, of its block), ``place`` (long, in the block) and ``in_mix``.
 
-    Sorted by slot and place, every start of the result holds the sources by weight, to less than one
-    block; ``in_mix`` marks the rows before the first slot that a source could not fill. Rows of sources
-    without a weight above 0 have no slot (null) and are not in the mix; a null source is a source like
-    any other. Within a source, rows follow the md5 of the seed and the ``order`` columns (equal rows in
-    any order, as they are equal). No row is dropped. Columns named like a result are replaced.
-    With a ``period``, the weights are first rounded to whole slots of it, and what is said here holds for
-    the rounded weights.
+    Sorted by slot and place, every start of the result within ``in_mix`` holds the sources by weight, to less
+    than one block; ``in_mix`` marks the rows before the first slot that a source could not fill. After it
+    the rows that are left follow by deadline. Rows of sources without a weight above 0 have no slot (null)
+    and are not in the mix; a null source is a source like any other. Within a source, rows follow the
+    md5 of the seed and the ``order`` columns (equal rows in any order, as they are equal). No row is dropped.
+    Columns named like a result are replaced; all others are kept whatever their names. With a ``period``,
+    the weights are first rounded to whole slots of it, and what is said here holds for the rounded weights.
     """
     results = ("slot", "place", "in_mix")
     name = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
@@ -147,13 +151,16 @@ def mix(docs, weights, source="source", order=("doc_id", "text"), block=8, perio
     shares = period_shares(named, period) if period else exact_shares(named)
     sizes = counts.groupBy("source").agg(F.ceil(F.sum("n") / block).alias("blocks"))
     shares = shares.join(sizes, "source", "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)))
-    # up to the last block of all sources, and the first slot that a source cannot fill: the one after its last block
+    # up to the slot by which a source lacks a block
     whole = F.sum("share").cast("decimal(19,0)")
-    due = lambda k: F.ceil(k.cast("decimal(19,0)") * shares.agg(whole).scalar() / F.col("share"))
-    until = F.greatest(F.max(due(F.col("blocks"))), F.min(due(F.col("blocks") + 1)))
-    slots = _slots(shares, until, period or PERIOD)
+    due = F.ceil((F.col("blocks") + 1).cast("decimal(19,0)") * shares.agg(whole).scalar() / F.col("share"))
+    slots = _slots(shares, F.min(due), period or PERIOD)
     slots = stored(slots.join(sizes, "source", "left"), shared_dir(docs.sparkSession, "mix"))
-    first_gap = slots.where("kth = coalesce(blocks, 0)").agg(F.min("slot").alias("end")).scalar()
+    end = slots.where("kth = coalesce(blocks, 0)").agg(F.min("slot").alias("end")).scalar()
+    slots = slots.where(F.col("slot") < end)
+    done = slots.groupBy("source").agg(F.count("*").alias("done"))
+    each = shares.join(done, "source", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    each = each.agg(F.collect_list(F.struct("source", "place", "share", "blocks", "done"))).scalar()
     inside = Window.partitionBy("source", "bucket").orderBy("rank_")
     numbered = rows.withColumn("nth", F.row_number().over(inside) - 1).join(
         counts.select("source", "bucket", "before"), ["source", "bucket"]
@@ -162,11 +169,28 @@ def mix(docs, weights, source="source", order=("doc_id", "text"), block=8, perio
     numbered = numbered.withColumn("block_", F.floor(F.col("nth") / block))
     slots = slots.select("source", F.col("kth").alias("block_"), "slot")
     placed = numbered.join(slots.hint("merge"), ["source", "block_"], "left")
-    placed = placed.select("o", "slot", (F.col("nth") % block).cast("long").alias("place"))
-    placed = placed.withColumn("in_mix", F.coalesce(F.col("slot") < first_gap, F.lit(False)))
+    placed = placed.withColumns({"end": end, "each": each})
+    own = F.get(F.filter("each", lambda x: x["source"] == F.col("source")), F.lit(0))
+    placed = placed.withColumn("own", F.when(F.col("slot").isNull(), own))
+    later = F.when(F.col("own").isNotNull(), F.col("end") + F.aggregate("each", F.lit(0).cast("long"), _earlier))
+    placed = placed.select("o", F.coalesce("slot", later).alias("slot"), (F.col("nth") % block).cast("long").alias("place"), "end")
+    placed = placed.withColumn("in_mix", F.coalesce(F.col("slot") < F.col("end"), F.lit(False)))
     return placed.select("o.*", "slot", F.when(F.col("slot").isNotNull(), F.col("place")).alias("place"), "in_mix")
 
 
+def _earlier(count, x):
+    """``count`` and the blocks of source x that are left and due before block ``block_`` of the source ``own``.
+
+    Block i of x comes before when i / x.share is less than (block_ + 1) / own.share, on ties by place.
+    """
+    own = F.col("own")
+    at = (F.col("block_") + 1).cast("decimal(19,0)") * x["share"]
+    all_ = at > (x["blocks"] + 1).cast("decimal(19,0)") * own["share"]
+    tie = F.when(x["place"] < own["place"], 0).otherwise(1)
+    some = F.call_function("div", at - tie, own["share"].cast("decimal(19,0)")).cast("long")
+    return count + F.greatest(F.when(all_, x["blocks"]).otherwise(F.least(x["blocks"], some)) - x["done"], F.lit(0))
+
+
 def root_weights(docs, source="source"):
     """(source, weight): the square root of the rows of each source, which lifts small sources."""
     return docs.groupBy(F.col(source).alias("source")).agg(F.sqrt(F.count("*").cast(T.DoubleType())).alias("weight"))

@@ -109,3 +109,46 @@ def test_edges(spark):
     many = spark.range(20).selectExpr("string(id) AS source", "1.0D AS weight")
     with pytest.raises(SparkRuntimeException, match="more sources"):
         mixing.mix(docs, many, order=("doc_id",), period=10).collect()
+
+
+def test_tiny_weights_cost_no_more_than_the_blocks(spark):
+    import time
+
+    for weights in ({"a": 1.0, "b": 1e-9}, {"a": 1.0, "b": 1e-12, "c": 0.5}):
+        docs = spark.createDataFrame([(i, "abc"[i % len(weights)]) for i in range(400)], "doc_id long, source string")
+        df = spark.createDataFrame(list(weights.items()), "source string, weight double")
+        start = time.time()
+        out = mixing.mix(docs, df, order=("doc_id",)).collect()
+        assert time.time() - start < 30 and len({x.doc_id for x in out}) == 400
+        slots = sorted({(x.slot, x.source) for x in out})
+        assert [t for t, _ in slots] == list(range(len(slots)))  # one source a slot, no slot empty
+        whole, had = sum(weights.values()), Counter()
+        for t, s in slots:
+            had[s] += 1
+            if any(x.in_mix for x in out if x.slot == t):
+                assert all(abs(had[x] - (t + 1) * w / whole) < 1 for x, w in weights.items())
+
+
+def test_what_is_left_follows_by_deadline(spark):
+    from fractions import Fraction
+
+    sizes, weights = {"a": 160, "b": 8, "c": 400, None: 90}, {"a": 3.0, "b": 2.0, "c": 2.0, None: 1.0}
+    docs = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    for c in ("slot_", "own", "end", "share", "block_", "nth", "o", "rank_", "bucket"):
+        docs = docs.withColumn(c, mixing.F.lit(c))
+    out = mixing.mix(docs, spark.createDataFrame(list(weights.items()), "source string, weight double"), order=("doc_id",)).collect()
+    assert all(x.own == "own" and x.end == "end" and x.bucket == "bucket" for x in out) and len(out) == sum(sizes.values())
+    by_slot = sorted({(x.slot, x.source or "", x.in_mix) for x in out})
+    assert [t for t, _, _ in by_slot] == list(range(len(by_slot)))
+    had, late = Counter(), []
+    for _, s, in_mix in by_slot:
+        had[s] += 1
+        if not in_mix:
+            late.append((Fraction(had[s]) / Fraction(weights[s or None]), {"a": 1, "b": 2, "c": 3, "": 4}[s]))
+    assert late == sorted(late) and len(late) > 20
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], 7, "p", "x") for i in range(40)], "doc_id long, source string, slot int, place string, in_mix string")
+    out = mixing.mix(docs, mixing.root_weights(docs), order=("doc_id",))
+    assert out.columns == ["doc_id", "source", "slot", "place", "in_mix"] and {x.place for x in out.collect()} == set(range(8))
