@@ -8,10 +8,16 @@ agree at a coordinate with the probability of their weighted Jaccard similarity,
 with the length of the text plus the darts, not with their product.
 
 Texts of equal words are one class from the start. Classes that agree in one of ``BANDS`` bands (five
-coordinates each; a pair at 0.8 is missed once in 2,700) are candidates. Buckets are linked to one of
-their members, never pair by pair, and candidate components are verified by exact similarity in
-blocks of bounded size, every pair of blocks of a component meeting in one task. The classes are the
-components of the links found, so no link between different texts is lost to a cap.
+coordinates each; a pair at 0.8 is missed once in 2,700) are candidates, verified by exact similarity:
+
+1. Each text goes to the least member of all its buckets, its centre. The texts of a centre meet in blocks
+   of bounded size, each with the centre, so a bucket of many copies costs its size and not its square.
+2. What these links join is one class already. Only buckets that still hold texts of several classes, and
+   whose texts have not all met in one block, go on: every text outside the largest class of its bucket
+   meets all others of the bucket, block by block. Buckets of the same texts are taken once.
+
+The classes are the components of the links found. No link between candidates of different classes is lost
+to a cap, and the work beyond the first step grows with the texts that stay apart from their bucket.
 """
 
 import numpy as np
@@ -148,8 +154,11 @@ def _sign(batches):
         )
 
 
-def links(sets, least):
-    """A spanning forest (child, parent) of the pairs of sets with a Jaccard similarity of ``least``."""
+def links(sets, least, probe=None):
+    """A spanning forest (x, y) of the pairs of sets with a Jaccard similarity of ``least``.
+
+    With ``probe`` (truth values), only pairs with such a set are looked at.
+    """
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -159,14 +168,14 @@ def links(sets, least):
     parent = np.arange(len(sets))
     cuts = np.cumsum(sizes) - sizes
     out = []
-    for x in range(len(sets)):
+    for x in range(len(sets)) if probe is None else np.flatnonzero(probe):
         items = inverse[cuts[x] : cuts[x] + sizes[x]]
         items = items[counts[items] > 1]
         length = counts[items]
         at = np.arange(length.sum()) + np.repeat(begins[items] - (np.cumsum(length) - length), length)
         common = np.bincount(posting[at], minlength=len(sets))
         near = np.flatnonzero(common >= least * (sizes + sizes[x] - common) - 1e-9)
-        for y in near[near > x]:
+        for y in near[near > x] if probe is None else near:
             a, b = parent[x], parent[y]
             if a != b:
                 parent[parent == b] = a
@@ -175,6 +184,8 @@ def links(sets, least):
 
 
 def _verify(least):
+    """The links within a block of texts (columns node, t, probe); blocks without any probe compare all pairs."""
+
     def run(table):
         one, two = Hasher(5), Hasher(6)
         table = table.combine_chunks()
@@ -182,13 +193,69 @@ def _verify(least):
         with np.errstate(over="ignore"):
             for row, names, _, _ in _texts(table.column("t"), one, two):
                 sets[row] = strips(runs_of(names, 0))
-        pairs = np.array(links(sets, least), np.int64).reshape(-1, 2)
+        probe = np.array(table.column("probe").to_pylist(), bool)
+        pairs = np.array(links(sets, least, probe if probe.any() else None), np.int64).reshape(-1, 2)
         node = table.column("node").combine_chunks()
         return pa.table({"a": node.take(pairs[:, 0]), "b": node.take(pairs[:, 1])})
 
     return run
 
 
+def _blocks(rows, *group):
+    """(group, blocks): how many blocks of bounded size the rows (with their bytes in n) of a group make."""
+    return rows.groupBy(*group).agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_BYTES)).alias("blocks")
+    )
+
+
+def _star_blocks(stars, kinds, shared):
+    """(a, c, k): each text with its centre c and its block k of the centre's texts, and c itself in every block."""
+    own = stars.groupBy("a").agg(F.min("b").alias("c")).where("a <> c").join(kinds.select(F.col("node").alias("a"), "n"), "a")
+    own = shared(own)
+    # stored, so that the join that follows can be split where one centre has many texts
+    sizes = shared(_blocks(own, "c"))
+    blocks = own.join(sizes, "c").select("a", "c", F.pmod(F.xxhash64("a"), "blocks").alias("k"))
+    centres = sizes.select(F.col("c").alias("a"), "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
+    return shared(blocks), centres
+
+
+def _apart(stars, blocks, roots, kinds, shared):
+    """(node, band, i, j, probe): the texts of buckets that hold several classes, in the pairs of blocks to compare.
+
+    ``stars``: (a, b, band) of all buckets; ``blocks``: where each text has met its centre; ``roots``: (a,
+    root), the class of each text that has one.
+    """
+    met = stars.join(blocks.select("a", F.struct("c", "k").alias("g")), "a", "left").join(roots, "a", "left")
+    met = shared(met.select("a", "b", "band", "g", F.coalesce("root", "a").alias("root")))
+    other = F.col("a") != F.col("b")
+    state = met.groupBy("band").agg(
+        F.min("root").alias("r1"), F.max("root").alias("r2"), F.min(F.when(other, F.col("g"))).alias("g1"),
+        F.max(F.when(other, F.col("g"))).alias("g2"), F.count_if(other & F.col("g").isNull()).alias("loose"),
+        F.max(F.when(~other, F.col("b"))).alias("b"), F.max(F.when(~other, F.col("g"))).alias("gb"),
+        F.count("*").alias("n"), F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("sum"),
+    )
+    # a bucket whose texts have all met in one block has nothing left to compare
+    one = (F.col("loose") == 0) & (F.col("g1") == F.col("g2")) & ((F.col("g1.c") == F.col("b")) | F.col("gb").eqNullSafe(F.col("g1")))
+    mixed = state.where((F.col("r1") != F.col("r2")) & ~F.coalesce(one, F.lit(False)))
+    mixed = shared(mixed.groupBy("n", "sum").agg(F.min("band").alias("band")).select("band"))
+    rows = met.select("a", "band", "root").join(mixed, "band").join(kinds.select(F.col("node").alias("a"), "n"), "a")
+    rows = shared(rows)
+    large = rows.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("l"))
+    rows = shared(rows.join(large.select("band", F.col("l.root").alias("large")), "band").withColumn("probe", F.expr("root <> large")))
+    sizes = _blocks(rows, "band", "probe").groupBy("band").agg(
+        F.coalesce(F.max(F.when(F.col("probe"), F.col("blocks"))), F.lit(0)).alias("few"),
+        F.coalesce(F.max(F.when(~F.col("probe"), F.col("blocks"))), F.lit(0)).alias("many"),
+    )
+    rows = rows.join(shared(sizes), "band")
+    at = F.pmod(F.xxhash64("a", F.lit(1)), F.when(F.col("probe"), F.col("few")).otherwise(F.col("many")))
+    rows = rows.withColumn("own", at).withColumn("zero", F.lit(0).cast("long"))
+    # blocks of the largest class come after those of the others
+    pairs = F.expr("""IF(probe,
+        transform(sequence(zero, few + many - 1), o -> named_struct('i', least(o, own), 'j', greatest(o, own))),
+        transform(sequence(zero, few - 1), o -> named_struct('i', o, 'j', few + own)))""")
+    return rows.select(F.col("a").alias("node"), "band", F.explode(pairs).alias("p"), "probe")
+
+
 def near_classes(docs, text="text", id_column="doc_id", least=0.8):
     """(id_, hash_, class_id, class_hash, n_texts) of each row of ``docs``; see ``row_key`` for the keys.
 
@@ -211,31 +278,28 @@ def near_classes(docs, text="text", id_column="doc_id", least=0.8):
     )
     kinds = shared(kinds)
     banded = kinds.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("b")).where("n > 1")
-    stars = banded.join(buckets, "band").select(F.col("node").alias("a"), "b")
-    near = components(stars, shared)
-    near = near.unionByName(near.select(F.col("b").alias("a"), "b").distinct())
-    members = near.join(kinds.select(F.col("node").alias("a"), "first", "n"), "a")
-    sizes = members.groupBy("b").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_BYTES)).alias("blocks")
-    )
-    members = members.join(sizes, "b").select(
-        "b", F.col("a").alias("node"), "first.*", "blocks", F.pmod(F.xxhash64("a"), "blocks").alias("own")
-    )
-    pairs = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-        lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")),
-    )
+    buckets = shared(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("b")).where("n > 1"))
+    stars = shared(banded.join(buckets.drop("n"), "band").select(F.col("node").alias("a"), "b", "band"))
     first = narrow.select("id_", "hash_", "t").dropDuplicates(["id_", "hash_"])
-    texts = members.join(first, ["id_", "hash_"]).select("b", "node", "t", F.explode(pairs).alias("p"))
-    node = "struct<w1:long,w2:long>"
-    found = texts.groupBy("b", "p").applyInArrow(_verify(least), f"a {node}, b {node}")
-    classes = components(found, shared)
+    kept = kinds.select("node", "first.*")
+
+    def verified(rows, *group):
+        texts = rows.join(kept, "node").join(first, ["id_", "hash_"]).select("node", "t", "probe", *group)
+        node = "struct<w1:long,w2:long>"
+        return shared(texts.groupBy(*group).applyInArrow(_verify(least), f"a {node}, b {node}"))
+
+    blocks, centres = _star_blocks(stars, kinds, shared)
+    rows = blocks.unionByName(centres).select(F.col("a").alias("node"), "c", "k", F.lit(False).alias("probe"))
+    found = verified(rows, "c", "k")
+    near = components(found, shared)
+    roots = near.select("a", F.col("b").alias("root"))
+    more = verified(_apart(stars, blocks, roots, kinds, shared), "band", "p")
+    classes = components(near.unionByName(more), shared)
     whole = signed.select("id_", "hash_", "node").join(
         classes.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left"
     )
-    whole = whole.select("id_", "hash_", F.coalesce("root", "node").alias("root"))
-    heads = whole.groupBy("root").agg(F.min(F.struct("id_", "hash_")).alias("head"), F.count("*").alias("n_texts"))
+    whole = shared(whole.select("id_", "hash_", F.coalesce("root", "node").alias("root")))
+    heads = shared(whole.groupBy("root").agg(F.min(F.struct("id_", "hash_")).alias("head"), F.count("*").alias("n_texts")))
     return whole.join(heads, "root").select(
         "id_", "hash_", F.col("head.id_").alias("class_id"), F.col("head.hash_").alias("class_hash"), "n_texts"
     )

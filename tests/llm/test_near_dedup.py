@@ -86,3 +86,32 @@ def test_weights_count(spark):
         assert len(set(thrice.tolist())) == 87
         share = (n.signature(thrice) == n.signature(n.strips(one))).mean()
     assert 0.15 < share < 0.52  # a third
+
+
+def test_many_near_copies_take_one_pass(spark, monkeypatch):
+    """A group of near copies is verified against its centre; only what stays apart meets the rest."""
+    seen = []
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base[:40] + [f"x{i}"] + base[40:])) for i in range(3000)]
+    # half like the group: they share some buckets with it, and are no links
+    rows += [(10_000 + i, " ".join(base[:60] + [f"y{i}"] + base[62:70] + [f"z{i}", f"q{i}"])) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    real = n._apart
+
+    def apart(*args):
+        out = real(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(n, "_apart", apart)
+    got = {r.id_: r.class_id for r in n.near_classes(df).collect()}
+    assert {got[i] for i in range(3000)} == {0}
+    assert all(g >= 10_000 or similarity(runs(rows[0][1]), runs(t)) >= 0.7 for (i, t), g in zip(rows, got.values()) if i >= 10_000 for g in [got[i]])
+    assert seen[0] < 20 * 3 * 3000
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 90_000}" for i in range(1_500_000))
+    df = spark.createDataFrame([(1, long), (2, long + " more words at the end"), (3, long[: len(long) // 2]), (4, "a b")], "doc_id long, text string")
+    got = {r.id_: r.class_id for r in n.near_classes(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
