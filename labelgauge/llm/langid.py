@@ -104,6 +104,24 @@ def _assign(model):
     return run
 
 
+def _sparse(weights):
+    """The vectors of texts as lists of their entries."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, grid in counts(batch.column("t")):
+                x = vectors(grid, weights)
+                features = [np.flatnonzero(row) for row in x]
+                part = batch.slice(a, b - a)
+                columns = [
+                    part.column("lang"), part.column("place"), pa.array(features, pa.list_(pa.int32())),
+                    pa.array([row[f] for row, f in zip(x, features)], pa.list_(pa.float32())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "place", "feature", "value"])
+
+    return run
+
+
 def _farthest(x, k):
     """Rows of ``x`` far from each other: the first, then always the one least similar to those taken."""
     taken = [0]
@@ -137,14 +155,18 @@ def fit(rows, text="text", lang="lang", key=None, sample=SAMPLE, centroids=CENTR
         bound = F.when(F.col("lang") == name, F.lit(int(min(1.0, sample / n) * (1 << 30)))).otherwise(bound)
     some = stored(rows.where(F.col("h") < bound), shared_dir(rows.sparkSession, "langid"))
     first = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= SEEDS)
+    # the texts stay in the tasks: SEEDS sparse vectors of at most FEATURES entries come back per language
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("t", "h")))
+    sparse = "lang string, place int, feature array<int>, value array<float>"
     seeds = {}
-    for r in first.select("lang", "t").collect():  # so many short lists as there are languages
-        seeds.setdefault(r.lang, []).append(r.t)
+    for r in first.select("lang", "place", "t").mapInArrow(_sparse(weights), sparse).collect():
+        x = np.zeros(FEATURES, np.float32)
+        x[r.feature] = r.value
+        seeds.setdefault(r.lang, []).append((r.place, x))
     groups = []
     for name in names:
-        texts = pa.array(sorted(seeds.get(name, [])) or [""])
-        x = np.concatenate([vectors(grid, weights) for _, _, grid in counts(texts)])
-        groups.append(_farthest(x, centroids))
+        x = [x for _, x in sorted(seeds.get(name, []), key=lambda seed: seed[0])]
+        groups.append(_farthest(np.stack(x or [np.zeros(FEATURES, np.float32)]), centroids))
     owner = np.repeat(np.arange(len(names)), [len(g) for g in groups])
     model = (weights, np.concatenate(groups), owner, np.zeros(len(owner)), names)
     for _ in range(ROUNDS):
