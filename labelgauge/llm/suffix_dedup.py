@@ -1,7 +1,8 @@
-"""Removal of byte strings that occur more than once, by distributed prefix doubling.
+"""Removal of byte strings that occur more than once, by ranking positions at growing lengths.
 
-Positions are ranked by ever longer prefixes and leave as soon as they are alone. A rank is a name
-of the prefix (a 64-bit hash, equal for equal prefixes); Spark brings equal ranks together.
+This is not prefix doubling proper: no rank of one position is joined with that of another. Positions are
+ranked by ever longer prefixes and leave as soon as they are alone, but a rank is a name of the prefix (a
+64-bit hash, equal for equal prefixes), and the lengths are fixed; Spark brings equal ranks together.
 
 1. *Chosen positions.* Of the ``length - SEED + 1`` seeds inside each string of ``length`` bytes,
    the one with the smallest hash is chosen. Equal strings choose alike, so strings can only be
@@ -11,7 +12,7 @@ of the prefix (a 64-bit hash, equal for equal prefixes); Spark brings equal rank
 2. *Settled stretches.* Stretches that are equal as a whole are repeated throughout and are settled,
    copy by copy, however many copies there are. Of those that share a rank but differ (the edges of
    repeated passages), one of each kind goes on.
-3. *Growing offsets.* The rest is cut into blocks of ``BLOCK`` starts, counted from the chosen
+3. *Longer prefixes.* The rest is cut into blocks of ``BLOCK`` starts, counted from the chosen
    position, and ranked by the pair of its rank and what all strings of a block share (the prefix
    has grown from ``SEED`` to ``length - BLOCK + 1`` bytes); lone blocks leave, equal ones are settled,
    and what still differs is ranked start by start at the full ``length``.
@@ -163,7 +164,8 @@ def _rerank(rows, shared):
     ranks = rows.groupBy("rank_").agg(
         F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")
     )
-    ranks = ranks.where("n > 1").select("rank_", (F.col("least") != F.col("most")).alias("mixed"))
+    # stored, so that the join can be split where one rank has many rows
+    ranks = shared(ranks.where("n > 1").select("rank_", (F.col("least") != F.col("most")).alias("mixed")))
     again = shared(rows.join(ranks, "rank_"))
     mixed = again.where("mixed").drop("mixed")
     one = F.struct(*[c for c in mixed.columns if c not in ("rank_", "whole")])
