@@ -10,8 +10,8 @@ reach the bound are aligned with the segment, within the band only, and stay if
 Letters are compared in lower case and each run of white space as one blank, in items and texts alike;
 places are bytes of the given text.
 The benchmark is the query set: it goes to the tasks in blocks of at most ``BLOCK`` bytes (a longer
-item alone), each against all rows. Items of fewer than ``LEAST`` bytes cannot tell a leak from common
-words and are left out.
+item alone), each against all rows. Items of ``Q`` to ``LEAST`` - 1 bytes are looked for without edits and
+between word borders; shorter ones (a word, mostly) cannot tell a leak from common words and are left out.
 """
 
 import numpy as np
@@ -30,6 +30,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER[SPACE] = 32
 LOWER[28:32] = 32
+#: Bytes of words: letters and digits, and all of characters beyond ASCII.
+WORD = np.zeros(256, bool)
+WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 BITS = 22
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 FAR = 1 << 20
@@ -82,7 +85,7 @@ class Segments:
     """The segments of a block of benchmark items, with an index of their q-grams."""
 
     def __init__(self, items):
-        self.texts, self.items = [], []
+        self.texts, self.items, exact = [], [], []
         for item, text in items:
             data = folded(np.frombuffer((text or "").encode(), np.uint8))
             data = np.frombuffer(data.tobytes().strip(b" "), np.uint8)
@@ -91,6 +94,12 @@ class Segments:
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     self.texts.append(data[a:b])
                     self.items.append(item)
+                    exact.append(False)
+            elif len(data) >= Q:
+                self.texts.append(data)
+                self.items.append(item)
+                exact.append(True)
+        self.exact = np.array(exact, bool)
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.minimum((self.sizes * BUDGET).astype(np.int64), (self.sizes - Q) // Q)
         self.least = self.sizes - Q + 1 - Q * self.edits
@@ -171,6 +180,13 @@ def matches(segments, data, offsets):
         return none
     hit = np.arange(count.sum()) + np.repeat(lo - (np.cumsum(count) - count), count)
     segment = segments.segment[hit]
+    short = segments.exact[segment]
+    if short.any():
+        start = short & (segments.place[hit] == 0)
+        exact = whole_words(segments, segment[start], np.repeat(at, count)[start], data, offsets)
+        at, count, hit, segment = np.repeat(at, count)[~short], np.ones((~short).sum(), int), hit[~short], segment[~short]
+    else:
+        exact = none[:3]
     # within a slice a segment spans less than FAR diagonals below zero
     band = (np.repeat(at, count) - segments.place[hit] + FAR) // BAND
     key = np.concatenate([segment * (1 << 36) + band, segment * (1 << 36) + band - 1])
@@ -187,9 +203,26 @@ def matches(segments, data, offsets):
     segment, low = segment[pick], low[pick]
     found = align(segments, segment, data, offsets[row], offsets[row + 1], low)
     good = found[:, 0] <= segments.edits[segment]
-    row, segment, found = row[good], segment[good], found[good]
-    begin, end = places[found[:, 1]], places[found[:, 2] - 1] + 1
-    return row, segment, found[:, 0], begin - given[row], end - given[row]
+    row, segment = np.append(row[good], exact[0]), np.append(segment[good], exact[1])
+    found = found[good]
+    first, last = np.append(found[:, 1], exact[2]), np.append(found[:, 2], exact[2] + segments.sizes[exact[1]])
+    edits = np.append(found[:, 0], np.zeros(len(exact[0]), np.int64))
+    begin, end = places[first], places[last - 1] + 1
+    return row, segment, edits, begin - given[row], end - given[row]
+
+
+def whole_words(segments, segment, at, data, offsets):
+    """(row, segment, place) of the short segments that stand at some places as whole words, byte for byte."""
+    row = np.searchsorted(offsets, at, "right") - 1
+    end = at + segments.sizes[segment]
+    good = end <= offsets[row + 1]
+    row, segment, at, end = row[good], segment[good], at[good], end[good]
+    good = ((at == offsets[row]) | ~WORD[data[at - 1]]) & ((end == offsets[row + 1]) | ~WORD[data[np.minimum(end, len(data) - 1)]])
+    for k in np.unique(segment):
+        own = np.flatnonzero(segment == k)
+        pattern = segments.texts[k]
+        good[own] &= (data[at[own, None] + np.arange(len(pattern))] == pattern).all(1)
+    return row[good], segment[good], at[good]
 
 
 def _blocks(benchmark, text, id_column):

@@ -113,3 +113,28 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert len(list(d._blocks(bench, "text", "item_id"))) > 3
     assert sorted(map(tuple, d.leaks(docs, bench).collect())) == whole and len(whole) == 9
     assert d.without_leaks(docs, bench).count() == 0
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    question = "What is the capital of Peru?"
+    docs = {
+        1: f"quiz: {question} Lima.", 2: question.upper(), 3: "what  is\nthe capital\tof Peru?", 4: "what is the capital of Peru",
+        5: f"x{question}", 6: f"xWhat is the capital of Peru? and (what is the capital of peru?)", 7: "somewhat is the capital of Peru?",
+        8: "What is the capital of Perú?", 9: "2 + 2 = 4", 10: "12 + 2 = 4", 11: "2 + 2 = 43", 12: "", 13: None,
+    }
+    bench = spark.createDataFrame([(1, question), (2, "2 + 2 = 4"), (3, "Lima"), (4, prose(random.Random(1), 30))], "item_id long, text string")
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").coalesce(1)
+    found = {(x.doc_id, x.item_id): (x.start_byte, x.end_byte, x.edits) for x in d.leaks(df, bench).collect()}
+    assert set(found) == {(1, 1), (2, 1), (3, 1), (6, 1), (9, 2)}
+    assert found[1, 1] == (6, 34, 0) and found[6, 1] == (35, 63, 0)
+    assert {x.doc_id for x in d.without_leaks(df, bench).collect()} == {4, 5, 7, 8, 10, 11, 12, 13}
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(9)
+    item, filler = prose(r, 30), prose(r, 5000)
+    long = " ".join([filler] * 250 + [item] + [filler] * 250)
+    df = spark.createDataFrame([(1, long), (2, filler)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    (hit,) = d.leaks(df, bench).collect()
+    assert hit.doc_id == 1 and hit.start_byte == long.index(item) and hit.edits == 0 and len(long) > 8_000_000
