@@ -1,6 +1,7 @@
 """Session settings and the shared folder for written tables."""
 
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -22,12 +23,15 @@ def local_session(cpus="*", app="labelgauge"):
 def shared_dir(spark, name):
     """A new folder path for a written table, below ``spark.checkpoint.dir``.
 
-    The cluster names that setting; where it is unset, the warehouse folder stands in for it. What is
-    written there stays until the caller removes it.
+    The cluster names that setting; where it is unset, a session within one machine uses its warehouse
+    folder, and a cluster's session raises, as its machines may share no other folder. What is written
+    there stays until the caller removes it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
