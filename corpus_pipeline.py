@@ -1,7 +1,8 @@
 """From raw documents to a training mix: judge, cut copies and repeats, drop leaks, mix sources.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read back as the
-``docs`` of the next one. All stages but the last return the columns of ``docs``.
+``docs`` of the next one. All stages but the last return the columns of ``docs``, whatever further ones
+there are and whatever they are named. Every stage gives an empty table for an empty one.
 """
 
 from pyspark.sql import functions as F
@@ -12,7 +13,11 @@ from labelgauge.sources.writers import stored
 
 
 def quality(spark, docs, sf_dir):
-    """The documents that the classifier, learned from all labelled documents, gives 0.5 or more."""
+    """The documents that the classifier, learned from all labelled documents, gives 0.5 or more.
+
+    A null text is scored as an empty one; rows that repeat a row share its score and stay or go with it.
+    Without labels of both classes there is nothing to tell documents apart by, and all of them stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_nb.fit(quality_nb.labelled(docs, labels), key="doc_id")
     if model is None:
@@ -22,14 +27,19 @@ def quality(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each near-duplicate class: the one with the smallest doc_id."""
+    """One document of each near-duplicate class: the one with the smallest doc_id.
+
+    A null doc_id comes first, equal ones go by a hash of the text. Of rows that agree in doc_id and text
+    one stays; null texts and texts without a word are classes of their own.
+    """
     return near_dedup.first_of_classes(docs)
 
 
 def repeats(spark, docs, sf_dir):
     """Documents without the 200-byte strings that stand elsewhere too; those left empty go.
 
-    A character cut in two by a removed string goes as a whole; n_chars is that of the new text.
+    A character cut in two by a removed string goes as a whole; n_chars is that of the new text. Null and
+    empty texts stay as they are; a row that repeats a row has all its strings elsewhere, so both go.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("o"), "doc_id", "text")
     rows = suffix_dedup.remove_repeats(rows)
@@ -43,12 +53,19 @@ def repeats(spark, docs, sf_dir):
 
 
 def decontaminate(spark, docs, sf_dir):
-    """The documents that hold no benchmark item, in part or whole."""
+    """The documents that hold no benchmark item, in part or whole.
+
+    Null and empty texts stay; rows that repeat a row stay or go with it; without benchmark items all stay.
+    """
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark, docs, sf_dir):
-    """All documents with their slot and place in the mix of sources by the roots of their sizes."""
+    """All documents with their slot and place in the mix of sources by the roots of their sizes.
+
+    A null source is a source like any other. Rows that repeat a row have a place each. Columns named slot,
+    place or in_mix are replaced.
+    """
     return mixing.mix(docs, mixing.root_weights(docs))
 
 
