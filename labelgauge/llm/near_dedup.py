@@ -241,7 +241,8 @@ def _apart(stars, blocks, roots, kinds, shared):
     rows = met.select("a", "band", "root").join(mixed, "band").join(kinds.select(F.col("node").alias("a"), "n"), "a")
     rows = shared(rows)
     large = rows.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("l"))
-    rows = shared(rows.join(large.select("band", F.col("l.root").alias("large")), "band").withColumn("probe", F.expr("root <> large")))
+    large = shared(large.select("band", F.col("l.root").alias("large")))
+    rows = shared(rows.join(large, "band").withColumn("probe", F.expr("root <> large")))
     sizes = _blocks(rows, "band", "probe").groupBy("band").agg(
         F.coalesce(F.max(F.when(F.col("probe"), F.col("blocks"))), F.lit(0)).alias("few"),
         F.coalesce(F.max(F.when(~F.col("probe"), F.col("blocks"))), F.lit(0)).alias("many"),

@@ -73,3 +73,42 @@ def test_mix_holds_every_document(spark, steps):
     assert {(r.doc_id, r.text) for r in steps[5]} == {(r.doc_id, r.text) for r in steps[4]}
     assert len({(r.slot, r.place) for r in steps[5]}) == len(steps[5])
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.doc_id for r in steps[5]}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, t string, o int, slot int, score string, h string, spans int, kept int, b string"
+
+
+def odd_rows():
+    prose = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, prose), (1, prose), (2, None), (3, ""), (None, "short one"), (None, None), (4, " \n\t"), (5, "é" * 300), (6, prose + " more")]
+    return [(i, t, None if i == 3 else "en", None if i in (2, 5) else "s", None, "t", 1, 2, "x", "h", 3, 4, "b") for i, t in rows]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_tables(spark, tmp_path, name, stage):
+    """Nulls, empty texts, repeated rows, clashing column names, and empty tables of every kind."""
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    labels = [(i, i % 2, 0) for i in range(1, 7)] + [(1, 1, 0), (None, 1, 1), (3, None, None)]
+    bench = [(1, None), (None, "word1 word2 " * 9), (2, "")]
+    tables = {"full": (labels, bench), "none": ([], [])}
+    for kind, (some, items) in tables.items():
+        spark.createDataFrame(some, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{kind}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{kind}/benchmark.parquet")
+        out = stage(spark, docs, f"{tmp_path}/{kind}")
+        rows = out.collect()
+        last = stage is corpus_pipeline.mixed
+        if not last:
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert all((r.t, r.o, r.score, r.h, r.spans, r.kept, r.b) == ("t", 1, "x", "h", 3, 4, "b") for r in rows)
+        known = {(r[0], r[1]) for r in odd_rows()}
+        if stage is corpus_pipeline.repeats:
+            # what stands elsewhere too is gone from all places
+            assert sorted(str(r.doc_id) for r in rows) == ["2", "3", "4", "6", "None", "None"]
+        else:
+            assert {(r.doc_id, r.text) for r in rows} <= known
+        if stage is corpus_pipeline.near_duplicates:
+            assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "4", "5", "None", "None"]
+        if stage is corpus_pipeline.decontaminate or last or (kind == "none" and stage is corpus_pipeline.quality):
+            assert len(rows) == len(odd_rows())
+        empty = stage(spark, docs.where("o > 1"), f"{tmp_path}/{kind}")
+        assert empty.collect() == [] and (last or empty.columns == docs.columns)
