@@ -216,11 +216,12 @@ RESULTS = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "b
 
 
 def _keep(batches):
-    for batch in batches:
+    # some rows at a time, so that a large batch is never held twice
+    for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
         data, offsets = texts_of(batch.column("t"))
         spans = batch.column("spans")
-        ends = spans.offsets.to_numpy()
-        lows, highs = (spans.values.field(i).to_pylist() for i in (0, 1))
+        ends = (spans.offsets.to_numpy() - spans.offsets[0].as_py()) if len(spans) else np.zeros(1, np.int32)
+        lows, highs = (spans.flatten().field(i).to_pylist() for i in (0, 1))
         columns = [[], [], [], []]
         for i in range(batch.num_rows):
             text = data[offsets[i] : offsets[i + 1]].tobytes()

@@ -32,17 +32,19 @@ def texts_of(column):
     return data, offsets
 
 
-def chunks(column, most=1 << 19):
-    """(first row, last row + 1, bytes, offsets into them) for slices of a batch's texts."""
-    if not len(column):
-        return
-    data, offsets = texts_of(column)
-    start, rows = 0, len(offsets) - 1
-    while start < rows:
-        stop = int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1
-        stop = min(max(stop, start + 1), rows)
-        yield start, stop, data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start]
-        start = stop
+def chunks(column, most=1 << 19, rows=1024):
+    """(first row, last row + 1, bytes, offsets into them) for slices of a batch's texts.
+
+    The batch is laid out as bytes ``rows`` texts at a time, so that a large batch is never held twice.
+    """
+    for at in range(0, len(column), rows):
+        data, offsets = texts_of(column.slice(at, rows))
+        start, end = 0, len(offsets) - 1
+        while start < end:
+            stop = int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1
+            stop = min(max(stop, start + 1), end)
+            yield at + start, at + stop, data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start]
+            start = stop
 
 
 class Hasher:
