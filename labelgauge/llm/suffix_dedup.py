@@ -1,34 +1,38 @@
-"""Removal of byte strings that occur more than once, by ranking positions at growing lengths.
+"""Removal of byte strings that occur more than once, by distributed prefix doubling.
 
-This is not prefix doubling proper: no rank of one position is joined with that of another. Positions are
-ranked by ever longer prefixes and leave as soon as they are alone, but a rank is a name of the prefix (a
-64-bit hash, equal for equal prefixes), and the lengths are fixed; Spark brings equal ranks together.
+Positions are ranked by ever longer prefixes: the rank of a position by its first 2 h bytes is the pair of
+its rank by h bytes and that of the position h bytes on. Positions whose rank occurs once leave before the
+next doubling, until the prefixes reach ``length``. Not every byte is a position from the start:
 
 1. *Chosen positions.* Of the ``length - SEED + 1`` seeds inside each string of ``length`` bytes,
    the one with the smallest hash is chosen. Equal strings choose alike, so strings can only be
    equal where their chosen positions carry equal ranks, and only about one position in 75 bytes
-   has to be ranked at first. Positions whose rank occurs once leave. All strings that chose a
-   position form a *stretch* of neighbouring starts.
+   has to be ranked at first, by ``SEED`` bytes. Positions whose rank occurs once leave. All strings
+   that chose a position form a *stretch* of neighbouring starts.
 2. *Settled stretches.* Stretches that are equal as a whole are repeated throughout and are settled,
    copy by copy, however many copies there are. Of those that share a rank but differ (the edges of
    repeated passages), one of each kind goes on.
-3. *Longer prefixes.* The rest is cut into blocks of ``BLOCK`` starts, counted from the chosen
-   position, and ranked by the pair of its rank and what all strings of a block share (the prefix
-   has grown from ``SEED`` to ``length - BLOCK + 1`` bytes); lone blocks leave, equal ones are settled,
-   and what still differs is ranked start by start at the full ``length``.
+3. *Doubling.* The kinds left are ranked at every ``STEP``-th position, counted from the chosen one, and
+   compared among those of equal chosen rank and equal place. Ranks of ``SEED`` bytes pair within the
+   row that holds the stretch; after that Spark drops the ranks that occur once and lays the positions of a
+   stretch side by side, and what finds a partner one offset on is ranked by the pair. Offsets double up to
+   what all strings that start within a step share; blocks of starts that are equal as a whole are settled.
+4. *Starts.* The starts of the blocks left, one by one, pair the rank of their block with the few bytes
+   around it, which makes the full ``length``.
 
 Every string of every text takes part; no group is collected: equal ranks meet in aggregates with
-partial sums and in joins whose large partitions adaptive execution can split. A settled string is
-equal in two independent 64-bit hashes.
+partial sums and in joins whose large partitions adaptive execution can split. Ranks are 64-bit names of
+their pairs; a settled string is equal in its rank and in a second name of all its bytes.
 """
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelgauge.session import shared_dir
 from labelgauge.sources.writers import stored
-from labelgauge.llm.textbytes import U64, Hasher, chunks, mix, texts_of
+from labelgauge.llm.textbytes import U64, Hasher, chunks, texts_of
 
 SEED = 48
 #: Bytes ranked at once; a longer text is taken in pieces that overlap by one byte less than a string.
@@ -36,8 +40,8 @@ PIECE = 1 << 22
 LOW = (1 << 24) - 1
 
 POSITIONS = "id_ long, hash_ long, lo int, hi int, at int, rank_ long, whole long"
-#: Starts that are ranked together before they are ranked one by one.
-BLOCK = 20
+#: Bytes between the positions that are ranked by doubling; it divides ``SEED``.
+STEP = 24
 
 
 def _least(keys, width):
@@ -114,39 +118,6 @@ def _rank_positions(length):
     return run
 
 
-def _rank_blocks(length, block):
-    """For each stretch: its blocks of starts, ranked by what the strings of a block share.
-
-    Blocks are counted from the chosen position, so that they lie alike in all stretches of a rank;
-    the rank of a block joins that of the stretch, the place of the block and the shared bytes.
-    """
-    names = ["id_", "hash_", "first", "lo", "hi", "at", "rank_", "whole"]
-
-    def run(batches):
-        one, two = Hasher(3), Hasher(4)
-        for batch in batches:
-            ids, hashes, first, lo, hi, at, rank = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:7])
-            for start, stop, data, offsets in chunks(batch.column(7)):
-                one.load(data)
-                two.load(data)
-                s = slice(start, stop)
-                base = offsets[:-1] - first[s]  # of a start in the text to one in the slice
-                b_lo, b_hi = (at[s] - hi[s]) // block, (at[s] - lo[s]) // block
-                count = b_hi - b_lo + 1
-                own = np.repeat(np.arange(len(count)), count)
-                b = np.arange(len(own)) - np.repeat(np.cumsum(count) - count - b_lo, count)
-                top = np.minimum(hi[s][own], at[s][own] - b * block).astype(np.int64)
-                low = np.maximum(lo[s][own], at[s][own] - (b + 1) * block + 1).astype(np.int64)
-                shared = at[s][own] + base[own]  # in every string of the block, clipped or not
-                core = one.of(shared - b * block, shared - (b + 1) * block + 1 + length)
-                core = mix(core ^ mix(b.astype(U64)) ^ rank[s][own].view(U64))
-                whole = two.of(low + base[own], top + base[own] + length)
-                yield _batch(names, [ids[s][own], hashes[s][own], first[s][own], low.astype(np.int32),
-                                     top.astype(np.int32), at[s][own], core, whole])
-
-    return run
-
-
 def row_key(docs, text="text", id_column="doc_id"):
     """The two columns that name a row of ``docs``: its id and a hash of its text.
 
@@ -176,6 +147,63 @@ def _rerank(rows, shared):
     return settled.select("id_", "hash_", "lo", "hi"), kinds.select("rank_", "one.*")
 
 
+def _reach(length):
+    """Bytes that all strings starting within a step share, from their last start on, in whole steps."""
+    return (length - STEP + 1) // STEP * STEP
+
+
+def _cut(start, size):
+    """``size`` bytes of a stretch from a byte of its text on."""
+    return f"substring(t, {start} - first + 1, {size})"
+
+
+def _doubled(stretches, length, shared):
+    """The blocks of starts of ``stretches`` whose shared bytes recur: lo, hi, rank_, and a name of the whole.
+
+    Block b holds the starts from ``at - STEP * b - STEP + 1`` to ``at - STEP * b``; its position is the last.
+    """
+    reach, key = _reach(length), ["id_", "hash_", "first"]
+    offset = min(SEED, reach - SEED)
+    have = SEED + offset
+    ahead = (reach - have) // STEP  # positions after the last block, for pairs with it
+    first, last = f"CAST((at - hi) DIV {STEP} AS INT)", f"CAST((at - lo) DIV {STEP} AS INT)"
+    rows = stretches.withColumn("b", F.explode(F.expr(f"sequence({first} - {ahead}, {last})")))
+    place = f"at - {STEP} * b"
+    halves = ", ".join(f"xxhash64({_cut(f'{place} + {o}', SEED)})" for o in (0, offset))
+    low, top = f"greatest(lo, {place} - {STEP - 1})", f"least(hi, {place})"
+    whole = _cut(low, f"{top} - {low} + {length}")
+    ranks = rows.select(
+        *key, "hi", "at", "b", F.expr(f"xxhash64(rank_, b, {halves})").alias("r"),
+        F.expr(f"CASE WHEN b >= {first} THEN xxhash64(1, {whole}) END").alias("whole"),
+    )
+    while have < reach:
+        offset = min(have, reach - have)
+        again = shared(ranks.groupBy("r").count().where("count > 1").select("r"))
+        behind = -(offset // STEP)
+        beside = Window.partitionBy(*key).orderBy("b").rangeBetween(behind, behind)
+        pairs = ranks.join(again, "r").withColumn("other", F.first("r").over(beside)).where("other IS NOT NULL")
+        ranks = pairs.withColumn("r", F.xxhash64("r", "other")).drop("other")
+        have += offset
+        ranks = shared(ranks) if have < reach else ranks
+    low, top = low.replace("lo,", "first,"), F.expr(top)
+    return ranks.where(f"b >= {first}").select(
+        *key, F.expr(low).alias("lo"), top.alias("hi"), "at", F.col("r").alias("rank_"), "whole"
+    )
+
+
+def _by_start(blocks, length):
+    """Each start of ``blocks``: the rank of its block with the bytes before and after what that covers."""
+    reach = _reach(length)
+    rows = blocks.withColumn("s", F.explode(F.sequence("lo", "hi")))
+    rows = rows.withColumn("place", F.expr(f"at - {STEP} * CAST((at - s) DIV {STEP} AS INT)"))
+    before, after = _cut("s", "place - s"), _cut(f"place + {reach}", f"s + {length} - place - {reach}")
+    return rows.select(
+        "id_", "hash_", "first", F.col("s").alias("lo"), F.col("s").alias("hi"), "at",
+        F.expr(f"xxhash64(rank_, place - s, concat({before}, {after}))").alias("rank_"),
+        F.expr(f"xxhash64(1, {_cut('s', length)})").alias("whole"),
+    )
+
+
 def repeated_spans(docs, text="text", id_column="doc_id", length=200):
     """(id_, hash_, spans) of the texts that hold a string of ``length`` bytes found elsewhere.
 
@@ -199,13 +227,9 @@ def repeated_spans(docs, text="text", id_column="doc_id", length=200):
     texts = shared(texts.select(
         "id_", "hash_", F.col("w.lo").alias("first"), "w.lo", "w.hi", "w.at", "w.rank_", cut.alias("t")
     ))
-    schema = "id_ long, hash_ long, first int, lo int, hi int, at int, rank_ long, whole long"
-    blocks = texts.mapInArrow(_rank_blocks(length, BLOCK), schema)
-    more, kinds = _rerank(blocks, shared)
-
+    more, kinds = _rerank(_doubled(texts, length, shared), shared)
     starts = kinds.join(texts.select("id_", "hash_", "first", "t"), ["id_", "hash_", "first"])
-    starts = starts.select("id_", "hash_", "first", "lo", "hi", "at", "rank_", "t")
-    last, _ = _rerank(starts.mapInArrow(_rank_blocks(length, 1), schema), shared)
+    last, _ = _rerank(_by_start(starts, length), shared)
 
     found = settled.unionByName(more).unionByName(last).select("id_", "hash_", "lo", F.col("hi") + length)
     spans = found.toDF("id_", "hash_", "lo", "hi").distinct().groupBy("id_", "hash_")

@@ -50,6 +50,21 @@ def test_equals_brute_force(spark, seed):
     assert sum(w[1] for w in want) > 1000
 
 
+@pytest.mark.parametrize("length", [96, 119, 130, 500, 1100])
+def test_other_lengths_take_fewer_or_more_doublings(spark, length):
+    rows = texts(4)
+    r = random.Random(length)
+    long = " ".join(str(r.random()) for _ in range(200))
+    for _ in range(20):  # copies that differ in a byte here and there
+        cut = bytearray(long.encode())
+        for _ in range(r.randint(0, 3)):
+            cut[r.randrange(len(cut))] = 64
+        rows.append(cut.decode())
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(df, length=length).collect()}
+    assert [got[i] for i in range(len(rows))] == brute([(t or "").encode() for t in rows], length)
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     from labelgauge.llm import suffix_dedup
 
