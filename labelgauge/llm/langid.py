@@ -1,7 +1,7 @@
 """Language by the nearest of several centroids per language, over hashed byte n-grams.
 
-A text is a vector of the counts of its byte n-grams (n = 1 to 4, lower case, other ASCII than letters
-as blanks, runs of blanks left out), hashed into ``FEATURES``
+A text is a vector of the counts of its byte n-grams (n = 1 to 4, lower case, white space as one blank, other
+ASCII than letters as blanks; n-grams with two blanks in a row are left out), hashed into ``FEATURES``
 features, damped by a logarithm, weighted by inverse document frequency and scaled to length one. Each
 language has up to ``CENTROIDS`` centroids, clustered by cosine (spherical k-means, seeded by the sampled
 texts that lie farthest apart); a text has the language of the most similar centroid and is rejected
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from labelgauge.llm.decontam import folded
+from labelgauge.llm.decontam import fold
 from labelgauge.llm.textbytes import chunks
 from labelgauge.session import shared_dir
 from labelgauge.sources.writers import stored
@@ -35,7 +35,8 @@ LETTERS[[b for b in range(128) if not chr(b).isalpha()]] = 32
 def counts(column):
     """(first row, last row + 1, matrix of n-gram counts) for slices of a batch."""
     for start, stop, data, offsets in chunks(column, 1 << 18):
-        data = LETTERS[folded(data)]
+        data, offsets, _ = fold(data, offsets)  # shorter, as runs of white space become one blank
+        data = LETTERS[data]
         twice = np.zeros(len(data) + 1, np.int32)  # blanks after blanks, up to a place
         np.cumsum((data[1:] == 32) & (data[:-1] == 32), out=twice[1 : len(data)])
         twice[len(data) :] = twice[len(data) - 1] if len(data) else 0
