@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from labelgauge.llm.components import components
 from labelgauge.llm.suffix_dedup import row_key
-from labelgauge.llm.textbytes import U64, Hasher, chunks, mix, words_of
+from labelgauge.llm.textbytes import U64, Hasher, chunks, mix, release, tidy, words_of
 from labelgauge.session import shared_dir
 from labelgauge.sources.writers import stored
 
@@ -196,6 +196,8 @@ def _verify(least):
         probe = np.array(table.column("probe").to_pylist(), bool)
         pairs = np.array(links(sets, least, probe if probe.any() else None), np.int64).reshape(-1, 2)
         node = table.column("node").combine_chunks()
+        if len(one.sums) > 1 << 20:  # tables for texts of such a length are not worth keeping
+            release()
         return pa.table({"a": node.take(pairs[:, 0]), "b": node.take(pairs[:, 1])})
 
     return run
@@ -273,7 +275,7 @@ def near_classes(docs, text="text", id_column="doc_id", least=0.8):
     a, b = row_key(docs, text, id_column)
     narrow = docs.select(a, b, F.col(text).cast("string").alias("t"), F.octet_length(text).cast("long").alias("n"))
     narrow = narrow.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    signed = shared(narrow.mapInArrow(_sign, SIGNED)).withColumn("node", F.struct("w1", "w2"))
+    signed = shared(narrow.mapInArrow(tidy(_sign), SIGNED)).withColumn("node", F.struct("w1", "w2"))
     kinds = signed.groupBy("node").agg(
         F.min(F.struct("id_", "hash_")).alias("first"), F.first("bands").alias("bands"), F.min("n_bytes").alias("n")
     )

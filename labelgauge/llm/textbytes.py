@@ -47,6 +47,22 @@ def chunks(column, most=1 << 19, rows=1024):
             start = stop
 
 
+def tidy(run):
+    """``run`` for ``mapInArrow``; what its task kept is given back at the end, as workers outlive their tasks."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
+def release():
+    """Gives back what long texts left in the tables of powers, and what Arrow holds without use."""
+    Hasher.powers.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Hasher:
     """Names byte ranges of a slice: ``Hasher(seed).load(data)``, then ``of(starts, ends)``."""
 
